@@ -222,3 +222,15 @@ def classify(docs: DataFrame, labels: DataFrame, config: GamConfig = GamConfig()
     ws = Workspace(docs.sparkSession, "quality")
     found = ws.save(features(docs))
     return score(found, learn(found if train is None else found.where(train), labels, config=config))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, config: GamConfig = GamConfig()) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, with all their columns and no shuffle of texts."""
+    model = learn(features(docs), labels, config=config)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text"):
+            yield block.filter(pa.array(model.score(text_features(block.column(place))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
