@@ -6,12 +6,12 @@ are compared one after the other and the pair is pruned as soon as the posterior
 probability that its similarity reaches the threshold falls below ``miss``.  Survivors
 are confirmed on the full shingle sets.
 
-Groups of near copies are never expanded into all pairs.  Round one links each member
-of a bucket to the bucket's most central member.  Buckets that then still hold several
-components are compared tile by tile inside tasks: the second round emits a spanning
-forest of the likeliest links between components, the third every surviving pair
-between components.  Pairs within a component need no further look, as they cannot
-change the result, so no candidate is dropped.
+Groups of near copies are never expanded into all pairs.  First each member of a bucket
+is compared with the bucket's most central member.  Buckets that then still hold several
+components are compared tile by tile inside tasks, which carry the full sets: pairs of
+different components that survive the signature batches are confirmed, likeliest first,
+and a tile emits just the links that join components.  Pairs within a component need no
+further look, as they cannot change the result, so no candidate is dropped.
 
 Cases: null or empty texts have no shingles and link with nothing; texts of fewer words
 than a shingle count as one shingle; repeated rows are each returned; a repeated id is
@@ -133,31 +133,32 @@ def _prune(c: MinHashConfig):
     return run
 
 
+def linked(c: MinHashConfig, p: np.ndarray, q: np.ndarray) -> bool:
+    """Whether two full sets reach the threshold."""
+    at = np.searchsorted(p, q)
+    both = int((p[np.minimum(at, len(p) - 1)] == q).sum())
+    return 100 * both >= c.percent * (len(p) + len(q) - both)
+
+
 def _exact(c: MinHashConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            keep = []
-            for one, two in zip(x.column(2), x.column(3)):
-                p, q = np.frombuffer(one.as_buffer(), U64), np.frombuffer(two.as_buffer(), U64)
-                at = np.searchsorted(p, q)
-                both = int((p[np.minimum(at, len(p) - 1)] == q).sum())
-                keep.append(100 * both >= c.percent * (len(p) + len(q) - both))
+            keep = [linked(c, np.frombuffer(one.as_buffer(), U64), np.frombuffer(two.as_buffer(), U64)) for one, two in zip(x.column(2), x.column(3))]
             yield x.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
     return run
 
 
-def _tile(c: MinHashConfig, forest: bool):
-    """Surviving pairs of different components within each tile of a bucket.
+def _tile(c: MinHashConfig):
+    """Links that join components within each tile of a bucket.
 
     Rows come sorted by tile.  A pair belongs to the first band that it shares, so no
-    other bucket returns it again.
+    other bucket looks at it again.
     """
     least = least_matches(c)
 
     def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        rep, comp, n = (np.array([r[k] for r in rows]) for k in (4, 5, 6))
-        side = np.array([r[3] for r in rows])
+        side, rep, comp, n = (np.array([r[k] for r in rows]) for k in (3, 4, 5, 6))
         first, second = rows[0][1], rows[0][2]
         sig = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), -1)
         band = np.array([r[8] for r in rows], np.int64)
@@ -171,10 +172,7 @@ def _tile(c: MinHashConfig, forest: bool):
                 near = near[~(band[near, :here] == band[k, :here]).any(axis=1)]
             if len(near):
                 live, hits = survive(c, sig[near], np.broadcast_to(sig[k], (len(near), sig.shape[1])), least)
-                found += [(int(hits[i]), int(rep[k]), int(rep[near[i]]), int(comp[k]), int(comp[near[i]])) for i in live]
-        if not forest:
-            yield from ((a, b) for _, a, b, _, _ in found)
-            return
+                found += zip(hits[live].tolist(), [k] * len(live), near[live].tolist())
         root: dict[int, int] = {}
 
         def top(x: int) -> int:
@@ -182,14 +180,14 @@ def _tile(c: MinHashConfig, forest: bool):
                 root[x] = x = root.get(root[x], root[x])
             return x
 
-        for _, a, b, p, q in sorted(found, reverse=True):
-            p, q = top(p), top(q)
-            if p != q:
+        for _, i, j in sorted(found, reverse=True):
+            p, q = top(int(comp[i])), top(int(comp[j]))
+            if p != q and linked(c, np.frombuffer(rows[i][9], U64), np.frombuffer(rows[j][9], U64)):
                 root[p] = q
-                yield a, b
+                yield int(rep[i]), int(rep[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "t1", "t2", "side", "rep", "comp", "n_shingles", "sig", "bands"]
+        names = ["key", "t1", "t2", "side", "rep", "comp", "n_shingles", "sig", "bands", "shingles"]
         rows: list[tuple] = []
         out: list[tuple[int, int]] = []
         for r in chain((r for x in batches for r in zip(*(x.column(k).to_pylist() for k in names))), [None]):
@@ -227,7 +225,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = member.join(leader, "key").where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
 
     ids = member.select(F.col("rep").alias("doc_id")).distinct()
-    sets = ws.save(_sets(texts.join(ids, "doc_id", "left_semi"), c))
+    sets = ws.save(_sets(texts.join(ids.hint("merge"), "doc_id", "left_semi"), c))
 
     def both(pairs: DataFrame, table: DataFrame, *cols: str) -> DataFrame:
         for k in ("a", "b"):
@@ -241,23 +239,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pruned = ws.save(near.select("a", "b", "sig_a", "sig_b").mapInArrow(_prune(c), "a long, b long"))
     links = ws.save(confirmed(pruned))
     labels = components(ws, links)
-    for forest in (True, False):
-        comp = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("comp"))
-        comp = ws.save(comp)
-        mixed = comp.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("size").alias("s")).where("x <> y and s > 2").select("key")
-        open_rows = comp.join(mixed, "key").withColumn("tiles", F.ceil(F.col("size") / c.tile)).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("tiles")))
-        dealt = open_rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"t1": F.least("side", "o"), "t2": F.greatest("side", "o")}).drop("o", "tiles", "size")
-        dealt = dealt.join(reps, "rep").select("key", "t1", "t2", "side", "rep", "comp", "n_shingles", "sig", "bands")
-        spread = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, "key", "t1", "t2").sortWithinPartitions("key", "t1", "t2")
-        more = ws.save(spread.mapInArrow(_tile(c, forest), "a long, b long"))
-        if more.isEmpty():
-            break
-        again = ws.save(confirmed(more.distinct()))
-        ws.drop(more, comp)
-        if again.isEmpty():
-            continue
-        links = links.union(again)
-        labels = components(ws, links)
+    comp = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("comp"))
+    comp = ws.save(comp)
+    mixed = comp.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("size").alias("s")).where("x <> y and s > 2").select("key")
+    open_rows = comp.join(mixed, "key").withColumn("tiles", F.ceil(F.col("size") / c.tile)).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("tiles")))
+    dealt = open_rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"t1": F.least("side", "o"), "t2": F.greatest("side", "o")})
+    dealt = dealt.join(reps, "rep").join(sets, "rep").select("key", "t1", "t2", "side", "rep", "comp", "n_shingles", "sig", "bands", "shingles")
+    spread = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, "key", "t1", "t2").sortWithinPartitions("key", "t1", "t2")
+    more = ws.save(spread.mapInArrow(_tile(c), "a long, b long"))
+    if not more.isEmpty():
+        labels = components(ws, links.union(more))
     ws.drop(sets)
     root = labels.select(F.col("node").alias("rep"), "component")
     by_digest = ws.save(classes.join(root, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")))
