@@ -11,8 +11,8 @@ of about a million tokens.  A block sends each of its distinct n-grams once, wit
 training count, to the shard of the n-gram's hash; the shard adds up the counts of all
 blocks and answers every block.  So one shuffle both trains and looks up, a frequent
 n-gram costs one entry a block, and a block holds just the part of the automaton that
-its texts can reach.  Unigrams are keyed by 64-bit hashes, longer n-grams by 48 bits
-within a shard.
+its texts can reach.  Words are keyed by 64-bit hashes, longer n-grams by 56 bits; keys
+travel as sorted differences and all arrays as compressed byte planes.
 
 Cases: null and empty texts consist of their end alone; rows with a null id train and
 are scored like others; repeated rows count each; with an empty training set every
@@ -41,12 +41,29 @@ class LmConfig:
     order: int = 2
     mass: float = 200.0
     block_tokens: int = 1 << 20
-    shards_per_partition: int = 4
+    shards_per_partition: int = 2
 
 
 BLOCK = "block long, ids array<{id}>, train array<boolean>, bounds binary, tokens binary, vocab binary"
 
 
+def squeeze(x: np.ndarray) -> bytes:
+    """An array of integers as compressed byte planes, its length first."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unsqueeze(data: bytes, kind) -> np.ndarray:
+    n, size = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data[8:], n * size, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
+
+
+def steps(x: np.ndarray) -> np.ndarray:
+    """Differences of a sorted array, the first from zero."""
+    return np.diff(x, prepend=np.zeros(1, x.dtype))
+
+
 def _pack(c: LmConfig):
     """Texts to blocks: token numbers into the sorted hashes of the block's words."""
 
@@ -55,7 +72,7 @@ def _pack(c: LmConfig):
         bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         return pa.RecordBatch.from_arrays([
             pa.array([block], pa.int64()), pa.ListArray.from_arrays([0, len(train)], pa.concat_arrays(ids)), pa.array([train], pa.list_(pa.bool_())),
-            pa.array([bounds.tobytes()], pa.binary()), pa.array([tokens.astype(np.uint32).tobytes()], pa.binary()), pa.array([vocab.tobytes()], pa.binary()),
+            pa.array([bounds.tobytes()], pa.binary()), pa.array([squeeze(tokens.astype(np.uint32))], pa.binary()), pa.array([squeeze(steps(vocab))], pa.binary()),
         ], ["block", "ids", "train", "bounds", "tokens", "vocab"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,8 +98,8 @@ class Reach:
     """The n-grams of one block: for each order the distinct keys and each token's n-gram."""
 
     def __init__(self, bounds: bytes, tokens: bytes, vocab: bytes, train: list[bool], order: int):
-        self.bounds, self.tokens = np.frombuffer(bounds, np.int64), np.frombuffer(tokens, np.uint32).astype(np.int64)
-        words = np.frombuffer(vocab, U64)
+        self.bounds, self.tokens = np.frombuffer(bounds, np.int64), unsqueeze(tokens, np.uint32).astype(np.int64)
+        words = np.cumsum(unsqueeze(vocab, U64), dtype=U64)
         self.place = np.arange(len(self.tokens)) - np.repeat(self.bounds[:-1], np.diff(self.bounds))
         self.training = np.repeat(np.array(train, bool), np.diff(self.bounds))
         self.keys, self.at = [words], [self.tokens]
@@ -105,10 +122,10 @@ class Reach:
         return np.bincount(own, minlength=len(self.keys[k]))
 
     def dealt(self, k: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
-        """The keys by shard: an order of them and the bounds of each shard."""
-        shard = (self.keys[k] >> U64(48)).astype(np.int64) * shards >> 16
-        order = np.argsort(shard, kind="stable")
-        return order, np.searchsorted(shard[order], np.arange(shards + 1))
+        """The sorted order of the keys and the bounds of each shard, a range of keys."""
+        order = np.argsort(self.keys[k])
+        shard = (self.keys[k][order] >> U64(48)).astype(np.int64) * shards >> 16
+        return order, np.searchsorted(shard, np.arange(shards + 1))
 
 
 def _ask(c: LmConfig, shards: int):
@@ -119,8 +136,8 @@ def _ask(c: LmConfig, shards: int):
                 for k in range(c.order):
                     order, cut = reach.dealt(k, shards)
                     keys, counts = reach.keys[k][order], reach.counts(k)[order].astype(np.uint32)
-                    packed = keys if k == 0 else np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :6])
-                    rows = [(packed[a:b].tobytes(), counts[a:b].tobytes()) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+                    keys = keys if k == 0 else keys >> U64(8)
+                    rows = [(squeeze(steps(keys[a:b])), squeeze(counts[a:b])) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
                     yield pa.RecordBatch.from_arrays([
                         pa.array([block.as_py()] * shards, pa.int64()), pa.array([k] * shards, pa.int32()), pa.array(range(shards), pa.int32()),
                         pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()),
@@ -135,20 +152,15 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def told() -> pa.RecordBatch:
         level = held[0][1]
-        if level == 0:
-            keys = np.frombuffer(b"".join(r[3] for r in held), U64)
-        else:
-            wide = np.zeros((sum(len(r[3]) for r in held) // 6, 8), np.uint8)
-            wide[:, :6] = np.frombuffer(b"".join(r[3] for r in held), np.uint8).reshape(-1, 6)
-            keys = wide.view(U64).ravel()
-        counts = np.frombuffer(b"".join(r[4] for r in held), np.uint32)
+        each = [np.cumsum(unsqueeze(r[3], U64), dtype=U64) for r in held]
+        keys, counts = np.concatenate(each), np.concatenate([unsqueeze(r[4], np.uint32) for r in held])
         distinct, at = np.unique(keys, return_inverse=True)
         total = np.bincount(at, counts, len(distinct)).astype(np.uint32)
-        cut = np.cumsum([0] + [len(r[4]) // 4 for r in held])
+        cut = np.cumsum([0] + [len(x) for x in each])
         out = total[at]
         return pa.RecordBatch.from_arrays([
             pa.array([r[0] for r in held], pa.int64()), pa.array([level] * len(held), pa.int32()), pa.array([held[0][2]] * len(held), pa.int32()),
-            pa.array([out[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())], pa.binary()),
+            pa.array([squeeze(out[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())], pa.binary()),
         ], ["block", "level", "shard", "totals"])
 
     for x in batches:
@@ -223,7 +235,7 @@ def _score(c: LmConfig, shards: int, size: int, kinds: int):
                 for k in range(c.order):
                     order, _ = reach.dealt(k, shards)
                     total = np.zeros(len(order), np.int64)
-                    total[order] = np.frombuffer(b"".join(found[k, s] for s in range(shards)), np.uint32)
+                    total[order] = np.concatenate([unsqueeze(found[k, s], np.uint32) for s in range(shards)])
                     totals.append(total)
                 auto = Automaton(reach, totals, size, kinds, c.mass)
                 cut = reach.bounds
@@ -275,6 +287,6 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, k, c in zip(*(x.column(i).to_pylist() for i in ("shard", "keys", "counts"))):
             if s != shard:
                 kinds, shard, keys = kinds + closed(), s, []
-            keys.append(np.frombuffer(k, U64))
-            n += int(np.frombuffer(c, np.uint32).sum())
+            keys.append(np.cumsum(unsqueeze(k, U64), dtype=U64))
+            n += int(unsqueeze(c, np.uint32).sum())
     yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([kinds + closed()], pa.int64())], ["n", "kinds"])
