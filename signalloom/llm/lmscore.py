@@ -7,7 +7,7 @@ Smoothing is hierarchical Dirichlet: p(w | s) = (c(s w) + mass * p(w | shorter))
 log10 p(w | s), a failure arc log10(mass / (c(s) + mass)).
 
 The model grows with the corpus and is never held whole.  Texts are packed into blocks
-of about a million tokens.  A block sends each of its distinct n-grams once, with its
+of about half a million tokens.  A block sends each of its distinct n-grams once, with its
 training count, to the shard of the n-gram's hash; the shard adds up the counts of all
 blocks and answers every block.  So one shuffle both trains and looks up, a frequent
 n-gram costs one entry a block, and a block holds just the part of the automaton that
@@ -40,7 +40,7 @@ END = U64(0x3C6EF372FE94F82B)
 class LmConfig:
     order: int = 2
     mass: float = 200.0
-    block_tokens: int = 1 << 20
+    block_tokens: int = 1 << 19
     shards_per_partition: int = 2
 
 
