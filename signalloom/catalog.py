@@ -1,5 +1,6 @@
 """Registered queries and their SQL equivalents."""
 
+from .plans import choice  # noqa: F401  registers its queries
 from .plans.core import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -46,12 +46,16 @@ def deadband(z: Column, long_at: float, short_at: float) -> Column:
     return F.when(z >= long_at, z).when(z <= -short_at, z).otherwise(0.0)
 
 
-def position(z: Column, c: BacktestConfig, mode: str = "tanh") -> Column:
-    """Clipped, banded, squashed and laid on the step ladder (half-even)."""
+def squash(z: Column, c: BacktestConfig, mode: str = "tanh") -> Column:
+    """Clipped, banded and squashed into one unit."""
     z = F.when(z > c.clip, c.clip).when(z < -c.clip, -c.clip).otherwise(z)
     z = deadband(z, c.deadband, c.deadband)
-    p = F.signum(z) if mode == "sign" else F.tanh(z / c.clip)
-    return F.rint(F.round(p / c.step, 9)) * c.step
+    return F.signum(z) if mode == "sign" else F.tanh(z / c.clip)
+
+
+def position(z: Column, c: BacktestConfig, mode: str = "tanh") -> Column:
+    """Squashed and laid on the step ladder (half-even)."""
+    return F.rint(F.round(squash(z, c, mode) / c.step, 9)) * c.step
 
 
 def smooth_position(df: DataFrame, column: str, keys: list[str], span: int, c: BacktestConfig) -> DataFrame:
