@@ -10,8 +10,8 @@ The model is fitted on at most ``sample`` labelled rows, those with the smallest
 their id; everything else covers all rows.
 
 Cases: null and empty texts have all features at zero and a score like any other text;
-rows without a label are scored only; several labels of one id are averaged; without any
-label the score is 0.5, with labels of one kind only it is their smoothed share.
+rows without a label are scored only; several labels of one id are averaged; of a repeated
+id the row with the smallest features is learnt from; without any label the score is 0.5, with labels of one kind only it is their smoothed share.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import LOWER, U64, blocks, grams, words_of
@@ -198,10 +198,22 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return texts.mapInArrow(run, f"doc_id {dict(texts.dtypes)['doc_id']}, x array<double>")
 
 
+def _given(labels: DataFrame, label_col: str) -> DataFrame:
+    return labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.avg(label_col).alias("y"))
+
+
+def sampled(ids: DataFrame, labels: DataFrame, label_col: str, config: GamConfig) -> Column:
+    """A condition on ``doc_id`` that about twice the sample's labelled ids meet, so few rows travel whatever the input."""
+    n = _given(labels, label_col).join(ids, "doc_id", "left_semi").count()
+    if n <= 2 * config.sample:
+        return F.lit(True)
+    return F.xxhash64("doc_id") < F.lit(-(1 << 63) + (1 << 65) * config.sample // n)
+
+
 def learn(found: DataFrame, labels: DataFrame, label_col: str = "quality", config: GamConfig = GamConfig()) -> Gam:
-    """Fit on ``found`` (``doc_id, x``) joined with labels, at most ``config.sample`` rows."""
-    given = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.avg(label_col).alias("y"))
-    rows = found.join(given, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(config.sample).collect()
+    """Fit on ``found`` (``doc_id, x``, cut by ``sampled``) joined with labels, at most ``config.sample`` ids."""
+    one = found.join(_given(labels, label_col), "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.min("y").alias("y"))
+    rows = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(config.sample).collect()
     x = np.array([r["x"] for r in rows]).reshape(len(rows), len(FEATURES))
     return fit(x, (np.array([r["y"] for r in rows]) >= 0.5).astype(float), config)
 
@@ -221,12 +233,13 @@ def classify(docs: DataFrame, labels: DataFrame, config: GamConfig = GamConfig()
     """``doc_id, score`` for each row of ``docs``; labels only of rows where ``train`` holds."""
     ws = Workspace(docs.sparkSession, "quality")
     found = ws.save(features(docs))
-    return score(found, learn(found if train is None else found.where(train), labels, config=config))
+    known = found if train is None else found.where(train)
+    return score(found, learn(known.where(sampled(known.select("doc_id"), labels, "quality", config)), labels, config=config))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, config: GamConfig = GamConfig()) -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more, with all their columns and no shuffle of texts."""
-    model = learn(features(docs), labels, config=config)
+    model = learn(features(docs.where(sampled(docs.select("doc_id"), labels, "quality", config))), labels, config=config)
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -272,3 +272,15 @@ def test_pipeline_stages_decide(spark):
     assert not any(i in texts[d] for d in kept for i in items) and len({texts[d] for d in kept}) == len(kept)
     bad = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 0").collect()}
     assert not kept & bad
+
+
+def test_classifier_samples_the_smallest_hashes(spark):
+    rows = [(k, "good words here" if k % 2 else "### !!! ###") for k in range(400)] + [(7, "a repeated id")] * 50
+    found = quality.features(docs(spark, rows))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(500)], "doc_id long, quality int")
+    config = quality.GamConfig(sample=40, rounds=3)
+    cut = found.where(quality.sampled(found.select("doc_id"), labels, "quality", config))
+    least = [r["doc_id"] for r in found.select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(40).collect()]
+    kept = {r["doc_id"] for r in cut.collect()}
+    assert set(least) <= kept and len(kept) < 160
+    assert quality.learn(cut, labels, config=config).base == quality.learn(found, labels, config=config).base
