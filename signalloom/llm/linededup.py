@@ -1,15 +1,15 @@
 """Substring dedup by hashing normalised units of lines.
 
 A unit is a sentence within a line (or a whole line, or a paragraph).  Digests are
-grouped over all documents with partial aggregation; the occurrence with the smallest
-(doc_id, offset) is kept.  A run of later occurrences that stand next to each other in a
-document is removed once it holds ``min_words`` words, so a passage is caught wherever
-it stands while short phrases that many texts use stay.  Offsets are characters of the
-original text.
-
-Cases: null texts count as empty and come back empty; repeated rows with one id are one
-document of which the first text in order is kept; rows with a null id are returned
-unchanged; extra columns are ignored.
+grouped over all rows with partial aggregation; the earliest occurrence by (doc_id, row,
+offset) is kept, rows with a null id come last.  Later occurrences that stand next to
+each other in a row are one run, and every run is removed; a caller that wants short
+phrases to stay sets ``min_words`` above 1.  A stop before a small letter or a digit
+(3.14, example.com) ends no sentence.  Offsets are characters of the original text.
+
+Cases: null texts count as empty and come back empty; every row has its own key, so a
+repeated row loses what the one before it holds, also where the id is repeated or null
+(rows of one id stand in the order of their texts' hashes); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,13 +26,19 @@ from pyspark.sql import functions as F
 from .text import blocks
 from .workspace import Workspace, small_batches
 
-UNITS = {"sentence": re.compile(r"[^.!?\n]*[.!?\n]*"), "line": re.compile(r"[^\n]*\n*"), "paragraph": re.compile(r"(?:[^\n]|\n(?!\s*\n))*\s*")}
-SCHEMA = "doc_id long, h1 long, h2 long, start int, end int, words int"
+UNITS = {"sentence": re.compile(r"(?:[^.!?。！？\n]|[.!?]++(?=[a-z0-9ß-öø-ÿά-ώа-џ]))*+[.!?。！？\n]*"), "line": re.compile(r"[^\n]*\n*"), "paragraph": re.compile(r"(?:[^\n]|\n(?!\s*\n))*\s*")}
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
+SCHEMA = "doc_id long, tie long, row long, h1 long, h2 long, start int, end int, words int"
 
 
 def normalise(unit: str) -> str:
     """Case, spacing and outer punctuation do not distinguish units."""
-    return " ".join(unit.lower().split()).rstrip(".!?")
+    return " ".join(unit.lower().split()).rstrip(".!?。！？")
+
+
+def words_in(plain: str) -> int:
+    """Runs between spaces; each letter counts in scripts that are written without."""
+    return plain.count(" ") + 1 if plain.isascii() else max(plain.count(" ") + 1, len(UNSPACED.findall(plain)))
 
 
 def _units(kind: str):
@@ -41,16 +47,17 @@ def _units(kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
             ids, digest, start, end, words = [], [], [], [], []
-            for doc, text in zip(block.column(0).to_pylist(), block.column(1).to_pylist()):
+            for doc, text in enumerate(block.column(3).to_pylist()):
                 at = 0
                 for unit in cut.findall(text):
                     plain = normalise(unit)
                     if plain:
-                        ids.append(doc), start.append(at), end.append(at + len(unit)), words.append(plain.count(" ") + 1)
+                        ids.append(doc), start.append(at), end.append(at + len(unit)), words.append(words_in(plain))
                         digest.append(xxhash.xxh3_128_digest(plain))
                     at += len(unit)
             two = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1]), *(pa.array(x, pa.int32()) for x in (start, end, words))], ["doc_id", "h1", "h2", "start", "end", "words"])
+            keys = [block.column(k).take(pa.array(ids, pa.int64())) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(two[:, 0]), pa.array(two[:, 1]), *(pa.array(x, pa.int32()) for x in (start, end, words))], ["doc_id", "tie", "row", "h1", "h2", "start", "end", "words"])
 
     return run
 
@@ -62,7 +69,7 @@ def _cut(min_words: int):
             for text, spans in zip(block.column(1).to_pylist(), block.column(2).to_pylist()):
                 text, runs = text or "", []
                 for s in sorted(spans or [], key=lambda s: s["start"]):
-                    if runs and not text[runs[-1][1] : s["start"]].strip(" \t\r\n\x0b\x0c.!?"):
+                    if runs and not text[runs[-1][1] : s["start"]].strip(" \t\r\n\x0b\x0c.!?。！？"):
                         runs[-1][1], runs[-1][2] = max(runs[-1][1], s["end"]), runs[-1][2] + s["words"]
                     else:
                         runs.append([s["start"], s["end"], s["words"]])
@@ -80,16 +87,18 @@ def _cut(min_words: int):
     return run
 
 
-def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", min_words: int = 20) -> DataFrame:
+def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", min_words: int = 1) -> DataFrame:
     """``doc_id, text, removed(start, end, words), n_removed_words`` for each row."""
     spark = docs.sparkSession
     small_batches(spark)
     ws = Workspace(spark, "units")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    units = ws.save(texts.where("doc_id is not null").mapInArrow(_units(unit), SCHEMA))
-    first = units.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = ws.save(first.select("h1", "h2", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start")))
-    later = units.join(first, ["h1", "h2"]).where("doc_id <> first_doc or start <> first_start")
-    spans = ws.save(later.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end", "words"))).alias("spans")))
+    texts = ws.save(texts.select("doc_id", "text", F.monotonically_increasing_id().alias("row")))
+    order = [F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), F.xxhash64("text").alias("tie"), "row", "text"]
+    units = ws.save(texts.select(*order).mapInArrow(_units(unit), SCHEMA))
+    first = units.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "tie", "row", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = ws.save(first.select("h1", "h2", F.col("first.row").alias("first_row"), F.col("first.start").alias("first_start")))
+    later = units.join(first, ["h1", "h2"]).where("row <> first_row or start <> first_start")
+    spans = ws.save(later.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "words"))).alias("spans")))
     ws.drop(units)
-    return texts.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_cut(min_words), "doc_id long, text string, removed array<struct<start:int,end:int,words:int>>, n_removed_words long")
+    return texts.join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(_cut(min_words), "doc_id long, text string, removed array<struct<start:int,end:int,words:int>>, n_removed_words long")

@@ -148,6 +148,14 @@ def test_repeated_passages_go_and_offsets_stay(spark):
     assert rows[1][1][span["start"] : span["end"]].strip() == passage and out[1]["text"].replace(" ", "") == (own[1] + own[2]).replace(" ", "")
 
 
+def test_short_later_occurrences_go_whatever_the_id_or_script(spark):
+    rows = [(1, "first of all\nSubscribe now\nalpha 3.14"), (2, "Subscribe now\nbeta 2.14"), (None, "gamma\nSubscribe now"), (3, "今天天气很好。我们走吧。"), (4, "今天天气很好。他不去。"), (5, "twin line"), (5, "twin line"), (5, "own line"), (None, "twin line")]
+    out = sorted((r["doc_id"] or 99, r["text"]) for r in linededup.dedup_units(docs(spark, rows)).collect())
+    assert out == sorted([(1, rows[0][1]), (2, "beta 2.14"), (99, "gamma\n"), (3, rows[3][1]), (4, "他不去。"), (5, "twin line"), (5, ""), (5, "own line"), (99, "")])
+    kept = {r["doc_id"]: r["text"] for r in linededup.dedup_units(docs(spark, rows[:5]), min_words=5).collect()}
+    assert kept[2] == rows[1][1] and kept[4] == "他不去。"
+
+
 def test_surrogates(spark):
     text = "Mr. John Smith wrote to ann.lee@corp.com and ANN.LEE@CORP.COM from 10.20.30.40. Call +1 (212) 555-0100 or 212-555-0100, card 4111 1111 1111 1111, ssn 123-45-6789. Mrs. Anna Smith; Frau Müller; Госпожа Иванова. token ghp_" + "a1B2" * 9
     rows = [(1, text), (2, "again ann.lee@corp.com"), (3, "nothing personal 2.0 here")] + EDGE
