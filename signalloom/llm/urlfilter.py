@@ -1,9 +1,12 @@
 """URL filters: longest matching rule, then a path-template tree.
 
 For every host the masked path segments form a tree.  A segment with digits is masked at
-once; on each level the children of a node become one wildcard when there are too many
-of them, and a child whose labelled purity does not differ from its siblings' (two-
-proportion z score) is merged into the wildcard branch.  A template is rejected when its
+once; on each level a child whose labelled purity does not differ from its siblings'
+(two-proportion z score) is merged into the wildcard branch, at any number of children.
+The z score is smoothed up to ``children`` siblings and plain beyond, since among many
+the smoothed one takes a child with hardly a label for a different one.  Levels beyond
+``depth`` are grown one by one below the nodes that have labels and more than one path;
+the rest of a lone path keeps its names, without labels it is one wildcard.  A template is rejected when its
 labelled purity, smoothed towards its host's and that towards the overall one, reaches
 ``reject``.  Pages are reduced to counts per host and masked path before anything is
 shuffled, so a host with a third of all pages is one small group.
@@ -54,10 +57,44 @@ def rule_of(host: Column, path: Column, rules: dict[str, str]) -> tuple[Column,
 
 
 def segments(path: Column, depth: int) -> Column:
-    """``depth`` masked segments; what is deeper is one more."""
-    parts = F.split(F.regexp_replace(path, "^/", ""), "/")
+    """All masked segments, filled up with empty ones to ``depth``."""
+    parts = F.split(F.regexp_replace(F.regexp_replace(path, "^/", ""), "/+$", ""), "/")
     masked = F.transform(parts, lambda s: F.regexp_replace(s, r"[0-9A-Fa-f-]*[0-9][0-9A-Fa-f-]*", "*"))
-    return F.struct(*(F.coalesce(F.get(masked, F.lit(k)), F.lit("")).alias(f"s{k + 1}") for k in range(depth)))
+    return F.concat(masked, F.array_repeat(F.lit(""), F.greatest(F.lit(depth) - F.size(masked), F.lit(0))))
+
+
+def grow(tree: DataFrame, level: int, c: TemplateConfig) -> DataFrame:
+    """``tree`` with the branch of one more level appended to ``t``."""
+    tree = tree.withColumn("part", F.coalesce(F.get("s", F.lit(level - 1)), F.lit("")))
+    branch = tree.groupBy("host", "t", "part").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    node = branch.groupBy("host", "t").agg(F.count("*").alias("m"), F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"))
+    both = branch.join(node, ["host", "t"])
+    rest_n, rest_bad = F.col("all_n") - F.col("n"), F.col("all_bad") - F.col("bad")
+    share = (F.col("all_bad") + 1) / (F.col("all_n") + 2)
+    gap = (F.col("bad") + 0.5) / (F.col("n") + 1) - (rest_bad + 0.5) / (rest_n + 1)
+    smoothed = F.abs(gap) / F.sqrt(share * (1 - share) * (1 / (F.col("n") + 1) + 1 / (rest_n + 1)))
+    bare = F.try_divide(F.col("all_bad"), F.col("all_n"))
+    apart = F.abs(F.try_divide(F.col("bad"), F.col("n")) - F.try_divide(rest_bad, rest_n))
+    plain = F.coalesce(F.try_divide(apart, F.sqrt(bare * (1 - bare) * (F.try_divide(F.lit(1), F.col("n")) + F.try_divide(F.lit(1), rest_n)))), F.lit(0.0))
+    z = F.when(F.col("m") > c.children, plain).otherwise(smoothed)
+    name = both.select("host", "t", "part", F.when((F.col("m") > 1) & (z < c.z), "*").otherwise(F.col("part")).alias("name"))
+    return tree.join(name, ["host", "t", "part"]).select("host", "s", "n", "bad", F.concat("t", F.array("name")).alias("t"))
+
+
+def grow_deeper(ws: Workspace, tree: DataFrame, c: TemplateConfig) -> DataFrame:
+    """The levels beyond ``depth``, each over the nodes that can still divide."""
+    level, done = c.depth + 1, None
+    while True:
+        node = tree.groupBy("host", "t").agg(F.count("*").alias("paths"), F.sum("n").alias("all_n"), F.max(F.size("s")).alias("deepest"))
+        more = F.col("deepest") >= level
+        marked = ws.save(tree.join(node, ["host", "t"]).withColumn("open", more & (F.col("paths") > 1) & (F.col("all_n") > 0)))
+        rest = F.when(more & (F.col("paths") > 1), F.array(F.lit("*"))).otherwise(F.slice("s", level, F.greatest(F.size("s") - level + 1, F.lit(0))))
+        ended = marked.where("not open").select("host", "s", "n", "bad", F.concat("t", rest).alias("t"))
+        done = ended if done is None else done.unionByName(ended)
+        tree = marked.where("open").select("host", "s", "n", "bad", "t")
+        if tree.isEmpty():
+            return done
+        tree, level = ws.save(grow(tree, level, c)), level + 1
 
 
 def judge_urls(pages: DataFrame, rules: dict[str, str], labelled: Column, id_col: str = "page_id", url_col: str = "url", config: TemplateConfig = TemplateConfig()) -> DataFrame:
@@ -73,30 +110,22 @@ def judge_urls(pages: DataFrame, rules: dict[str, str], labelled: Column, id_col
     urls = urls.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     urls = urls.withColumns({"rule": rule, "rule_verdict": verdict})
-    urls = urls.withColumn("bad", labelled.cast("int")).withColumn("s", segments(F.col("path"), c.depth)).select("page_id", "host", "path", "rule", "rule_verdict", "bad", "s.*")
-    keys = [f"s{k + 1}" for k in range(c.depth)]
-    tree = ws.save(urls.groupBy("host", *keys).agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")))
+    urls = urls.withColumn("bad", labelled.cast("int")).withColumn("s", segments(F.col("path"), c.depth)).select("page_id", "host", "path", "rule", "rule_verdict", "bad", "s")
+    tree = ws.save(urls.groupBy("host", "s").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")))
     overall = tree.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + c.prior * c.strength) / (F.coalesce(F.sum("n"), F.lit(0)) + c.strength)).alias("top"))
-    grown = tree
+    grown = tree.withColumn("t", F.array().cast("array<string>"))
     for level in range(1, c.depth + 1):
-        above = ["host", *(f"t{k}" for k in range(1, level))]
-        branch = grown.groupBy(*above, f"s{level}").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-        node = branch.groupBy(*above).agg(F.count("*").alias("m"), F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"))
-        both = branch.join(node, above)
-        rest_n, rest_bad = F.col("all_n") - F.col("n"), F.col("all_bad") - F.col("bad")
-        share = (F.col("all_bad") + 1) / (F.col("all_n") + 2)
-        gap = (F.col("bad") + 0.5) / (F.col("n") + 1) - (rest_bad + 0.5) / (rest_n + 1)
-        z = F.abs(gap) / F.sqrt(share * (1 - share) * (1 / (F.col("n") + 1) + 1 / (rest_n + 1)))
-        wild = (F.col("m") > c.children) | ((F.col("m") > 1) & (z < c.z))
-        name = both.select(*above, f"s{level}", F.when(wild, "*").otherwise(F.col(f"s{level}")).alias(f"t{level}"))
-        grown = ws.save(grown.join(name, [*above, f"s{level}"]))
-    shape = ["host", *(f"t{k}" for k in range(1, c.depth + 1))]
+        grown = ws.save(grow(grown, level, c))
+    if not grown.where(F.size("s") > c.depth).isEmpty():
+        grown = ws.save(grow_deeper(ws, grown, c))
+    shape = ["host", "t"]
     hosts = grown.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("bad").alias("host_bad"))
     leaf = grown.groupBy(*shape).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).join(hosts, "host").crossJoin(overall)  # overall: one row
     host_purity = (F.col("host_bad") + c.strength * F.col("top")) / (F.col("host_n") + c.strength)
     leaf = leaf.select(*shape, ((F.col("bad") + c.strength * host_purity) / (F.col("n") + c.strength)).alias("purity"))
-    template = F.concat_ws("/", *shape).alias("template")
-    named = ws.save(grown.select("host", *keys, *shape[1:]).join(leaf, shape).select("host", *keys, template, "purity"))
-    out = urls.join(named, ["host", *keys])
+    deeper = F.filter(F.slice("t", c.depth + 1, F.size("t")), lambda x: x != "")
+    template = F.concat_ws("/", "host", F.slice("t", 1, c.depth), deeper).alias("template")
+    named = ws.save(grown.select("host", "s", "t").join(leaf, shape).select("host", "s", template, "purity"))
+    out = urls.join(named, ["host", "s"])
     method = F.when(F.col("purity") >= c.reject, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", method).alias("verdict"), "template", F.round("purity", 6).alias("purity"))

@@ -110,6 +110,17 @@ def test_urls_of_any_form(spark):
     assert len(out) == 7 and got[1] == got[2] == ("", "", None, "allow") and got[3] == ("a.net", "/x", "net/", "block") and got[4][2:] == ("example.net/en/", "allow") and got[6] == ("b.example.com", "", None, "allow")
 
 
+def test_bad_sections_stand_out_at_any_fan_out_and_depth(spark):
+    many = [(f"big.org/{'s' + chr(97 + k % 26) + chr(97 + k // 26)}/p", 0) for k in range(60) for _ in range(20)] + [("big.org/hell/p", 1)] * 200
+    deep = [(f"deep.org/a/b/c/{x}/q/{chr(97 + k % 26)}", int(x == "bad")) for x in ("bad", "good") for k in range(60)]
+    rows = [(i, f"http://{u}", bad) for i, (u, bad) in enumerate(many + deep)]
+    seen = spark.createDataFrame(rows, "page_id long, url string, bad int")
+    label = F.when(F.col("path").rlike("/(hell|bad)/"), 1).otherwise(0)
+    out = {r["page_id"]: r for r in urlfilter.judge_urls(seen, {}, label).collect()}
+    assert len(out) == len(rows) and all((out[i]["verdict"] == "block") == bool(bad) for i, _, bad in rows)
+    assert out[0]["template"] == "big.org/*/p/" and len({r["template"] for r in out.values()}) < 60
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_language_model_is_the_smoothed_recursion(spark, order):
     rng = random.Random(order)
