@@ -8,7 +8,8 @@ the smoothed one takes a child with hardly a label for a different one.  Levels
 ``depth`` are grown one by one below the nodes that have labels and more than one path;
 the rest of a lone path keeps its names, without labels it is one wildcard.  A template is rejected when its
 labelled purity, smoothed towards its host's and that towards the overall one, reaches
-``reject``.  Pages are reduced to counts per host and masked path before anything is
+``reject``; a host without labels has only the overall share and is not rejected by it.
+Pages are reduced to counts per host and masked path before anything is
 shuffled, so a host with a third of all pages is one small group.
 
 Cases: null urls and urls without ``://`` have an empty host and path and are judged
@@ -122,10 +123,10 @@ def judge_urls(pages: DataFrame, rules: dict[str, str], labelled: Column, id_col
     hosts = grown.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("bad").alias("host_bad"))
     leaf = grown.groupBy(*shape).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).join(hosts, "host").crossJoin(overall)  # overall: one row
     host_purity = (F.col("host_bad") + c.strength * F.col("top")) / (F.col("host_n") + c.strength)
-    leaf = leaf.select(*shape, ((F.col("bad") + c.strength * host_purity) / (F.col("n") + c.strength)).alias("purity"))
+    leaf = leaf.select(*shape, ((F.col("bad") + c.strength * host_purity) / (F.col("n") + c.strength)).alias("purity"), "host_n")
     deeper = F.filter(F.slice("t", c.depth + 1, F.size("t")), lambda x: x != "")
     template = F.concat_ws("/", "host", F.slice("t", 1, c.depth), deeper).alias("template")
-    named = ws.save(grown.select("host", "s", "t").join(leaf, shape).select("host", "s", template, "purity"))
+    named = ws.save(grown.select("host", "s", "t").join(leaf, shape).select("host", "s", template, "purity", "host_n"))
     out = urls.join(named, ["host", "s"])
-    method = F.when(F.col("purity") >= c.reject, "block").otherwise("allow")
+    method = F.when((F.col("purity") >= c.reject) & (F.col("host_n") > 0), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", method).alias("verdict"), "template", F.round("purity", 6).alias("purity"))

@@ -121,6 +121,12 @@ def test_bad_sections_stand_out_at_any_fan_out_and_depth(spark):
     assert out[0]["template"] == "big.org/*/p/" and len({r["template"] for r in out.values()}) < 60
 
 
+def test_the_overall_share_blocks_no_host_without_labels(spark):
+    rows = [(k, f"http://casino-{k % 9}.example.com/a") for k in range(90)] + [(100, "http://calm.example.com/a")]
+    out = {r["page_id"]: r for r in urlfilter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), {}, queries.labelled_urls()).collect()}
+    assert out[100]["purity"] >= 0.5 and out[100]["verdict"] == "allow" and all(out[k]["verdict"] == "block" for k in range(90))
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_language_model_is_the_smoothed_recursion(spark, order):
     rng = random.Random(order)
