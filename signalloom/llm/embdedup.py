@@ -4,8 +4,12 @@ Equal vectors of one label are one class first.  In each pass the classes are or
 label and by the bits of random hyperplanes, most significant first; every vector is
 compared with its ``window`` neighbours in that order, and links of all passes are
 united.  The order is cut into blocks of equal size with an overlap, so a label or code
-of any size spreads over many tasks.  The number of passes follows from the number of
-vectors and the wanted recall.
+of any size spreads over many tasks.
+
+Signs are taken of unit vectors less the mean of their label, so vectors that lie in a
+cone are divided too.  Each label has its own number of passes, from its own size and
+the angle that a pair at the threshold has around that mean, and no fewer than all vectors
+would need if they were spread evenly.
 
 A pass emits a spanning forest of the links in a block.  Vectors that are linked directly
 are in the same component, so the links of each vector are then counted over its whole
@@ -45,14 +49,18 @@ class EmbeddingConfig:
     least_passes: int = 4
 
 
-def passes_for(n: int, c: EmbeddingConfig) -> int:
+def passes_for(n: int, spread: float, c: EmbeddingConfig) -> int:
     """Passes after which a pair at the threshold has met with the wanted probability.
 
     A pair meets when its codes share enough leading bits that a window spans their
-    bucket: log2(n / window) of them, each shared with probability 1 - angle / pi.
+    bucket: log2(n / window) of them, each shared with probability 1 - angle / pi.  The
+    angle is taken around the mean, from which unit vectors have a mean square distance
+    ``spread``; below 1 - cosine an average pair is linked and the plain angle serves.
+    This holds for one cone a label; several tight groups in a label need more bits.
     """
     depth = max(0.0, math.log2(max(n, 1) / c.window))
-    meet = (1 - math.acos(c.cosine) / math.pi) ** depth
+    cosine = 1 - (1 - c.cosine) / spread if spread > 1 - c.cosine else c.cosine
+    meet = (1 - math.acos(cosine) / math.pi) ** depth
     return max(c.least_passes, math.ceil(math.log(1 - c.recall) / math.log(1 - min(meet, 0.999))))
 
 
@@ -64,25 +72,62 @@ def _units(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _codes(passes: int, bits: int):
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of the unit vectors of each label in a batch."""
+    for b in batches:
+        dims = np.array(b.column("dims"))
+        for d in np.unique(dims).tolist():
+            part = b.filter(pa.array(dims == d))
+            code = part.column("label").dictionary_encode()
+            total = np.zeros((len(code.dictionary), d))
+            np.add.at(total, np.array(code.indices), _units(_matrix(part.column("embedding"), d)))
+            n = np.bincount(np.array(code.indices), minlength=len(total))
+            yield pa.RecordBatch.from_arrays([code.dictionary, pa.array(np.full(len(total), d, np.int32)), pa.array([*total], pa.list_(pa.float64())), pa.array(n.astype(np.int64))], ["label", "dims", "total", "n"])
+
+
+def _codes(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
         weight = np.int64(1) << np.arange(bits - 1, -1, -1, dtype=np.int64)
+        planes: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
-            dims = np.array(b.column("dims"))
+            dims, passes = np.array(b.column("dims")), np.array(b.column("passes"))
             for d in np.unique(dims).tolist():
                 part = b.filter(pa.array(dims == d))
-                x = _matrix(part.column("embedding"), d)
-                if d not in planes:
-                    planes[d] = np.random.default_rng(1000 + d).standard_normal((d, passes * bits))
-                signs = (x @ planes[d] > 0).reshape(len(x), passes, bits)
-                code = (signs * weight).sum(axis=2)
-                for p in range(passes):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), p, np.int32)), part.column("label"), part.column("dims"), pa.array(code[:, p]), part.column("rep")], ["pass", "label", "dims", "code", "rep"])
+                x = _units(_matrix(part.column("embedding"), d)) - _matrix(part.column("mean"), d)
+                own = passes[dims == d]
+                for p in range(own.max()):
+                    if (d, p) not in planes:
+                        planes[d, p] = np.random.default_rng([1000 + d, p]).standard_normal((d, bits))
+                    at = np.flatnonzero(own > p)
+                    code = ((x[at] @ planes[d, p] > 0) * weight).sum(axis=1)
+                    take = part.take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), p, np.int32)), take.column("label"), take.column("dims"), pa.array(code), take.column("rep")], ["pass", "label", "dims", "code", "rep"])
+
+    return run
+
+
+def _passes(least: int, c: EmbeddingConfig):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [max(least, passes_for(n, 1 - sum(x * x for x in m), c)) for n, m in zip(b.column("n").to_pylist(), b.column("mean").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("label"), b.column("dims"), b.column("mean"), pa.array(found, pa.int32())], ["label", "dims", "mean", "passes"])
 
     return run
 
 
+def _coded(ws: Workspace, classes: DataFrame, c: EmbeddingConfig) -> tuple[DataFrame, int]:
+    """``pass, label, dims, code, rep`` of all passes, and the number of rows."""
+    kind = dict(classes.dtypes)["label"]
+    zone, fields = ["label", "dims"], f"pass int, label {kind}, dims int, code long, rep long"
+    total = classes.select(*zone, "embedding").mapInArrow(_sums, f"label {kind}, dims int, total array<double>, n long")
+    mean = total.select(*zone, "n", F.posexplode("total").alias("at", "x")).groupBy(*zone, "at").agg((F.sum("x") / F.sum("n")).alias("x"), F.sum("n").alias("n"))
+    mean = mean.groupBy(*zone).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda v: v["x"]).alias("mean"), F.max("n").alias("n"))
+    mean = ws.save(mean.select(*zone, "mean", "n").mapInArrow(_passes(passes_for(classes.count(), 0.0, c), c), f"label {kind}, dims int, mean array<double>, passes int"))
+    planned = classes.select(*zone, "embedding", "rep").join(mean, zone)
+    size = planned.agg(F.coalesce(F.sum("passes"), F.lit(0))).first()[0]  # one row
+    return planned.select(*zone, "embedding", "mean", "rep", "passes").mapInArrow(_codes(c.bits), fields), size
+
+
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, n = TaskContext.get().partitionId(), 0
     for b in batches:
@@ -174,10 +219,9 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     finite = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0)
     rows = rows.withColumn("fit", F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite, F.lit(False)))
     classes = ws.save(rows.where("fit").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("mult")).withColumn("dims", F.size("embedding")))
-    n = classes.count()
-    passes = passes_for(n, c)
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * passes / 500_000))
-    codes = classes.select("label", "embedding", "rep", "dims").mapInArrow(_codes(passes, c.bits), f"pass int, label {dict(classes.dtypes)['label']}, dims int, code long, rep long")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    codes, size = _coded(ws, classes, c)
+    partitions = max(least, math.ceil(size / 500_000))
     ordered = codes.repartitionByRange(partitions, "pass", "label", "dims", "code", "rep").sortWithinPartitions("pass", "label", "dims", "code", "rep")
     ordered = ws.save(ordered.mapInArrow(_numbered, ordered._jdf.schema().toDDL() + ", part int, row long"))
     before, start = 0, []

@@ -237,6 +237,20 @@ def test_vectors_equal_brute_force(spark):
     assert all(out[i]["n_links"] == 0 and out[i]["component_id"] == i and out[i]["kept"] for i in (400, 401, 402, 403, 404, 405, 406)) and out[None]["kept"]
 
 
+def test_vectors_in_a_cone_are_met(spark):
+    rng = np.random.default_rng(9)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(math.sqrt(0.8) * unit(rng.standard_normal((1, 64))) + math.sqrt(0.2) * unit(rng.standard_normal((6000, 64))))
+    step = rng.standard_normal((400, 64))
+    step = unit(step - (step * x[:400]).sum(axis=1, keepdims=True) * x[:400])
+    x = np.concatenate([x, 0.94 * x[:400] + math.sqrt(1 - 0.94**2) * step])
+    df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    out = {r["vec_id"]: r["component_id"] for r in embdedup.link_vectors(df).collect()}
+    pairs = np.argwhere(np.triu(x @ x.T >= 0.93, 1)).tolist()
+    met = sum(out[a] == out[b] for a, b in pairs) / len(pairs)
+    assert len(pairs) >= 400 and met >= 0.99, met
+
+
 def test_license_places_and_expressions(spark):
     rows = [(1, "MIT License. the mit-license; Apache License, Version 2.0"), (2, "SPDX-License-Identifier: (MIT OR GPL-3.0) AND Apache-2.0 WITH LLVM-exception"), (3, "mit licenses"), (4, "SPDX-License-Identifier: MIT AND")] + EDGE
     out = {r["doc_id"]: r for r in licenses.scan_licenses(docs(spark, rows)).collect()}
