@@ -2,7 +2,9 @@
 
 A word is a run of bytes other than space and 0x09-0x0D, after A-Z are lower-cased.
 All positions of a block of documents are handled by numpy at once; a block is bounded
-in bytes, a single long document is a block of its own and is never cut.
+in bytes, a single long document is a block of its own and is never cut.  Words are hashed
+in slices of ``SLICE`` bytes, whose sums are joined where a word spans two of them, so a
+text of any length takes about eight bytes of memory a byte, plus 32 a word.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15
-_POWERS = [np.ones(1, U64), np.ones(1, U64)]
+SLICE = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,14 +32,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64."""
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(2 * n, base, U64)
-            steps[0] = 1
-            _POWERS[k] = np.cumprod(steps, dtype=U64)
-    return _POWERS[0][:n], _POWERS[1][:n]
+def _powers(base: int) -> np.ndarray:
+    steps = np.full(SLICE + 1, base & (1 << 64) - 1, U64)
+    steps[0] = 1
+    return np.cumprod(steps, dtype=U64)
+
+
+_UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+
+
+def _word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A polynomial hash of the bytes of each word, slice by slice of the block."""
+    out = np.zeros(len(start), U64)
+    for at in range(0, len(raw), SLICE):
+        to = min(at + SLICE, len(raw))
+        total = np.zeros(to - at + 1, U64)
+        np.cumsum((raw[at:to].astype(U64) + U64(1)) * _UP[: to - at], out=total[1:])
+        a, b = np.searchsorted(end, at, "right"), np.searchsorted(start, to, "left")
+        if a == b:
+            continue
+        first, last = np.maximum(start[a:b], at) - at, np.minimum(end[a:b], to) - at
+        part = (total[last] - total[first]) * _DOWN[first]
+        if start[a] < at:  # the word began in an earlier slice
+            part[:1] *= U64(pow(_BASE, int(at - start[a]), 1 << 64))
+        out[a:b] += part
+    return mix(out + (end - start).astype(U64))
 
 
 @dataclass
@@ -71,11 +90,7 @@ def words_of(column: pa.Array, space: np.ndarray = SPACE) -> Words:
     end = inside.copy()
     end[:-1] &= ~inside[1:] | cut[1:n]
     start, end = np.flatnonzero(start), np.flatnonzero(end) + 1
-    up, down = _powers(n)
-    total = np.zeros(n + 1, U64)
-    np.cumsum((raw.astype(U64) + U64(1)) * up, out=total[1:])
-    hashed = mix((total[end] - total[start]) * down[start] + (end - start).astype(U64))
-    return Words(raw, start, end, np.searchsorted(start, offsets), hashed)
+    return Words(raw, start, end, np.searchsorted(start, offsets), _word_hashes(raw, start, end))
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:

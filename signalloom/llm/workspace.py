@@ -2,11 +2,13 @@
 
 Lineage is cut by writing Parquet below ``spark.checkpoint.dir`` and reading it again, so
 a lost executor costs at most the stage that was running.  The setting is read from the
-session; only where it is unset (unit tests) a temporary folder is taken.
+session; where it is unset, a temporary folder serves a local session, which is one
+machine, and a session on a cluster gets an error.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,6 +22,9 @@ class Workspace:
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            master = spark.sparkContext.master
+            if not re.fullmatch(r"local(\[.*\])?", master):
+                raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
             base = "file://" + tempfile.mkdtemp(prefix="signalloom-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
