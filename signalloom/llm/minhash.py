@@ -1,7 +1,7 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
-Texts with equal shingle sets are first reduced to one representative.  Representatives
-that share a band of their signature are candidates; signature batches of a candidate
+Rows with equal shingle sets are one class, a node of its own number, whatever their ids
+and however often they repeat.  Classes that share a band of their signature are candidates; signature batches of a candidate
 are compared one after the other and the pair is pruned as soon as the posterior
 probability that its similarity reaches the threshold falls below ``miss``.  Survivors
 are confirmed on the full shingle sets.
@@ -14,9 +14,10 @@ and a tile emits just the links that join components.  Pairs within a component
 further look, as they cannot change the result, so no candidate is dropped.
 
 Cases: null or empty texts have no shingles and link with nothing; texts of fewer words
-than a shingle count as one shingle; repeated rows are each returned; a repeated id is
-one node; rows with a null id are returned with their shingle count, a null component
-and kept, and link with nothing; further columns are ignored.
+than a shingle count as one shingle; repeated rows are each returned; texts of one id
+belong together, each with its own shingle count; rows with a null id are returned with
+their shingle count, a null component and kept, and link with nothing; ids of any type
+that has an order; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -87,7 +88,7 @@ def _sign(c: MinHashConfig, id_col: str, text_col: str):
                 digest.append(np.array([mix(s).sum(), mix(s ^ U64(0x5851F42D4C957F2D)).sum(), len(s)], U64).tobytes())
                 sig.append((m & np.uint32(255)).astype(np.uint8).tobytes())
                 bands.append(mix((banded * keys).sum(axis=1) + seeds).view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([block.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([block.column(0), block.column(2), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "t", "n_shingles", "digest", "sig", "bands"])
 
     return run
 
@@ -209,11 +210,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     c, spark = config, docs.sparkSession
     small_batches(spark)
     ws = Workspace(spark, "minhash")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = ws.save(texts.mapInArrow(_sign(c, "doc_id", "text"), "doc_id long, n_shingles long, digest binary, sig binary, bands array<long>"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
+    kind = dict(texts.dtypes)["doc_id"]
+    signed = ws.save(texts.mapInArrow(_sign(c, "doc_id", "text"), f"doc_id {kind}, t long, n_shingles long, digest binary, sig binary, bands array<long>"))
     whole = signed.where("doc_id is not null and digest is not null")
-    classes = ws.save(whole.groupBy("digest").agg(F.min("doc_id").alias("rep")))
-    reps = ws.save(whole.join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "sig", "bands"))
+    # Shingle sets, signatures and bands of a class are the same in all its rows.
+    classes = whole.groupBy("digest").agg(F.min(F.struct("doc_id", "t")).alias("least"), *(F.first(x).alias(x) for x in ("n_shingles", "sig", "bands")))
+    reps = ws.save(classes.withColumn("rep", F.monotonically_increasing_id()))
+    classes = reps.select("digest", "rep", F.col("least.doc_id").alias("least"))
 
     keyed = reps.select("rep", F.explode("bands").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -224,8 +228,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leader = member.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("r"))).alias("top")).select("key", (-F.col("top.r")).alias("leader"))
     star = member.join(leader, "key").where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
 
-    ids = member.select(F.col("rep").alias("doc_id")).distinct()
-    sets = ws.save(_sets(texts.join(ids.hint("merge"), "doc_id", "left_semi"), c))
+    # The set of a class is made from its least row; where that row repeats, once.
+    ids = member.select("rep").distinct().join(reps.select("rep", "least.doc_id", "least.t"), "rep")
+    own = texts.join(ids.hint("merge"), ["doc_id", "t"]).groupBy("doc_id", "t", "rep").agg(F.first("text").alias("text"))
+    sets = ws.save(_sets(own.select("rep", "text"), c))
 
     def both(pairs: DataFrame, table: DataFrame, *cols: str) -> DataFrame:
         for k in ("a", "b"):
@@ -250,16 +256,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not more.isEmpty():
         labels = components(ws, links.union(more))
     ws.drop(sets)
-    root = labels.select(F.col("node").alias("rep"), "component")
-    by_digest = ws.save(classes.join(root, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")))
-    out = signed.select("doc_id", "n_shingles", "digest").join(by_digest, "digest", "left")
-    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
+    numbered = ws.save(signed.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest", "left"))
+    # Texts of one id belong together: a link between each of its classes and the first.
+    own = numbered.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
+    same = ws.save(numbered.join(own, "doc_id").select("a", F.col("rep").alias("b")).where("a <> b").distinct())
+    if not same.isEmpty():
+        labels = components(ws, links.union(more).union(same))
+    grouped = classes.select("rep", "least").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    by_rep = ws.save(grouped.select("rep", "component").join(least, "component").select("rep", "component_id"))
+    out = numbered.join(by_rep, "rep", "left")
+    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _sets(docs: DataFrame, c: MinHashConfig) -> DataFrame:
+def _sets(texts: DataFrame, c: MinHashConfig) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array([s.tobytes() for s in shingle_sets(block.column(1), c.words)], pa.binary())], ["rep", "shingles"])
 
-    return docs.mapInArrow(run, "rep long, shingles binary").where(F.length("shingles") > 0)
+    return texts.mapInArrow(run, "rep long, shingles binary")
