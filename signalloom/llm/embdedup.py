@@ -16,10 +16,15 @@ are in the same component, so the links of each vector are then counted over its
 component, in tiles of exact comparisons: dense groups beyond any window are whole and
 no pair is ever written.
 
+A class has a number of its own.  What links are counted between are entries: a class with
+the ids that stand in it alone, or an id with all its vectors where they are in several
+classes; so an id is one vector to others, however often it repeats.
+
 Cases: rows with a null label, vectors that are null, empty, zero or hold null or
 non-finite components link with nothing and are their own component; vectors of
-different length never link; repeated ids are one node, each row is returned; rows with
-a null id are returned with a null component and kept.
+different length never link; repeated ids are one node, each row is returned and none
+links with its own id; the vectors of one id are compared in one task; rows with a null
+id are returned with a null component and kept; ids of any type that has an order.
 """
 
 from __future__ import annotations
@@ -190,21 +195,34 @@ def _window(c: EmbeddingConfig):
 
 
 def _count(c: EmbeddingConfig):
+    """For each entry of a tile, the ids in the entries on the other side that it is linked with."""
+
+    def entries(t: pa.Table, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        key, at = np.unique(np.array(t["entry"])[rows], return_inverse=True)
+        mult = np.zeros(len(key), np.int64)
+        mult[at] = np.array(t["mult"])[rows]
+        return key, at, mult
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, ["component", "t1", "t2"]):
             t = t.combine_chunks()
-            rep, mult, side = (np.array(t[k]) for k in ("rep", "mult", "side"))
-            x = _units(_matrix(t["embedding"].combine_chunks(), t["dims"][0].as_py()))
-            first, second = t["t1"][0].as_py(), t["t2"][0].as_py()
+            side, first, second = np.array(t["side"]), t["t1"][0].as_py(), t["t2"][0].as_py()
             one, two = np.flatnonzero(side == first), np.flatnonzero(side == second)
-            near = x[one] @ x[two].T >= c.cosine
+            (left, at_left, many_left), (right, at_right, many_right) = entries(t, one), entries(t, two)
+            near = np.zeros((len(left), len(right)), bool)
+            zone = np.array(t["zone"])
+            for z in np.intersect1d(zone[one], zone[two]).tolist():
+                a, b = np.flatnonzero(zone[one] == z), np.flatnonzero(zone[two] == z)
+                vectors = lambda rows: _units(_matrix(t["embedding"].take(pa.array(rows)).combine_chunks(), t["dims"][int(rows[0])].as_py()))
+                i, j = np.nonzero(vectors(one[a]) @ vectors(two[b]).T >= c.cosine)
+                near[at_left[a[i]], at_right[b[j]]] = True
             if first == second:
                 np.fill_diagonal(near, False)
-                got = [(rep[one], near @ mult[two])]
+                got = [(left, near @ many_right)]
             else:
-                got = [(rep[one], near @ mult[two]), (rep[two], mult[one] @ near)]
+                got = [(left, near @ many_right), (right, many_left @ near)]
             for ids, n in got:
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64))], ["rep", "links"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64))], ["entry", "links"])
 
     return run
 
@@ -214,37 +232,64 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     c, spark = config, vectors.sparkSession
     small_batches(spark)
     ws = Workspace(spark, "embeddings")
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"), F.col(label_col).alias("label"))
+    kind = dict(vectors.dtypes)[vector_col]
+    own = kind if kind == "array<float>" else "array<double>"  # what is stored is compared in double precision either way
+    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast(own).alias("embedding"), F.col(label_col).alias("label"))
     e = F.col("embedding")
     finite = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0)
     rows = rows.withColumn("fit", F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite, F.lit(False)))
-    classes = ws.save(rows.where("fit").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("mult")).withColumn("dims", F.size("embedding")))
+    fit = rows.where("fit").select("vec_id", "label", "embedding")
+    classes = ws.save(fit.groupBy("label", "embedding").agg(F.min("vec_id").alias("least")).withColumns({"dims": F.size("embedding"), "rep": F.monotonically_increasing_id()}))
+    # Ids and their classes; an id in several classes links them.
+    member = ws.save(fit.join(classes.select("label", "embedding", "rep"), ["label", "embedding"]).groupBy("vec_id", "rep").agg(F.count("*").alias("rows")).select("vec_id", "rep"))
+    several = ws.save(member.groupBy("vec_id").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first <> last").select("vec_id", "first"))
+    scattered = ws.save(member.join(several, "vec_id"))
+    found = ws.save(_neighbours(ws, classes, c))
+    near = components(ws, found.union(scattered.select("first", "rep")))
+
+    component = member.join(near.withColumnRenamed("node", "rep"), "rep", "left").select("vec_id", F.coalesce("component", "rep").alias("component"))
+    least = component.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    named = component.distinct().join(least, "component").select("vec_id", "component_id").distinct()
+
+    # Entries: classes with the number of ids that stand in them alone, and scattered ids.
+    alone = member.join(several.select("vec_id"), "vec_id", "left_anti").groupBy("rep").agg(F.count("*").alias("mult"))
+    single = alone.select("rep", F.xxhash64(F.lit(0), "rep").alias("entry"), "mult")
+    split = scattered.select("rep", F.xxhash64(F.lit(1), "vec_id").alias("entry"), F.lit(1).cast("long").alias("mult"))
+    entry = ws.save(single.unionByName(split))
+    placed = entry.join(near.withColumnRenamed("node", "rep"), "rep")
+    sizes = ws.save(placed.groupBy("component").agg(F.ceil(F.count("*") / c.tile).alias("tiles")))
+    tiled = placed.join(sizes, "component").withColumn("side", F.pmod(F.xxhash64("entry"), F.col("tiles")))
+    tiled = tiled.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"t1": F.least("side", "o"), "t2": F.greatest("side", "o")})
+    vector = classes.select("rep", "embedding", "dims", F.xxhash64("label", "dims").alias("zone"))
+    tiled = tiled.select("component", "t1", "t2", "side", "rep", "entry", "mult").join(vector, "rep")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = tiled.repartition(partitions, "component", "t1", "t2").sortWithinPartitions("component", "t1", "t2").mapInArrow(_count(c), "entry long, links long")
+    links = counted.groupBy("entry").agg(F.sum("links").alias("links"))
+    total = ws.save(entry.join(links, "entry", "left").select("rep", "entry", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links")))
+    lone = member.join(several.select("vec_id"), "vec_id", "left_anti").withColumn("entry", F.xxhash64(F.lit(0), "rep"))
+    many = scattered.select("vec_id", "rep").withColumn("entry", F.xxhash64(F.lit(1), "vec_id"))
+    told = lone.unionByName(many).join(total, ["rep", "entry"]).select("vec_id", "links").distinct()
+    told = ws.save(told.join(named, "vec_id").withColumn("linked", F.lit(True)))
+    out = rows.join(told, "vec_id", "left")
+    out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+def _neighbours(ws: Workspace, classes: DataFrame, c: EmbeddingConfig) -> DataFrame:
+    """Links ``a, b`` between classes that stand close in the order of some pass."""
+    spark = classes.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     codes, size = _coded(ws, classes, c)
     partitions = max(least, math.ceil(size / 500_000))
     ordered = codes.repartitionByRange(partitions, "pass", "label", "dims", "code", "rep").sortWithinPartitions("pass", "label", "dims", "code", "rep")
     ordered = ws.save(ordered.mapInArrow(_numbered, ordered._jdf.schema().toDDL() + ", part int, row long"))
     before, start = 0, []
-    for part, size in sorted((r["part"], r["count"]) for r in ordered.groupBy("part").count().collect()):  # a row a partition
-        start += [F.lit(part), F.lit(before)]
-        before += size
-    rank = (F.create_map(*start)[F.col("part")] + F.col("row")) if start else F.lit(0).cast("long")
-    ranked = ordered.withColumn("rank", rank)
+    for part, n in sorted((r["part"], r["count"]) for r in ordered.groupBy("part").count().collect()):  # a row a partition
+        start.append((part, before))
+        before += n
+    offset = spark.createDataFrame(start, "part int, before long")
+    ranked = ordered.join(F.broadcast(offset), "part").withColumn("rank", F.col("before") + F.col("row"))  # a row a partition
     own, over = F.floor(F.col("rank") / c.block), F.col("rank") % c.block
     dealt = ranked.withColumn("block", F.explode(F.when((over < c.window) & (own > 0), F.array(own - 1, own)).otherwise(F.array(own))))
-    dealt = dealt.select("block", "rank", "pass", "label", "rep").join(classes.select("rep", "embedding", "dims", "label"), ["rep", "label"])
-    found = dealt.repartition(partitions, "block").sortWithinPartitions("block", "rank").mapInArrow(_window(c), "a long, b long")
-    labels = components(ws, found)
-
-    member = labels.withColumnRenamed("node", "rep")
-    sizes = ws.save(member.groupBy("component").agg(F.ceil(F.count("*") / c.tile).alias("tiles")))
-    tiled = member.join(sizes, "component").withColumn("side", F.pmod(F.xxhash64("rep"), F.col("tiles")))
-    tiled = tiled.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"t1": F.least("side", "o"), "t2": F.greatest("side", "o")})
-    tiled = tiled.select("component", "t1", "t2", "side", "rep").join(classes, "rep")
-    counted = tiled.repartition(partitions, "component", "t1", "t2").sortWithinPartitions("component", "t1", "t2").mapInArrow(_count(c), "rep long, links long")
-    links = counted.groupBy("rep").agg(F.sum("links").alias("links"))
-    told = classes.select("label", "embedding", "rep", "mult").join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(links, "rep", "left")
-    told = ws.save(told.select("label", "embedding", F.lit(True).alias("fit"), F.coalesce("component", "rep").alias("component"), (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("links")))
-    out = rows.join(told, ["label", "embedding", "fit"], "left")
-    out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    dealt = dealt.select("block", "rank", "pass", "label", "rep").join(classes.select("rep", "embedding", "dims"), "rep")
+    return dealt.repartition(partitions, "block").sortWithinPartitions("block", "rank").mapInArrow(_window(c), "a long, b long")
