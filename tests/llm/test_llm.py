@@ -5,12 +5,14 @@ import random
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from signalloom.llm import bpe, components, decontaminate, embdedup, licenses, linededup, lmscore, minhash, oracles, pii, quality, queries, urlfilter
+from signalloom.llm import text as text_words
 from signalloom.llm.workspace import Workspace
 
 SF = "/root/testdata/sf0.001"
@@ -80,6 +82,20 @@ def test_near_duplicates_equal_brute_force(spark):
             assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), want[r["doc_id"]], want[r["doc_id"]] == r["doc_id"])
 
 
+def test_near_duplicates_with_repeated_ids_and_rows(spark):
+    """An id that repeats with equal and with different texts is one node with all its texts' links."""
+    rng = random.Random(12)
+    base = [prose(rng, 60) for _ in range(6)]
+    rows = [(1, " ".join(base[0]))] * 1000 + [(2, " ".join(base[0] + ["x"]))] * 50 + [(9, " ".join(prose(rng, 30))) for _ in range(1000)]
+    rows += [(3, " ".join(base[1])), (3, " ".join(base[2])), (4, " ".join(base[2] + ["y"])), (5, " ".join(base[3])), (None, " ".join(base[3]))]
+    out = minhash.near_duplicates(docs(spark, rows), config=minhash.MinHashConfig(words=4)).collect()
+    assert len(out) == len(rows)
+    got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in out}
+    assert got == {1: (1, True), 2: (1, False), 9: (9, True), 3: (3, True), 4: (3, False), 5: (5, True), None: (None, True)}
+    named = minhash.near_duplicates(docs(spark, rows[-5:]).withColumn("doc_id", F.concat(F.lit("id"), "doc_id"))).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in named} == {("id3", "id3"), ("id4", "id3"), ("id5", "id5"), (None, None)}
+
+
 def test_posterior_bound_keeps_true_pairs():
     c = minhash.MinHashConfig()
     rng = np.random.default_rng(0)
@@ -167,12 +183,43 @@ def test_repeated_passages_go_and_offsets_stay(spark):
 
 def test_short_later_occurrences_go_whatever_the_id_or_script(spark):
     rows = [(1, "first of all\nSubscribe now\nalpha 3.14"), (2, "Subscribe now\nbeta 2.14"), (None, "gamma\nSubscribe now"), (3, "今天天气很好。我们走吧。"), (4, "今天天气很好。他不去。"), (5, "twin line"), (5, "twin line"), (5, "own line"), (None, "twin line")]
-    out = sorted((r["doc_id"] or 99, r["text"]) for r in linededup.dedup_units(docs(spark, rows)).collect())
+    out = sorted((r["doc_id"] or 99, r["text"]) for r in linededup.dedup_units(docs(spark, rows), unit="sentence").collect())
     assert out == sorted([(1, rows[0][1]), (2, "beta 2.14"), (99, "gamma\n"), (3, rows[3][1]), (4, "他不去。"), (5, "twin line"), (5, ""), (5, "own line"), (99, "")])
-    kept = {r["doc_id"]: r["text"] for r in linededup.dedup_units(docs(spark, rows[:5]), min_words=5).collect()}
+    kept = {r["doc_id"]: r["text"] for r in linededup.dedup_units(docs(spark, rows[:5]), unit="sentence", min_words=5).collect()}
     assert kept[2] == rows[1][1] and kept[4] == "他不去。"
 
 
+@pytest.mark.parametrize("unit", ["line", "paragraph"])
+def test_later_lines_equal_brute_force(spark, unit):
+    """Every later line goes, whatever its length, and nothing else does while passages are off."""
+    rng = random.Random(4)
+    pool = [" ".join(prose(rng, rng.randrange(1, 12))) + rng.choice(["", ".", "!", ". Second part."]) for _ in range(60)]
+    gap = "\n" if unit == "line" else "\n\n"
+    rows = [(k, gap.join(rng.choice([p, p.upper(), p.replace(" ", "  ")]) for p in rng.choices(pool, k=rng.randrange(6)))) for k in range(80)]
+    out = {r["doc_id"]: r for r in linededup.dedup_units(docs(spark, rows), unit=unit, passage_words=10**6).collect()}
+    seen = set()
+    for k, text in rows:
+        kept = []
+        for piece in text.split(gap):
+            plain = " ".join(piece.lower().split()).rstrip(".!?")
+            if plain not in seen:
+                kept.append(piece)
+            seen.add(plain)
+        assert out[k]["text"].split() == gap.join(kept).split(), k
+        left = "".join(text[a:b] for a, b in zip([0, *(s["end"] for s in out[k]["removed"])], [*(s["start"] for s in out[k]["removed"]), len(text)]))
+        assert left == out[k]["text"] and out[k]["n_removed_words"] == len(text.split()) - len(left.split())
+
+
+def test_sentences_go_only_in_long_passages(spark):
+    rng = random.Random(5)
+    said = ". ".join(" ".join(prose(rng, 8)).capitalize() for _ in range(6)) + "."
+    own = [" ".join(prose(rng, 7)).capitalize() + "." for _ in range(6)]
+    common = "All rights reserved."
+    rows = [(1, f"{own[0]} {said} {common}"), (2, f"{own[1]} {said} {own[2]}\n{own[3]} {common} {own[4]}"), (3, f"{own[5]}\n{common}"), (4, common)]
+    out = {r["doc_id"]: r["text"] for r in linededup.dedup_units(docs(spark, rows)).collect()}
+    assert out[1] == rows[0][1] and out[2] == f"{own[1]} {own[2]}\n{own[3]} {common} {own[4]}" and out[3].strip() == own[5] and out[4] == ""
+
+
 def test_surrogates(spark):
     text = "Mr. John Smith wrote to ann.lee@corp.com and ANN.LEE@CORP.COM from 10.20.30.40. Call +1 (212) 555-0100 or 212-555-0100, card 4111 1111 1111 1111, ssn 123-45-6789. Mrs. Anna Smith; Frau Müller; Госпожа Иванова. token ghp_" + "a1B2" * 9
     rows = [(1, text), (2, "again ann.lee@corp.com"), (3, "nothing personal 2.0 here")] + EDGE
@@ -237,6 +284,22 @@ def test_vectors_equal_brute_force(spark):
     assert all(out[i]["n_links"] == 0 and out[i]["component_id"] == i and out[i]["kept"] for i in (400, 401, 402, 403, 404, 405, 406)) and out[None]["kept"]
 
 
+def test_vectors_with_repeated_ids_equal_sql(spark, tmp_path):
+    rng = np.random.default_rng(14)
+    centre = rng.standard_normal((5, 8))
+    made = lambda: (centre[rng.integers(5)] + 0.15 * rng.standard_normal(8)).astype(np.float32).tolist()
+    rows = [(int(rng.integers(25)), made(), int(rng.integers(2))) for _ in range(80)] + [(5, [1.0] + [0.0] * 7, 0), (5, [1.0, 0.05] + [0.0] * 6, 0), (6, [1.0, 0.02] + [0.0] * 6, 0)]
+    rows += [rows[0]] * 30 + [(5, None, 0), (None, rows[0][1], 0), (40, [1.0, 0.0], 0), (40, rows[1][1], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    df.coalesce(1).write.parquet(str(tmp_path / "v"))
+    out = embdedup.link_vectors(df, config=embdedup.EmbeddingConfig(window=8, block=32, tile=4))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/v/*.parquet'")
+    rel = con.sql(oracles.OP8)
+    key = lambda found: sorted(repr(r) for r in found if r[0] is not None)
+    assert key(map(tuple, out.select(*rel.columns).collect())) == key(rel.fetchall())
+
+
 def test_vectors_in_a_cone_are_met(spark):
     rng = np.random.default_rng(9)
     unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
@@ -259,23 +322,49 @@ def test_license_places_and_expressions(spark):
     assert licenses.postfix("a OR b AND c") == ["a", "b", "c", "and", "or"] and not licenses.evaluate(licenses.postfix("MIT OR"))[1] and out[900]["n_words"] == 0
 
 
-def test_edited_items_are_found(spark):
-    rng = random.Random(6)
-    items = [(k, " ".join(prose(rng, n))) for k, n in enumerate((5, 15, 30, 55))] + [(9, None), (10, "")]
-    rows, want = [], set()
-    for d in range(120):
-        text = prose(rng, 150)
-        if d % 2:
-            k = d % 4
-            words = items[k][1].split()
-            for _ in range(int(0.15 * len(words))):
+def exhaustive(text, item):
+    """Least edits between an item and any window of a text, by the plain table."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(item, 1):
+        old, row = row, [i]
+        for j, y in enumerate(text, 1):
+            row.append(min(old[j - 1] + (x != y), old[j] + 1, row[-1] + 1))
+    return min(row)
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.05, 0.1, 0.15, 0.2])
+def test_leaks_equal_an_exhaustive_search(rate):
+    """Recall against all windows at each rate of edits, and no false leak."""
+    rng = random.Random(int(100 * rate))
+    found = true = 0
+    for size in (1, 4, 6, 12, 20, 33, 58, 80):
+        items = [prose(rng, size) for _ in range(12)]
+        texts = []
+        for k in range(48):
+            words, text = list(items[k % 12]), prose(rng, rng.randrange(90))
+            for _ in range(round(rate * size)):
                 p = rng.randrange(len(words))
-                words[p : p + 1] = rng.choice([["new"], [], [words[p], "more"]])
-            text[40:40] = words
-            want.add((d, k))
-        rows.append((d, " ".join(text)))
-    out = decontaminate.contaminated(docs(spark, rows + EDGE), spark.createDataFrame(items, "item_id long, text string")).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in out} == want
+                words[p : p + 1] = rng.choice([["new"], [], [words[p], "more"]]) if len(words) > 1 else ["new"]
+            at = rng.randrange(len(text) + 1)
+            texts.append(text[:at] + words + text[at:] if k % 4 else text)
+        hashed = lambda rows: text_words.words_of(pa.array([" ".join(r) for r in rows]), decontaminate.APART)
+        w, t = hashed(items), hashed(texts)
+        got = {(d, i): n for d, i, n, *_ in decontaminate.Matcher(np.arange(12), w.hash, w.bounds, decontaminate.DecontaminationConfig()).search(t.hash, t.bounds)}
+        want = {(d, i): n for d, x in enumerate(texts) for i, y in enumerate(items) if (n := exhaustive(x, y)) <= int(0.2 * size + 1e-9)}
+        assert all(want.get(k) == n for k, n in got.items())
+        found, true = found + len(got), true + len(want)
+    assert true > 200 and found >= 0.95 * true, (found, true)
+
+
+def test_leaks_are_found_in_slices_and_groups(spark):
+    rng = random.Random(6)
+    items = [(k, " ".join(prose(rng, 30))) for k in range(20)] + [(90, None), (91, "")]
+    rows = [(d, " ".join(prose(rng, 40) + items[d % 20][1].upper().split() + prose(rng, 40))) for d in range(60)] + EDGE + [(None, items[3][1])]
+    rows.append((70, " ".join(prose(rng, 300_000)) + " " + items[7][1]))
+    config = decontaminate.DecontaminationConfig(group_bytes=2000)
+    out = decontaminate.contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"), config=config).collect()
+    assert {(r["doc_id"], r["item_id"], r["edits"]) for r in out} == {(d, d % 20, 0) for d in range(60)} | {(70, 7, 0), (None, 3, 0)}
+    assert next(r for r in out if r["doc_id"] == 70)["first_word"] == 300_000
 
 
 def test_edit_distance_equals_plain_table():
