@@ -3,8 +3,9 @@
 Quality classifier (rejected documents go), MinHash near-dedup (one document of each
 group stays), benchmark decontamination (documents that hold an item go), surrogates for
 personal data, BPE encoding.  Every stage is written as Parquet and read again before
-the next one.  A document with a null id is judged like others and stays through the
-dedup and decontamination stages, which address documents by id.
+the next one.  The dedup and decontamination stages give every row a key of its own, so
+rows with a null or a repeated id are judged by their own text: of equal rows one stays,
+and a leak takes no other row of its id with it.
 """
 
 from __future__ import annotations
@@ -22,14 +23,23 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``row, key``: every row with a number that is written once, so it stays the same."""
+    return Workspace(spark, "rows").save(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("key")))
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    dropped = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+    """Of each group the row with the smallest id stays, rows without one last."""
+    keyed = _keyed(spark, docs)
+    ranked = F.struct(F.coalesce("row.doc_id", F.lit(2**63 - 1)).alias("id"), "key").alias("doc_id")
+    dropped = minhash.near_duplicates(keyed.select(ranked, F.col("row.text").alias("text"))).where("not kept").select("doc_id.key")
+    return keyed.join(dropped, "key", "left_anti").select("row.*")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    leaks = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti")
+    keyed = _keyed(spark, docs)
+    leaks = decontaminate.contaminated(keyed.select("key", "row.text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="key")
+    return keyed.join(leaks.select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti").select("row.*")
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
