@@ -3,7 +3,8 @@
 A formula is Python expression syntax over columns, numbers and the registered
 functions; it is parsed and checked node by node and never evaluated.  Equal
 subexpressions are computed once.  Window functions become hidden columns, one
-``withColumns`` a nesting level, so that plans grow with the number of distinct nodes.
+``withColumns`` and one smoothing pass a nesting level, so that plans grow with the
+number of levels.
 Later formulas see earlier ones.
 """
 
@@ -15,7 +16,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .smoothing import ewm
+from .smoothing import Smoothing, smooth
 from .timeseries import FUNCTIONS, PLAIN, Series, safe_div
 
 OPERATORS = {
@@ -117,8 +118,7 @@ def apply_formulas(df: DataFrame, formulas: dict[str, str], keys: list[str], tim
     for level in range(1, max([0, *plan.windows, *plan.smooth]) + 1):
         df = df.withColumns(plan.inputs[level]) if plan.inputs[level] else df
         df = df.withColumns(plan.windows[level]) if plan.windows[level] else df
-        for source, out, n in plan.smooth[level]:
-            df = ewm(df, source, out, keys, time, alpha=2 / (n + 1), least=n)
+        df = smooth(df, [Smoothing(source, out, 2 / (n + 1), n) for source, out, n in plan.smooth[level]], keys, time)
     whole = {n: (c if isinstance(c, Column) else F.lit(c)) for n, (c, _) in plan.named.items()}
     hidden = [c for c in df.columns if c.startswith("__f")]
     return df.withColumns(whole).drop(*hidden)

@@ -1,38 +1,99 @@
-"""Exponential smoothing as an exact scan.
+"""Exponential smoothing in one pass over ordered rows.
 
-s_t = (1 - alpha) s_(t-1) + alpha x_t is an affine map of s_(t-1), so a series is cut
-into buckets of rows; each bucket folds its own rows with a window, and what enters a
-bucket is folded from the few bucket totals before it.  All of it stays in the JVM.
+s_t = (1 - alpha) s_(t-1) + alpha x_t is a recursion over a whole series, which no window
+frame of bounded size holds.  A numbering window brings the rows of a series together and
+in order (without a shuffle of its own where they already are); Arrow batches of that
+order are then folded by pandas' compiled recursion, and the last state of a batch goes
+on into the next.  Memory is one batch, time is linear in the rows, and all smoothings
+asked for together share the pass, so a plan grows by one node a nesting level.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-
-BUCKET = 128
+from pyspark.sql import types as T
 
 
-def ewm(df: DataFrame, source: str, out: str, keys: list[str], time: str, alpha: float, least: int = 1) -> DataFrame:
-    """``df`` with the smoothed ``source`` as ``out``, NULL before ``least`` values.
+@dataclass(frozen=True)
+class Smoothing:
+    """``out`` is ``source`` smoothed by ``alpha``, NULL before ``least`` values.
 
-    Leading NULLs are skipped; the first value starts the recursion.  A NULL further on
-    repeats the last state.
+    A NULL further on repeats the last state.  The weight of that state decays over it as
+    over any row, or not at all where ``decay`` is off.
     """
+
+    source: str
+    out: str
+    alpha: float
+    least: int = 1
+    decay: bool = True
+
+
+class _State:
+    """What one smoothing carries from batch to batch."""
+
+    def __init__(self, spec: Smoothing):
+        self.spec = spec
+        self.reset()
+
+    def reset(self) -> None:
+        self.seen, self.last, self.empty = 0, float("nan"), 0  # values, last state, rows without one since
+
+    def fold(self, x: np.ndarray, series: np.ndarray, goes_on: bool) -> np.ndarray:
+        """Smoothed ``x``; ``series`` numbers its series, the first of which may go on from before."""
+        if not goes_on:
+            self.reset()
+        before = np.concatenate([[self.last], np.full(self.empty, np.nan)]) if self.seen else np.zeros(0)
+        values = pd.Series(np.concatenate([before, x]))
+        number = np.concatenate([np.full(len(before), series[0]), series])
+        smoothed = values.groupby(number).ewm(alpha=self.spec.alpha, adjust=False, ignore_na=not self.spec.decay).mean().to_numpy()[len(before) :]
+        known = ~np.isnan(x)
+        count = np.cumsum(known)
+        first = np.searchsorted(series, series, "left")
+        count = count - np.where(first > 0, count[first - 1], 0) + np.where(series == series[0], self.seen, 0)
+        tail = np.flatnonzero(known & (series == series[-1]))
+        alone = series[0] != series[-1]
+        if len(tail):
+            self.last, self.empty = float(smoothed[-1]), int(len(x) - 1 - tail[-1])
+        elif alone:
+            self.last, self.empty = float("nan"), 0
+        else:
+            self.empty += len(x)
+        self.seen = int(count[-1])
+        return np.where(count >= max(self.spec.least, 1), smoothed, np.nan)
+
+
+def smooth(df: DataFrame, specs: list[Smoothing], keys: list[str], time: str) -> DataFrame:
+    """``df`` with a column for each of ``specs``; a column of the same name is replaced."""
+    if not specs:
+        return df
+    made = [s.out for s in specs]
+    kept = [c for c in df.columns if c not in made]
     order = Window.partitionBy(*keys).orderBy(time)
-    keep = 1 - alpha
-    base = df.withColumn("__n", F.count(source).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    base = base.withColumn("__b", F.floor((F.col("__n") - 1) / BUCKET)).withColumn("__i", (F.col("__n") - 1) % BUCKET)
-    inside = Window.partitionBy(*keys, "__b").orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
-    weight = F.when(F.col("__n") == 1, F.lit(1.0)).otherwise(F.lit(alpha))
-    if keep <= 0:
-        return base.withColumn(out, F.when(F.col("__n") >= least, F.last(source, True).over(order))).drop("__n", "__b", "__i")
-    local = F.sum(F.when(F.col(source).isNotNull(), weight * F.col(source) * F.pow(F.lit(keep), -F.col("__i").cast("double")))).over(inside)
-    base = base.withColumn("__s", local * F.pow(F.lit(keep), F.col("__i").cast("double")))
-    tails = base.where(F.col(source).isNotNull() & (F.col("__i") == BUCKET - 1)).select(*keys, F.col("__b").alias("__t"), F.col("__s").alias("__tail"))
-    before = Window.partitionBy(*keys).orderBy("__t").rowsBetween(Window.unboundedPreceding, 0)
-    folded = F.aggregate(F.collect_list("__tail").over(before), F.lit(0.0), lambda a, tail: a * (keep**BUCKET) + tail)
-    carry = tails.select(*keys, (F.col("__t") + 1).alias("__b"), folded.alias("__carry"))
-    joined = base.join(carry, [*keys, "__b"], "left")
-    value = F.col("__s") + F.coalesce("__carry", F.lit(0.0)) * F.pow(F.lit(keep), (F.col("__i") + 1).cast("double"))
-    return joined.withColumn(out, F.when(F.col("__n") >= least, value)).select(*df.columns, out)
+    inputs = [F.col(s.source).cast("double").alias(f"__x{k}") for k, s in enumerate(specs)]
+    numbered = df.select(*kept, *inputs, F.row_number().over(order).alias("__row"))
+    schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(c, T.DoubleType()) for c in made)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states = [_State(s) for s in specs]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            starts = np.array(b.column("__row")) == 1
+            series = np.cumsum(starts)
+            new = [s.fold(b.column(f"__x{k}").to_numpy(zero_copy_only=False).astype(float), series, not starts[0]) for k, s in enumerate(states)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array(v, pa.float64(), from_pandas=True) for v in new)], [*kept, *made])
+
+    return numbered.mapInArrow(run, schema)
+
+
+def ewm(df: DataFrame, source: str, out: str, keys: list[str], time: str, alpha: float, least: int = 1, decay: bool = True) -> DataFrame:
+    """``df`` with the smoothed ``source`` as ``out``."""
+    return smooth(df, [Smoothing(source, out, alpha, least, decay)], keys, time)

@@ -61,48 +61,21 @@ def turnover(df: DataFrame, keys: list[str], value: str, time: str, tie: str, le
     return df.withColumn("__d", step).groupBy(*keys).agg(F.sum(F.when(F.col("__d") >= least, F.col("__d")).otherwise(0.0)).alias("turnover"), F.count(F.when(F.col("__d") >= least, 1)).alias("moves"))
 
 
-def pool(wallets: DataFrame, name: str, scores: list[str], k: int) -> DataFrame:
-    """Union of the top ``k`` by each score."""
+def pool(wallets: DataFrame, name: str, scores: list[str], k: int, snapshots: str | None = None, least: int = 0, otherwise: int = 250) -> DataFrame:
+    """Union of the top ``k`` by each score, of those with at least ``least`` snapshots.
+
+    Where none of them has that many, the ``otherwise`` wallets with the most snapshots
+    that do.
+    """
     out = None
     for s in scores:
         top = wallets.orderBy(F.col(s).desc_nulls_last(), name).limit(k).select(name)
         out = top if out is None else out.union(top)
-    return out.distinct()
-
-
-def wallet_features(df: DataFrame, user: str, value: str, time: str) -> DataFrame:
-    """Behaviour of each wallet over its events."""
-    gap = F.col(time) - F.lag(time).over(Window.partitionBy(user).orderBy(time, "event_id"))
-    kinds = df.groupBy(user, "event_type").agg(F.count("*").alias("n"))
-    first = Window.partitionBy(user).orderBy(F.col("n").desc(), "event_type")
-    top = kinds.withColumn("r", F.row_number().over(first)).where("r = 1").select(user, F.col("event_type").alias("dominant"))
-    size = F.abs(value)
-    out = df.withColumn("__gap", gap).groupBy(user).agg(
-        F.count("*").alias("trades"), F.avg(size).alias("exposure"), F.sum(size).alias("volume"), F.coalesce(F.percentile("__gap", 0.5), F.lit(0.0)).alias("median_gap"),
-        F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("spread"), F.abs(F.sum(F.col("side") * size) / F.sum(size)).alias("net_ratio"), F.countDistinct(F.floor(F.col(time) / 86_400_000)).alias("active_days"),
-    )
-    return out.join(top, user)
-
-
-ARCHETYPES = {
-    "holder": {"median_gap": 0.6, "exposure": 0.4},
-    "scalper": {"trades": 0.6, "median_gap": -0.4},
-    "directional": {"net_ratio": 0.7, "volume": 0.3},
-    "hedger": {"net_ratio": -0.7, "active_days": 0.3},
-    "volatile": {"spread": 0.8, "exposure": 0.2},
-}
-
-
-def score_archetypes(features: DataFrame, user: str) -> DataFrame:
-    """Average-tie percentile ranks, linear scores, the first best label and its margin.
-
-    Ranks need one global order of the features; they are over wallets, not events.
-    """
-    used = sorted({f for w in ARCHETYPES.values() for f in w})
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    ranks = {f"{f}_rank": (F.rank().over(Window.orderBy(f)) + (F.count(F.lit(1)).over(Window.partitionBy(f)) - 1) / 2) / n for f in used}
-    ranked = features.withColumns(ranks)
-    scores = {f"{a}_score": sum((F.col(f"{f}_rank") if w > 0 else 1 - F.col(f"{f}_rank")) * abs(w) for f, w in weights.items()) for a, weights in ARCHETYPES.items()}
-    ranked = ranked.withColumns({k: F.round(v, 9) for k, v in scores.items()})
-    order = F.array_sort(F.array(*(F.struct((-F.col(f"{a}_score")).alias("s"), F.lit(i).alias("i"), F.lit(a).alias("a")) for i, a in enumerate(ARCHETYPES))))
-    return ranked.withColumn("__o", order).withColumns({"archetype": F.col("__o")[0]["a"], "margin": F.col("__o")[1]["s"] - F.col("__o")[0]["s"]}).drop("__o")
+    out = out.distinct()
+    if snapshots is None:
+        return out
+    fit = wallets.where(F.col(snapshots) >= least).select(name, snapshots)
+    first = fit.join(F.broadcast(out), name, "left_semi").select(name)  # at most k a score
+    some = first.agg((F.count("*") > 0).alias("__some"))  # one row
+    most = fit.orderBy(F.col(snapshots).desc(), name).limit(otherwise).select(name)
+    return first.union(most.crossJoin(F.broadcast(some)).where("not __some").select(name))

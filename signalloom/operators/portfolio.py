@@ -145,3 +145,38 @@ def two_stage_ols(df: DataFrame, target: str, base: list[str], extra: list[str],
     free = F.col("n") - len(base) - len(extra) - 1
     f = ((F.col("sse_base") - F.col("sse_joint")) / len(extra)) / (F.col("sse_joint") / free)
     return out.withColumn("block_f", F.when(F.col("segment") == "train", f)).drop("sse_base", "sse_joint")
+
+
+def risk_parity(traces: DataFrame, keys: list[str], n: int, ret: str = "ret_1", eps: float = 1e-12) -> DataFrame:
+    """``keys, time_ms, position``: signals weighted by the inverse volatility of their gross returns, within one unit."""
+    gross = rolling_ann_vol(traces.withColumn("__g", F.col("position") * F.coalesce(ret, F.lit(0.0))), [*keys, "signal"], n, 1.0, "__g")
+    mixed = inverse_vol_weights(gross, [*keys, "time_ms"], eps).groupBy(*keys, "time_ms").agg(F.sum(F.col("position") * F.col("weight")).alias("p"))
+    return mixed.select(*keys, "time_ms", F.when(F.col("p") > 1, 1.0).when(F.col("p") < -1, -1.0).otherwise(F.col("p")).alias("position"))
+
+
+def vol_target_leverage(df: DataFrame, keys: list[str], target: float, n: int, least: int, bars: float, pos: str = "position", ret: str = "ret_1") -> DataFrame:
+    """Target over the rolling deviation (ddof 1) of position times return, between 0.15 and 6; the last known one, else 1."""
+    s = Series(keys, "time_ms")
+    x = F.col(pos) * F.col(ret)
+    sd = F.when(F.count(x).over(s.last(n)) >= least, F.greatest(F.stddev_samp(x).over(s.last(n)), F.lit(1e-12)))
+    df = df.withColumn("__l", target / bars**0.5 / sd)
+    df = df.withColumn("__l", F.when(F.col("__l").isNotNull(), F.least(F.greatest("__l", F.lit(0.15)), F.lit(6.0))))
+    past = Window.partitionBy(*keys).orderBy("time_ms").rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("leverage", F.coalesce(F.last("__l", True).over(past), F.lit(1.0))).drop("__l")
+
+
+def lift(traces: DataFrame, by: list[str], model: str, base: str, c) -> DataFrame:
+    """Annual return and Sharpe of each other model less those of ``base``, in the same group."""
+    from .signals import sharpe
+
+    figures = traces.groupBy(*by, model).agg((F.avg("net_ret") * c.bars_per_year).alias("ann_ret"), sharpe("net_ret", c).alias("sharpe"))
+    own = figures.where(F.col(model) == base).select(*by, F.col("ann_ret").alias("__r"), F.col("sharpe").alias("__s"))
+    both = figures.where(F.col(model) != base).join(own, by)
+    return both.select(*by, model, (F.col("ann_ret") - F.col("__r")).alias("ann_ret_lift"), (F.col("sharpe") - F.col("__s")).alias("sharpe_lift"))
+
+
+def train_scaled(df: DataFrame, columns: list[str], train, most: float = 6.0) -> DataFrame:
+    """Columns less the train mean over the train deviation, within ``most``; the figures are one row, so their join is a broadcast."""
+    stats = df.where(train).agg(*(f(c).alias(f"__{k}_{c}") for c in columns for k, f in (("m", F.avg), ("s", F.stddev_samp))))
+    z = {c: (F.col(c) - F.col(f"__m_{c}")) / F.when(F.col(f"__s_{c}") > 0, F.col(f"__s_{c}")) for c in columns}
+    return df.crossJoin(F.broadcast(stats)).select(*(c for c in df.columns if c not in columns), *(F.when(v > most, most).when(v < -most, -most).otherwise(v).alias(c) for c, v in z.items()))

@@ -22,8 +22,21 @@ class BacktestConfig:
     clip: float = 2.5
     step: float = 0.1
     deadband: float = 0.0
+    deadband_long: float | None = None
+    deadband_short: float | None = None
     bars_per_year: float = 8760.0
 
+    @property
+    def band(self) -> tuple[float, float]:
+        """Least z of a long and of a short entry; one arm alone serves both sides."""
+        long_at = self.deadband if self.deadband_long is None else self.deadband_long
+        short_at = self.deadband if self.deadband_short is None else self.deadband_short
+        if self.deadband == 0 and self.deadband_short is None:
+            short_at = long_at
+        if self.deadband == 0 and self.deadband_long is None:
+            long_at = short_at
+        return long_at, short_at
+
     @property
     def cost(self) -> float:
         return (self.fee_bps + self.slippage_bps) / 10_000
@@ -49,7 +62,7 @@ def deadband(z: Column, long_at: float, short_at: float) -> Column:
 def squash(z: Column, c: BacktestConfig, mode: str = "tanh") -> Column:
     """Clipped, banded and squashed into one unit."""
     z = F.when(z > c.clip, c.clip).when(z < -c.clip, -c.clip).otherwise(z)
-    z = deadband(z, c.deadband, c.deadband)
+    z = deadband(z, *c.band)
     return F.signum(z) if mode == "sign" else F.tanh(z / c.clip)
 
 
@@ -103,14 +116,59 @@ def split_last(df: DataFrame, keys: list[str], share: float) -> DataFrame:
     return df.withColumn("segment", F.when(at > n - test, "test").otherwise("train"))
 
 
-def walk_forward(trace: DataFrame, keys: list[str], folds: int, c: BacktestConfig) -> DataFrame:
-    """Sharpe over contiguous folds and the robust score of a series."""
-    n, at = F.count("*").over(Window.partitionBy(*keys)), F.row_number().over(Window.partitionBy(*keys).orderBy("time_ms"))
-    fold = F.least(F.floor((at - 1) / F.floor(n / folds)), F.lit(folds - 1))
-    sd = F.stddev_pop("net_ret")
-    per = trace.withColumn("fold", fold).groupBy(*keys, "fold").agg(F.when(sd > 0, F.avg("net_ret") / sd * c.bars_per_year**0.5).alias("s"))
-    out = per.groupBy(*keys).agg(F.min("s").alias("wf_min"), F.avg("s").alias("wf_mean"), F.stddev_pop("s").alias("wf_std"))
-    return out.withColumn("robust_score", F.col("wf_mean") + 0.45 * F.col("wf_min") - 0.25 * F.col("wf_std"))
+def split_at(df: DataFrame, edge_ms: int) -> DataFrame:
+    """``segment``: train before the edge, test from it on."""
+    return df.withColumn("segment", F.when(F.col("time_ms") < edge_ms, "train").otherwise("test"))
+
+
+def sharpe(ret: str, c: BacktestConfig, over=None) -> Column:
+    """Annual mean over annual deviation (ddof 0), as an aggregate or over a window."""
+    mean, sd = F.avg(ret), F.stddev_pop(ret)
+    mean, sd = (mean.over(over), sd.over(over)) if over is not None else (mean, sd)
+    return F.when(sd > 0, mean / sd * c.bars_per_year**0.5)
+
+
+def walk_forward(trace: DataFrame, keys: list[str], folds: int, c: BacktestConfig, base: str | None = None) -> DataFrame:
+    """Sharpe over contiguous folds and the robust score of a series.
+
+    The score starts from the column ``base`` (a figure of the whole series), or else from
+    the Sharpe of the whole trace.  Missing returns are left out; a series of fewer than
+    max(120, 20 a fold) returns has no figures.
+    """
+    whole, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("time_ms")
+    n, at = F.count("net_ret").over(whole), F.count("net_ret").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    start = F.col(base) if base else sharpe("net_ret", c, whole)
+    df = trace.select(*keys, "net_ret", n.alias("__n"), at.alias("__at"), start.cast("double").alias("__base"))
+    fold = F.least(F.floor((F.col("__at") - 1) / F.greatest(F.floor(F.col("__n") / folds), F.lit(1))), F.lit(folds - 1))
+    enough = F.col("net_ret").isNotNull() & (F.col("__n") >= max(120, 20 * folds))
+    per = df.withColumn("__fold", F.when(enough, fold)).groupBy(*keys, "__fold").agg(sharpe("net_ret", c).alias("s"), F.max("__base").alias("__base"))
+    of = F.when(F.col("__fold").isNotNull(), F.col("__s"))
+    out = per.groupBy(*keys).agg(F.min(of).alias("wf_min"), F.avg(of).alias("wf_mean"), F.stddev_pop(of).alias("wf_std"), F.max("__b").alias("__base"))
+    return out.withColumn("robust_score", F.col("__base") + 0.45 * F.col("wf_min") - 0.25 * F.col("wf_std")).drop("__base")
+
+
+def ensemble(traces: DataFrame, keys: list[str], weights: dict[str, float]) -> DataFrame:
+    """Net return and equity of weighted signals; weights count by their absolute sum, equal ones where that is zero.
+
+    A signal without a row at a time adds nothing.
+    """
+    total = sum(abs(w) for w in weights.values())
+    share = {s: w / total if total > 0 else 1 / len(weights) for s, w in weights.items()}
+    by = F.lit(0.0)
+    for s, w in share.items():
+        by = F.when(F.col("signal") == s, w).otherwise(by)
+    out = traces.where(F.col("signal").isin([*share])).groupBy(*keys, "time_ms").agg(F.sum(F.coalesce("net_ret", F.lit(0.0)) * by).alias("net_ret"))
+    order = Window.partitionBy(*keys).orderBy("time_ms").rowsBetween(Window.unboundedPreceding, 0)
+    return out.withColumn("equity", F.product(1 + F.col("net_ret")).over(order))
+
+
+def scaled_window(z_window: int, bar_minutes: int, least: int = 16) -> int:
+    """A window of one-minute bars in bars of another size."""
+    return max(least, round(z_window / bar_minutes))
+
+
+def frequency_label(bar_minutes: int) -> str:
+    return f"{bar_minutes // 60}h" if bar_minutes % 60 == 0 else f"{bar_minutes}m"
 
 
 def triggers(df: DataFrame, keys: list[str], pos: str = "position") -> DataFrame:

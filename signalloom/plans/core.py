@@ -224,9 +224,10 @@ def train_test_metrics(spark, sf):
     return shown(S.metrics(S.split_last(trace(spark, sf), K, 0.2), [*K, "segment"], CFG), [*K, "segment"])
 
 
-@query(f"""{WT}, f AS (SELECT *, least((row_number() OVER ({OVER}) - 1) // (n // 6), 5) AS fold FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM trace)),
-s AS (SELECT symbol, fold, avg(net_ret) / nullif(stddev_pop(net_ret), 0) * sqrt(8760) AS s FROM f GROUP BY ALL)
-SELECT symbol, round(min(s), 6) AS wf_min, round(avg(s), 6) AS wf_mean, round(stddev_pop(s), 6) AS wf_std, round(avg(s) + 0.45 * min(s) - 0.25 * stddev_pop(s), 6) AS robust_score FROM s GROUP BY symbol""")
+@query(f"""{WT}, f AS (SELECT *, CASE WHEN n >= 120 THEN least((row_number() OVER ({OVER}) - 1) // greatest(n // 6, 1), 5) END AS fold FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM trace)),
+s AS (SELECT symbol, fold, avg(net_ret) / nullif(stddev_pop(net_ret), 0) * sqrt(8760) AS s FROM f WHERE fold IS NOT NULL GROUP BY ALL),
+b AS (SELECT symbol, avg(net_ret) / nullif(stddev_pop(net_ret), 0) * sqrt(8760) AS base FROM trace GROUP BY symbol), w AS (SELECT symbol, min(s) AS lo, avg(s) AS mid, stddev_pop(s) AS sd FROM s GROUP BY symbol)
+SELECT symbol, round(lo, 6) AS wf_min, round(mid, 6) AS wf_mean, round(sd, 6) AS wf_std, round(base + 0.45 * lo - 0.25 * sd, 6) AS robust_score FROM b LEFT JOIN w USING (symbol)""")
 def walk_forward_folds(spark, sf):
     return rounded(S.walk_forward(trace(spark, sf), K, 6, CFG), "wf_min", "wf_mean", "wf_std", "robust_score")
 
@@ -268,11 +269,11 @@ def asof_upsample(spark, sf):
     return S.asof_backward(slow, fast, K, "position")
 
 
-@query(f"""{WB}, p AS (SELECT event_id, event_type AS symbol, time_ms FROM ev WHERE event_id % 10 = 0),
+@query(f"""{WB}, p AS (SELECT event_id, event_type AS symbol, time_ms FROM ev),
 a AS (SELECT p.*, b.time_ms AS t, b.close AS v FROM p ASOF LEFT JOIN bars b ON p.symbol = b.symbol AND p.time_ms >= b.time_ms), f AS (SELECT a.*, b.time_ms AS t2, b.close AS v2 FROM a ASOF LEFT JOIN bars b ON a.symbol = b.symbol AND a.time_ms <= b.time_ms)
 SELECT symbol, time_ms, CASE WHEN t IS NULL OR t2 - time_ms < time_ms - t THEN v2 ELSE v END AS close, CASE WHEN t IS NULL OR t2 - time_ms < time_ms - t THEN t2 ELSE t END AS bar_ms FROM f""")
 def nearest_marker(spark, sf):
-    points = events(spark, sf).where(F.col("event_id") % 10 == 0).select(F.col("event_type").alias("symbol"), "time_ms")
+    points = events(spark, sf).select(F.col("event_type").alias("symbol"), "time_ms")
     return S.nearest(points, bars(spark, sf), K, "close")
 
 
@@ -401,13 +402,17 @@ def latest_segment(spark, sf):
     return Q.latest_segment(bars(spark, sf), K, 3 * HOUR).select("symbol", "time_ms", "close")
 
 
-ALIGN = "al AS (SELECT coalesce(p.time_ms, c.time_ms) AS time_ms, p.close AS purchase, c.close AS click FROM (SELECT * FROM bars WHERE symbol = 'purchase') p FULL JOIN (SELECT * FROM bars WHERE symbol = 'click') c USING (time_ms))"
+NAMES = ["click", "error", "purchase", "signup", "view"]  # the event types
+ALIGN = "al AS (SELECT time_ms, " + ", ".join(f"max(close) FILTER (symbol = '{n}') AS {n}" for n in NAMES) + " FROM bars GROUP BY time_ms)"
+
+
+EVERY = " AND ".join(f"{n} IS NOT NULL" for n in NAMES)
 
 
 def aligned(spark, sf) -> DataFrame:
     b = bars(spark, sf)
-    two = {s: b.where(F.col("symbol") == s).select("time_ms", "close") for s in ("purchase", "click")}
-    return Q.align(two, []).select("time_ms", F.col("purchase__close").alias("purchase"), F.col("click__close").alias("click"))
+    tables = {s: b.where(F.col("symbol") == s).select("time_ms", "close") for s in NAMES}
+    return Q.align(tables, []).select("time_ms", *(F.col(f"{s}__close").alias(s) for s in NAMES))
 
 
 @query(f"{WB}, {ALIGN} SELECT * FROM al")
@@ -415,15 +420,15 @@ def align_full_outer(spark, sf):
     return aligned(spark, sf)
 
 
-@query(f"{WB}, {ALIGN}, f AS (SELECT min(time_ms) AS t FROM al WHERE purchase IS NOT NULL AND click IS NOT NULL) SELECT al.* FROM al, f WHERE time_ms >= t AND purchase IS NOT NULL AND click IS NOT NULL")
+@query(f"{WB}, {ALIGN}, f AS (SELECT min(time_ms) AS t FROM al WHERE {EVERY}) SELECT al.* FROM al, f WHERE time_ms >= t AND {EVERY}")
 def clean_table(spark, sf):
-    return Q.clean_table(aligned(spark, sf), [], ["purchase", "click"], 1000 * HOUR)
+    return Q.clean_table(aligned(spark, sf), [], NAMES, 1000 * HOUR)
 
 
-@query(f"{WB}, {ALIGN} SELECT time_ms, coalesce(purchase, click * 2) AS purchase, (purchase IS NULL AND click IS NOT NULL)::INT AS filled FROM al")
+@query(f"{WB}, {ALIGN} SELECT time_ms, click, " + ", ".join(f"coalesce({n}, click * 2) AS {n}" for n in NAMES[1:]) + ", " + " + ".join(f"({n} IS NULL AND click IS NOT NULL)::INT" for n in NAMES[1:]) + " AS filled FROM al")
 def patch_fill(spark, sf):
     al = aligned(spark, sf)
-    return Q.patch_fill(al.select("time_ms", "purchase"), al.select("time_ms", (F.col("click") * 2).alias("purchase")), [], ["purchase"])
+    return Q.patch_fill(al, al.select("time_ms", *((F.col("click") * 2).alias(n) for n in NAMES[1:])), [], NAMES[1:])
 
 
 @query(f"{WB}, r AS (SELECT b.symbol, b.high / b.low AS ratio FROM bars b WHERE low <> 0), q AS (SELECT symbol, ratio, quantile_cont(ratio, 0.01) OVER (PARTITION BY symbol) AS lo, quantile_cont(ratio, 0.99) OVER (PARTITION BY symbol) AS hi FROM r) SELECT symbol, round(median(ratio), 6) AS ratio, count(*) AS n FROM q WHERE ratio BETWEEN lo AND hi GROUP BY symbol")
@@ -432,10 +437,10 @@ def volume_ratio(spark, sf):
     return rounded(Q.trimmed_ratio(b.select(*K, "time_ms", F.col("high").alias("x")), b.select(*K, "time_ms", F.col("low").alias("x")), K, "x"), "ratio")
 
 
-@query("""WITH d AS (SELECT user_id, ts::DATE AS day, count(*) AS n FROM events WHERE user_id < 50 GROUP BY ALL), s AS (SELECT user_id, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM d GROUP BY user_id)
+@query("""WITH d AS (SELECT user_id, ts::DATE AS day, count(*) AS n FROM events GROUP BY ALL), s AS (SELECT user_id, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM d GROUP BY user_id)
 SELECT s.user_id, s.day, coalesce(n, 0) AS n FROM s LEFT JOIN d USING (user_id, day)""")
 def daily_calendar_fill(spark, sf):
-    daily = table(spark, sf, "events").where("user_id < 50").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    daily = table(spark, sf, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
     return Q.calendar_fill(daily, ["user_id"], "day", ["n"])
 
 
@@ -445,9 +450,9 @@ def merge_check(spark, sf):
     return Q.merge_check(b, b.where(F.col("time_ms") % (2 * HOUR) == 0), [*K, "time_ms"], "close")
 
 
-@query(f"""{WB}, {ALIGN}, u AS (UNPIVOT al ON purchase, click INTO NAME "column" VALUE value), s AS (SELECT "column", time_ms - lag(time_ms) OVER (PARTITION BY "column" ORDER BY time_ms) AS step FROM u) SELECT "column", count(*) AS rows, median(step) FILTER (step > 0) AS median_step FROM s GROUP BY 1""")
+@query(f"""{WB}, {ALIGN}, u AS (UNPIVOT al ON {", ".join(NAMES)} INTO NAME "column" VALUE value), s AS (SELECT "column", time_ms - lag(time_ms) OVER (PARTITION BY "column" ORDER BY time_ms) AS step FROM u) SELECT "column", count(*) AS rows, median(step) FILTER (step > 0) AS median_step FROM s GROUP BY 1""")
 def coverage_of_columns(spark, sf):
-    return Q.coverage_of_columns(aligned(spark, sf), [], ["purchase", "click"])
+    return Q.coverage_of_columns(aligned(spark, sf), [], NAMES)
 
 
 # Events, wallets, sources -----------------------------------------------------------
@@ -493,25 +498,6 @@ def wallet_pool_topk(spark, sf):
     return E.pool(w, "user_id", ["n", "m"], 25)
 
 
-def _archetype_sql() -> str:
-    used = sorted({f for w in E.ARCHETYPES.values() for f in w})
-    ranks = ", ".join(f"(rank() OVER (ORDER BY {f}) + (count(*) OVER (PARTITION BY {f}) - 1) / 2) / count(*) OVER () AS {f}_rank" for f in used)
-    score = lambda w: " + ".join(f"{abs(v)} * {f'{f}_rank' if v > 0 else f'(1 - {f}_rank)'}" for f, v in w.items())
-    scores = ", ".join(f"round(({score(w)})::DOUBLE, 9) AS {a}_score" for a, w in E.ARCHETYPES.items())
-    listed = ", ".join(f"{{'s': -{a}_score, 'i': {i}, 'a': '{a}'}}" for i, a in enumerate(E.ARCHETYPES))
-    return f"""{WE}, g AS (SELECT *, time_ms - lag(time_ms) OVER (PARTITION BY user_id ORDER BY time_ms, event_id) AS gap FROM al),
-feat AS (SELECT user_id, count(*) AS trades, avg(abs(value)) AS exposure, sum(abs(value)) AS volume, coalesce(median(gap), 0) AS median_gap, coalesce(stddev_samp(value), 0) AS spread, abs(sum(side * abs(value)) / sum(abs(value))) AS net_ratio, count(DISTINCT time_ms // 86400000) AS active_days FROM g GROUP BY user_id),
-fr AS (SELECT user_id, trades, active_days, round(median_gap, 6) AS median_gap, round(exposure, 6) AS exposure, round(volume, 6) AS volume, round(spread, 6) AS spread, round(net_ratio, 6) AS net_ratio FROM feat),
-rk AS (SELECT *, {ranks} FROM fr), sc AS (SELECT *, {scores} FROM rk), so AS (SELECT *, list_sort([{listed}]) AS o FROM sc)
-SELECT user_id, trades, median_gap, exposure, o[1].a AS archetype, round(o[2].s - o[1].s, 6) AS margin FROM so"""
-
-
-@query(_archetype_sql())
-def archetype_scores(spark, sf):
-    feats = rounded(E.wallet_features(alerts(spark, sf), "user_id", "value", "time_ms"), "median_gap", "exposure", "volume", "spread", "net_ratio")
-    return rounded(E.score_archetypes(feats, "user_id").select("user_id", "trades", "median_gap", "exposure", "archetype", "margin"), "margin")
-
-
 @query("SELECT user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def dedupe_keep_last(spark, sf):
     return L.keep_last(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "value")

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from signalloom.functions.compiler import FormulaError, apply_formulas
-from signalloom.functions.smoothing import ewm
-from signalloom.operators import bars, events, portfolio, quality, signals
+from signalloom.functions.smoothing import Smoothing, ewm, smooth
+from signalloom import catalog
+from signalloom.operators import bars, portfolio, quality, signals, wallets
 from signalloom.plans import core
 from signalloom.sources import payloads
 from signalloom.streaming import minutes
@@ -30,7 +31,7 @@ VALUES = [None, 3.0, 1.0, 2.0, 2.0, 2.0, 2.0, 5.0, -1.0, 0.0, 4.0, 4.5]
 def near(a, b):
     assert len(a) == len(b)
     for x, y in zip(a, b):
-        y = None if y is None or pd.isna(y) or math.isinf(y) else y
+        x, y = (None if v is None or pd.isna(v) or math.isinf(v) else v for v in (x, y))
         assert (x is None) == (y is None) and (x is None or abs(x - y) < 1e-9), (a, b)
 
 
@@ -55,6 +56,52 @@ def test_formula_language_is_closed(spark, bad):
         apply_formulas(series(spark, VALUES), {"out": bad}, ["s"])
 
 
+@pytest.mark.parametrize("decay", [True, False])
+def test_smoothing_with_gaps_in_any_batch(spark, decay):
+    """Several series, NULLs at the start and inside, batches that end anywhere, two smoothings at once."""
+    rng = __import__("random").Random(3)
+    data = {s: [rng.gauss(0, 5) if rng.random() > 0.3 else None for _ in range(n)] for s, n in (("a", 57), ("b", 1), ("c", 23), ("d", 0), ("e", 40))}
+    data["c"] = [None] * 23
+    df = spark.createDataFrame([(s, k, v) for s, x in data.items() for k, v in enumerate(x)], "s string, time_ms long, x double").repartition(5)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    out = smooth(df, [Smoothing("x", "p", 0.3, 4, decay), Smoothing("x", "q", 0.9, 1, decay)], ["s"], "time_ms").toPandas()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    for s, x in data.items():
+        own, p = out[out["s"] == s].sort_values("time_ms"), pd.Series(x, dtype=float)
+        near(own["p"].tolist() if len(x) else [], p.ewm(alpha=0.3, adjust=False, ignore_na=not decay, min_periods=4).mean().tolist())
+        near(own["q"].tolist() if len(x) else [], p.ewm(alpha=0.9, adjust=False, ignore_na=not decay).mean().tolist())
+
+
+def test_plans_of_smoothings_stay_small(spark):
+    bars_df = core.bars(spark, SF)
+    many = apply_formulas(bars_df, {f"e{n}": f"ts_ema(close, {n}) - ts_ema(open, {n})" for n in range(2, 22)}, ["symbol"])
+    for df in (many, bars.add_indicators(bars_df, ["symbol"])):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and plan.count("Exchange") <= 6, plan
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 119, 120, 126])
+def test_walk_forward_of_short_series(spark, n):
+    ret = [((k * 7919) % 101 - 48) / 1000 for k in range(n)]
+    df = spark.createDataFrame([("a", k, v) for k, v in enumerate(ret)] + [("a", 10_000, None)], "s string, time_ms long, net_ret double")
+    (row,) = signals.walk_forward(df, ["s"], 6, signals.BacktestConfig()).collect()
+    sharpe = lambda x: x.mean() / x.std(ddof=0) * 8760**0.5
+    if n < 120:
+        assert row["wf_min"] is row["wf_mean"] is row["robust_score"] is None
+    else:
+        p = pd.Series(ret)
+        folds = pd.Series([sharpe(p[k * (n // 6) : (k + 1) * (n // 6) if k < 5 else n]) for k in range(6)])
+        near([row["wf_min"], row["wf_mean"], row["wf_std"]], [folds.min(), folds.mean(), folds.std(ddof=0)])
+        near([row["robust_score"]], [sharpe(p) + 0.45 * folds.min() - 0.25 * folds.std(ddof=0)])
+
+
+def test_one_arm_of_the_band_serves_both_sides():
+    c = signals.BacktestConfig
+    assert c(deadband_long=0.5).band == (0.5, 0.5) and c(deadband_short=0.4).band == (0.4, 0.4) and c(deadband=0.2, deadband_long=0.5).band == (0.5, 0.2) and c().band == (0.0, 0.0)
+    assert signals.scaled_window(240, 60) == 16 and signals.scaled_window(1440, 15) == 96 and signals.frequency_label(60) == "1h" and signals.frequency_label(15) == "15m"
+
+
 def test_formulas_see_earlier_ones_and_hide_helpers(spark):
     out = apply_formulas(series(spark, VALUES), {"a": "ts_mean(x, 2)", "b": "ts_delta(a, 1)"}, ["s"])
     assert out.columns == ["s", "time_ms", "x", "a", "b"]
@@ -98,9 +145,19 @@ def test_gaps_split_only_at_large_breaks(spark):
 
 
 def test_archetype_ties_take_the_first(spark):
-    rows = [(u, 5, 1.0, 2.0, 3.0, 4.0, 0.5, 2) for u in (1, 2)]
-    out = events.score_archetypes(spark.createDataFrame(rows, "user_id long, trades long, exposure double, volume double, median_gap double, spread double, net_ratio double, active_days long"), "user_id")
-    assert len({r["archetype"] for r in out.collect()}) == 1
+    rows = [(str(u), *([1.0] * len(wallets.RANKED))) for u in range(4)]
+    out = wallets.score_archetypes(spark.createDataFrame(rows, "user string, " + ", ".join(f"{f} double" for f in wallets.RANKED))).collect()
+    assert {(r["dominant_archetype"], r["avg_leverage_rank"]) for r in out} == {("high_conviction", 0.625)} or len({r["dominant_archetype"] for r in out}) == 1
+
+
+@pytest.mark.parametrize("buckets", [1, 4, 200])
+def test_global_ranks_are_average_ties(spark, buckets):
+    rng = __import__("random").Random(buckets)
+    values = [float(rng.choice([1, 1, 1, 2, 3, rng.random() * 9])) for _ in range(300)] + [None] * 5
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", 7.0)] * 3, "feature string, value double")
+    got = {(r["feature"], r["value"]): (r["upto"] - (r["n"] - 1) / 2) for r in wallets.global_ranks(df, "feature", "value", buckets).collect()}
+    want = pd.Series(values, dtype=float).rank()
+    assert all(abs(got["a", v] - w) < 1e-9 for v, w in zip(values, want) if v is not None) and got["b", 7.0] == 2
 
 
 def test_payload_times(spark):
@@ -135,13 +192,13 @@ def plain(v):
     return round(v, 4) + 0.0 if isinstance(v, float) else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(core.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(set(catalog.ORACLE_SQL) - {"composite_scores", "preferred_signals", "tuned_weights"}))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for file in os.listdir(SF):
         con.sql(f"CREATE VIEW {file.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{file}'")
-    df = core.QUERIES[name](spark, SF)
-    rel = con.sql(core.ORACLE_SQL[name])
+    df = catalog.QUERIES[name](spark, SF)
+    rel = con.sql(catalog.ORACLE_SQL[name])
     assert sorted(df.columns) == sorted(rel.columns)
     order = [rel.columns.index(c) for c in df.columns]
     key = lambda rows: sorted([tuple(map(plain, r)) for r in rows], key=repr)
