@@ -1,17 +1,26 @@
 """PII surrogates in DataFrame functions only.
 
-One pattern finds addresses, numbers, secrets and titled names.  Every distinct entity
-of the corpus gets a replacement drawn by a keyed hash, character by character within
-its class, so format, case and type stay; card numbers keep a valid check digit, names
-are built from syllables of the title's gender and the name's script.  Replacements are
-checked: where two entities of a kind would share one, or one equals a real entity or
-itself, all but the first draw again until none collide.  The same entity has the same
-replacement everywhere, whatever its spelling of case or separators.
-
-Only rows that hold an entity are shuffled.
+One pattern finds addresses, numbers, secrets and titled names.  A text becomes pieces: a
+lead of plain text and the entity behind it.  Every distinct entity of the corpus gets a
+replacement drawn by a keyed hash, character by character within its class and script, so
+format, case and type stay; card numbers keep a valid check digit, names are built from
+syllables of their script with an ending of their gender.  Replacements are checked:
+where two entities of a kind would share one, or one equals a real entity or itself, all
+but the first draw again.  A later draw of a name or a short number is longer, so there
+are always enough of them.
+
+The same entity has the same replacement everywhere, whatever its spelling of case,
+separators or country code.  A name found behind its title is also replaced where a part
+of it stands alone in the same text.  A given name takes the gender of its titles, a
+surname is shared by all who bear it.
+
+Names without a title anywhere in their text, and initials, are not found.  Only rows
+that hold an entity are shuffled.
 
 Cases: null texts stay null; null ids are kept; repeated rows are each returned; texts
-without entities come back unchanged; extra columns are kept.
+without entities come back unchanged; extra columns are kept whatever their names, but a
+column ``n_entities`` is replaced; in a text of any length each mention is looked up by
+its place.
 """
 
 from __future__ import annotations
@@ -24,32 +33,48 @@ from pyspark.sql import functions as F
 from .workspace import Workspace
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-NAME = r"\p{Lu}[\p{L}'’-]{1,30}+(?: \p{Lu}[\p{L}'’-]{1,30}+){0,3}"
-# Titles by gender of the person named.
-MALE = ["Mr", "Mister", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Господин"]
-FEMALE = ["Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа"]
-TITLE = r"(?<![\p{L}\p{N}])(?:" + "|".join(MALE + FEMALE) + r")\.? "
+HEX = "[0-9A-Fa-f]{1,4}"
+# Titles by gender of the person named, and honorifics that follow a name.
+MALE = ["Mr", "Mister", "Sir", "Herr", "Herrn", "Monsieur", "M", "Señor", "Sr", "Don", "Господин", "Г-н", "Κύριος", "السيد", "מר", "श्री"]
+FEMALE = ["Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mademoiselle", "Mlle", "Señora", "Sra", "Señorita", "Srta", "Doña", "Госпожа", "Г-жа", "Κυρία", "السيدة", "גברת", "श्रीमती"]
+NEUTRAL = ["Dr", "Doctor", "Docteur", "Doktor", "Prof", "Professor", "Доктор", "Профессор", "الدكتور", "डॉ"]
+HONORIFICS = ["先生", "女士", "小姐", "教授", "医生", "博士", "さん", "様", "氏", " ?씨", " ?님"]
+SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林郑谢罗梁宋唐许韩冯邓曹彭曾肖田董袁潘蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤"
+TITLE = r"(?<![\p{L}\p{N}])(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\.? "
+INITIALS = r"(?:\p{Lu}\. ?){0,3}"
+CASED = r"\p{Lu}[\p{L}'’-]{1,30}+(?: \p{Lu}[\p{L}'’-]{1,30}+){0,3}"
+UNCASED = r"[\p{IsArabic}\p{IsHebrew}\p{IsDevanagari}\p{M}]{2,30}+(?: [\p{IsArabic}\p{IsHebrew}\p{IsDevanagari}\p{M}]{2,30}+)?"
+FOLLOWED = "(?=" + "|".join(HONORIFICS) + ")"
+EASTERN = rf"[{SURNAMES}]\p{{IsHan}}{{0,2}}{FOLLOWED}|(?<!\p{{IsHan}})\p{{IsHan}}{{1,4}}{FOLLOWED}|(?<!\p{{IsHangul}})\p{{IsHangul}}{{2,4}}(?= ?(?:씨|님)(?:[가는을를의도와에께이은]|(?!\p{{IsHangul}})))"
 # What each kind of entity looks like, the first that fits counts.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,6}\.\p{L}{2,24}",
-    "secret": r"(?<![A-Za-z0-9_])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|[0-9a-fA-F]{32,64})(?![A-Za-z0-9_])",
+    "secret": r"(?<![A-Za-z0-9_])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,200}|[0-9a-fA-F]{32,512})(?![A-Za-z0-9_])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<!\d)\d{4}(?:[ -]?\d{4}){3}(?!\d)",
+    "card": r"(?<!\d)(?:\d{4}(?:[ -]?\d{4}){3}(?:[ -]?\d{1,3})?|3[47]\d{2}[ -]?\d{6}[ -]?\d{5}|3[068]\d{2}[ -]?\d{6}[ -]?\d{4}|4\d{12})(?!\d)",
     "ip": rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d)",
-    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{3}[-.])\d{3,4}[ .-]?\d{4}(?!\d)|(?<!\d)\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)",
-    "name": TITLE + NAME,
+    "ip6": rf"(?<![\p{{L}}\p{{N}}:.])(?:(?:{HEX}:){{7}}{HEX}|(?:{HEX}:){{2,6}}(?::{HEX}){{1,5}}|{HEX}::(?:{HEX}:){{1,5}}{HEX})(?![\p{{L}}\p{{N}}:])",
+    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{3}[-.])\d{3,4}[ .-]?\d{4}(?!\d)|(?<![\d+])(?:\+\d{1,3} )?\d{3} \d{3} \d{4}(?! ?\d)|(?<!\d)\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)",
+    "name": rf"{TITLE}(?:{INITIALS}{CASED}|{UNCASED})|{EASTERN}",
 }
 PATTERN = "|".join(KINDS.values())
-# What every entity holds: a digit, an @, a title, or the start or length of a secret.
-HINT = r"[0-9@]|(?:" + "|".join(MALE + FEMALE) + r")[. ]|AKIA|gh[pousr]_|sk-|[a-fA-F]{32}"
-# Syllables that names are built from, by script.
-SYLLABLES = {
-    "latin": "ba be da do fa fe ga ka ke la le li lo ma me mi mo na ne no pa ra re ro sa se ta te va vi".split(),
-    "cyrillic": "ба ве да до га жи ка ла ле ли ло ма ми мо на не но па ра ре ро са се та те ва ви зо ру ту".split(),
-    "greek": "βα δα δη φα γα κα λα λε λη λο μα με μη μο να νε νο πα ρα ρε ρο σα σε τα τε βη ζω θα θε ξα".split(),
+# What every entity holds: a digit, an @, a title or honorific, or the start or length of a secret.
+HINT = r"[0-9@]|(?<!\p{L})(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")[. ]|AKIA|gh[pousr]_|sk-|[a-fA-F]{32}|::|" + "|".join(HONORIFICS)
+# Scripts with the syllables that names are built from, endings by gender
+# (female, male, any), and the letters of other entities.
+SCRIPTS = {
+    "IsCyrillic": ("ба ве да до га жи ка ла ле ли ло ма ми мо на не но па ра ре ро са се та те ва ви зо ру ту", ("на", "н", "р"), "абвгдежзиклмнопрстуфхцчшщэюя"),
+    "IsGreek": ("βα δα δη φα γα κα λα λε λη λο μα με μη μο να νε νο πα ρα ρε ρο σα σε τα τε βη ζω θα θε ξα", ("να", "ς", "ρ"), "αβγδεζηθικλμνξοπρστυφχψω"),
+    "IsArabic": ("با تا جا دا را سا فا كا لا ما نا وا بي تي جي دي ري سي في كي لي مي ني", ("ة", "ن", "ر"), "ابتجحدرزسشصطعفقكلمنهوي"),
+    "IsHebrew": ("בא גא דא הא לא מא נא רא שא תא בי גי די לי מי ני רי שי תי קו לו מו נו", ("ה", "ן", "ר"), "אבגדהוזחטיכלמנסעפצקרשת"),
+    "IsDevanagari": ("का की ना नी मा मी रा री सा सी ता ती ला ली वा वी दा दी पा पी", ("ी", "न", "र"), "कखगघचजटडतदनपबमयरलवसह"),
+    "IsHangul": ("가 나 다 라 마 바 사 아 자 하 민 수 진 영 희 준 지 현 호 은 서 도 윤 우 재", ("", "", ""), "가나다라마바사아자차카타파하"),
+    "IsHan": ("文 明 华 国 平 海 林 山 春 秋 雨 云 天 星 月 江 河 清 安 宁 和 光 永 福 德 仁 义 思 远 志 成 立 新 建 庆 元", ("", "", ""), "文明华国平海林山春秋雨云天星月江河清安宁和光永福德仁义思远志成"),
 }
-ROUNDS = 60
+LATIN = ("ba be da do fa fe ga ka ke la le li lo ma me mi mo na ne no pa ra re ro sa se ta te va vi", ("na", "n", "r"), "àáâäèéêëìíîïòóôöùúûü")
+UNSPACED = r"^[\p{IsHan}\p{IsHangul}]"
+DIGITS = ("phone", "card", "ssn")
 
 
 def kind_of(match: Column) -> Column:
@@ -61,20 +86,29 @@ def kind_of(match: Column) -> Column:
 
 
 def canonical(kind: Column, token: Column) -> Column:
-    """What spellings of one entity share."""
+    """What spellings of one entity share; a phone number's last ten digits."""
     digits = F.regexp_replace(token, r"[^0-9]", "")
-    return F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "iban", F.replace(token, F.lit(" "), F.lit(""))).otherwise(F.lower(token))
+    plain = F.when(kind == "iban", F.replace(token, F.lit(" "), F.lit(""))).when(kind == "secret", token).otherwise(F.lower(token))
+    return F.when(kind == "phone", F.right(digits, F.lit(10))).when(kind.isin("card", "ssn"), digits).otherwise(plain)
 
 
-def parts(match: Column) -> Column:
-    """The entities of a match as structs of kind, canonical and token."""
+def pieces(lead: Column, match: Column) -> Column:
+    """The entities of a match as structs of lead, token, kind, entity and gender flags."""
     kind = kind_of(match)
-    bare = F.regexp_replace(match, "^" + TITLE, "")
-    title = F.regexp_extract(match, r"^(\p{L}+)", 1)
-    named = F.when(title.isin(FEMALE), "name_f").otherwise("name_m")
-    own = F.when(kind == "name", named).otherwise(kind)
+    prefix = F.regexp_extract(match, f"^({TITLE}{INITIALS})(?=[\\p{{L}}])", 1)
+    title = F.regexp_extract(match, r"^([\p{L}\p{M}-]+)", 1)
+    bare = F.when(kind == "name", F.substr(match, F.length(prefix) + 1)).otherwise(match)
     tokens = F.when(kind == "name", F.split(bare, " ")).otherwise(F.array(match))
-    return F.transform(tokens, lambda t: F.struct(own.alias("kind"), canonical(own, t).alias("entity")))
+
+    def piece(t: Column, i: Column) -> Column:
+        given = (kind == "name") & (i < F.size(tokens) - 1)
+        before = F.when(i > 0, F.lit(" ")).when(kind == "name", F.concat(lead, prefix)).otherwise(lead)
+        return F.struct(
+            before.alias("lead"), t.alias("token"), kind.alias("kind"), canonical(kind, t).alias("entity"), (given & title.isin(FEMALE)).alias("female"),
+            (given & title.isin(MALE)).alias("male"), ((kind == "name") & ((i == 0) | t.rlike(r"^\p{Lu}"))).alias("alone"),
+        )
+
+    return F.transform(tokens, piece)
 
 
 def _draw(stream: Column, k: Column, n: int) -> Column:
@@ -82,18 +116,26 @@ def _draw(stream: Column, k: Column, n: int) -> Column:
     return F.conv(F.substring(stream, k % 64 * 4 + 1, F.lit(4)), 16, 10).cast("long") % n
 
 
-def surrogate(kind: Column, entity: Column, key: str, attempt: Column) -> Column:
+def surrogate(kind: Column, entity: Column, gender: Column, key: str, attempt: Column) -> Column:
     """The replacement of a canonical entity drawn in one attempt."""
     seed = F.concat_ws("|", F.lit(key), kind, entity, attempt.cast("string"))
     stream = F.concat(F.sha2(seed, 512), F.sha2(F.concat(seed, F.lit("+")), 512))
-    chars = F.transform(F.sequence(F.lit(1), F.length(entity)), lambda i: F.struct(F.substring(entity, i, F.lit(1)).alias("c"), (i - 1).alias("k")))
+    longer = F.when(kind.isin("phone", "ssn"), F.repeat(F.lit("0"), F.greatest(attempt - 3, F.lit(0)))).otherwise("")
+    form = F.concat(entity, longer)
+    chars = F.transform(F.sequence(F.lit(1), F.length(form)), lambda i: F.struct(F.substring(form, i, F.lit(1)).alias("c"), (i - 1).alias("k")))
 
     def pick(pool: str, k: Column) -> Column:
         return F.substring(F.lit(pool), (_draw(stream, k, len(pool)) + 1).cast("int"), F.lit(1))
 
     def mapped(hexadecimal: bool) -> Column:
         letters = "abcdef" if hexadecimal else "abcdefghijklmnopqrstuvwxyz"
-        swap = lambda x: F.when(x["c"].rlike("[0-9]"), pick("0123456789", x["k"])).when(x["c"].rlike("[a-z]"), pick(letters, x["k"])).when(x["c"].rlike("[A-Z]"), pick(letters.upper(), x["k"])).when(x["c"].rlike(r"\p{IsCyrillic}"), pick("абвгдежзиклмнопрстуфхцчшщэюя", x["k"])).when(x["c"].rlike(r"\p{L}"), pick("àáâäèéêëìíîïòóôöùúûü", x["k"])).otherwise(x["c"])
+
+        def swap(x: Column) -> Column:
+            out = F.when(x["c"].rlike("[0-9]"), pick("0123456789", x["k"])).when(x["c"].rlike("[a-z]"), pick(letters, x["k"])).when(x["c"].rlike("[A-Z]"), pick(letters.upper(), x["k"]))
+            for script, (_, _, pool) in SCRIPTS.items():
+                out = out.when(x["c"].rlike(rf"\p{{{script}}}"), pick(pool, x["k"]))
+            return out.when(x["c"].rlike(r"\p{L}"), pick(LATIN[2], x["k"])).otherwise(x["c"])
+
         return F.array_join(F.transform(chars, swap), "")
 
     local = F.substring_index(mapped(False), "@", 1)
@@ -103,77 +145,99 @@ def surrogate(kind: Column, entity: Column, key: str, attempt: Column) -> Column
     doubled = F.transform(F.sequence(F.lit(1), F.length(body)), lambda i: F.substring(body, i, F.lit(1)).cast("int") * F.when((F.length(body) - i) % 2 == 0, 2).otherwise(1))
     luhn = F.aggregate(doubled, F.lit(0), lambda a, d: a + F.when(d > 9, d - 9).otherwise(d))
     card = F.concat(body, ((10 - luhn % 10) % 10).cast("string"))
-    secret = F.regexp_extract(entity, r"^(akia|gh[pousr]_|sk-)?", 0)
-    tail = F.substring(F.when(entity.rlike("^[0-9a-f]+$"), mapped(True)).otherwise(mapped(False)), F.length(secret) + 1, F.length(entity))
-    country = F.substring(entity, 1, 2)
-    script = F.when(entity.rlike(r"\p{IsCyrillic}"), "cyrillic").when(entity.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    mark = F.regexp_extract(entity, r"^(AKIA|gh[pousr]_|sk-)?", 0)
+    tail = F.substring(F.when(entity.rlike("^[0-9a-fA-F]+$"), mapped(True)).otherwise(mapped(False)), F.length(mark) + 1, F.length(entity))
+    iban = F.concat(F.substring(entity, 1, 2), F.substring(mapped(False), F.lit(3), F.length(entity)))
 
-    def spelled(pool: list[str], ending: dict[str, str]) -> Column:
-        syllables = F.transform(F.sequence(F.lit(0), F.least(F.lit(7), F.greatest(F.lit(2), (F.length(entity) / 2).cast("int")))), lambda k: F.element_at(F.array(*map(F.lit, pool)), (_draw(stream, k, len(pool)) + 1).cast("int")))
-        return F.concat(F.array_join(syllables, ""), F.when(kind == "name_f", ending["f"]).otherwise(ending["m"]))
+    def spelled(syllables: str, endings: tuple[str, str, str]) -> Column:
+        pool = syllables.split()
+        count = F.length(entity) if not endings[0] else F.least(F.lit(8), F.greatest(F.lit(3), (F.length(entity) / 2).cast("int") + 1))
+        drawn = F.transform(F.sequence(F.lit(1), count + attempt), lambda k: F.element_at(F.array(*map(F.lit, pool)), (_draw(stream, k, len(pool)) + 1).cast("int")))
+        return F.concat(F.array_join(drawn, ""), F.when(gender == "f", endings[0]).when(gender == "m", endings[1]).otherwise(endings[2]))
 
-    ends = {"latin": {"f": "na", "m": "n"}, "cyrillic": {"f": "на", "m": "н"}, "greek": {"f": "να", "m": "ς"}}
-    name = reduce(lambda out, s: F.when(script == s, spelled(SYLLABLES[s], ends[s])).otherwise(out), ["greek", "cyrillic"], spelled(SYLLABLES["latin"], ends["latin"]))
+    name = reduce(lambda out, s: F.when(entity.rlike(rf"\p{{{s}}}"), spelled(*SCRIPTS[s][:2])).otherwise(out), SCRIPTS, spelled(*LATIN[:2]))
     return (
-        F.when(kind == "email", email).when(kind == "ip", octets).when(kind == "card", card).when(kind == "secret", F.concat(secret, tail))
-        .when(kind == "iban", F.concat(country, F.substring(mapped(False), F.lit(3), F.length(entity)))).when(kind.startswith("name"), name)
-        .when(kind == "phone", F.concat(F.substring(entity, F.lit(1), F.length(entity) - 10), F.substring(mapped(False), F.greatest(F.length(entity) - 9, F.lit(1)), F.lit(20)))).otherwise(mapped(False))
+        F.when(kind == "email", email).when(kind == "ip", octets).when(kind == "ip6", mapped(True)).when(kind == "card", card).when(kind == "secret", F.concat(mark, tail))
+        .when(kind == "iban", iban).when(kind == "name", name).otherwise(mapped(False))
     )
 
 
 def surrogates(ws: Workspace, entities: DataFrame, key: str) -> DataFrame:
-    """``kind, entity, surrogate``: distinct within a kind, and no real entity of it."""
-    table = ws.save(entities.distinct().withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate(F.col("kind"), F.col("entity"), key, F.lit(0))))
-    for _ in range(ROUNDS):
+    """``kind, entity, surrogate`` of ``kind, entity, female, male``: distinct within a kind, and no real entity of it."""
+    partitions = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
+    only = F.when(F.col("f") & ~F.col("m"), "f").when(F.col("m") & ~F.col("f"), "m").when(F.col("entity").rlike("(?:[оеё]ва|ина|ая)$"), "f").otherwise("n")
+    drawn = lambda attempt: surrogate(F.col("kind"), F.col("entity"), F.col("gender"), key, attempt)
+    table = entities.groupBy("kind", "entity").agg(F.bool_or("female").alias("f"), F.bool_or("male").alias("m")).select("kind", "entity", only.alias("gender"), F.lit(0).alias("attempt"))
+    # Drawing is work for the processor on few bytes: small partitions are not merged.
+    table = ws.save(table.repartition(partitions, "kind", "entity").withColumn("surrogate", drawn(F.lit(0))))
+    while True:
         shared = table.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "entity")).alias("first"))
         real = table.select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
         judged = table.join(shared, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left")
         clash = F.col("real").isNotNull() | ((F.col("n") > 1) & (F.struct("attempt", "entity") != F.col("first")))
-        judged = ws.save(judged.select("kind", "entity", "attempt", "surrogate", clash.alias("clash")))
+        judged = ws.save(judged.select("kind", "entity", "gender", "attempt", "surrogate", clash.alias("clash")))
         if judged.where("clash").isEmpty():
             return judged.select("kind", "entity", "surrogate")
         again = F.col("attempt") + F.col("clash").cast("int")
-        redrawn = judged.select("kind", "entity", again.alias("attempt"), F.when(F.col("clash"), surrogate(F.col("kind"), F.col("entity"), key, again)).otherwise(F.col("surrogate")).alias("surrogate"))
+        redrawn = judged.repartition(partitions, "kind", "entity").select("kind", "entity", "gender", again.alias("attempt"), F.when(F.col("clash"), drawn(again)).otherwise(F.col("surrogate")).alias("surrogate"))
         ws.drop(table)
         table = ws.save(redrawn)
         ws.drop(judged)
-    raise ValueError("a kind of entity has too few possible replacements")
 
 
 def shaped(kind: Column, token: Column, new: Column) -> Column:
-    """A replacement in the separators and case of the token that it stands for."""
-    digits = kind.isin("phone", "card", "ssn")
+    """A replacement in the separators, country code and case of the token that it stands for."""
+    total = F.length(F.regexp_replace(token, r"[^0-9]", ""))
+    kept = F.when(kind == "phone", F.greatest(total - 10, F.lit(0))).otherwise(0)
     chars = F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.substring(token, i, F.lit(1)))
-    step = lambda a, ch: F.struct(F.concat(a["s"], F.when(ch.rlike("[0-9]"), F.substring(new, a["k"] + 1, F.lit(1))).otherwise(ch)).alias("s"), (a["k"] + F.when(ch.rlike("[0-9]"), 1).otherwise(0)).alias("k"))
-    filled = F.aggregate(chars, F.struct(F.lit("").alias("s"), F.lit(0).alias("k")), step)["s"]
+
+    def step(a: Column, ch: Column) -> Column:
+        here = ch.rlike("[0-9]") | ((kind == "iban") & ch.rlike("[A-Za-z]"))
+        return F.struct(F.concat(a["s"], F.when(here & (a["k"] >= kept), F.substring(new, a["k"] - kept + 1, F.lit(1))).otherwise(ch)).alias("s"), (a["k"] + F.when(here, 1).otherwise(0)).alias("k"))
+
+    done = F.aggregate(chars, F.struct(F.lit("").alias("s"), F.lit(0).alias("k")), step)
+    filled = F.concat(done["s"], F.substring(new, done["k"] - kept + 1, F.length(new)))
     cased = F.when(token == F.upper(token), F.upper(new)).when(F.substring(token, 1, 1) != F.lower(F.substring(token, 1, 1)), F.concat(F.upper(F.substring(new, 1, 1)), F.substring(new, F.lit(2), F.length(new)))).otherwise(new)
-    return F.when(digits, filled).otherwise(cased)
+    return F.when(kind.isin(*DIGITS, "iban"), filled).when(kind == "secret", new).otherwise(cased)
 
 
 def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with surrogates in its text column and a new column ``n_entities``."""
+    """``docs`` with surrogates in its text column and the column ``n_entities``."""
     ws = Workspace(docs.sparkSession, "pii")
-    text = F.col(text_col)
+    rows = docs.select(F.struct(*(F.col(c) for c in docs.columns if c != "n_entities")).alias("row"))
+    text = F.col("row").getField(text_col)
     held = F.when(text.rlike(HINT), text.rlike(PATTERN)).otherwise(F.when(text.isNotNull(), F.lit(False)))
-    plain = docs.where(~F.coalesce(held, F.lit(False))).withColumn("n_entities", F.lit(0).cast("long"))
-    names = docs.columns
-    found = docs.where(held).withColumns({"__a": F.xxhash64(text), "__b": F.crc32(text.cast("binary")), "__m": F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))})
-    found = ws.save(found.withColumn("__p", F.transform("__m", parts)))
-    entity = found.select("__a", "__b", F.explode(F.array_distinct(F.flatten("__p"))).alias("p")).select("__a", "__b", "p.kind", "p.entity")
-    entity = ws.save(entity.distinct())
-    table = surrogates(ws, entity.select("kind", "entity"), key)
-    mine = entity.join(table, ["kind", "entity"]).groupBy("__a", "__b").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "entity"), "surrogate"))).alias("__map"))
-    joined = found.join(mine, ["__a", "__b"])
-
-    def new_match(match: Column, own: Column) -> Column:
-        title = F.regexp_extract(match, "^(" + TITLE + ")", 1)
-        kind = own[0]["kind"]
-        tokens = F.when(kind.startswith("name"), F.split(F.regexp_replace(match, "^" + TITLE, ""), " ")).otherwise(F.array(match))
-        new = F.zip_with(tokens, own, lambda t, p: shaped(p["kind"], t, F.col("__map")[F.concat_ws("|", p["kind"], p["entity"])]))
-        return F.concat(F.when(kind.startswith("name"), title).otherwise(""), F.array_join(new, " "))
-
-    fresh = F.concat(F.zip_with("__m", "__p", new_match), F.array(F.lit("")))
-    between = F.split(text, PATTERN, -1)
-    whole = F.array_join(F.zip_with(between, fresh, lambda a, b: F.concat(a, b)), "")
-    changed = joined.withColumn("n_entities", F.size("__m").cast("long")).withColumn(text_col, whole)
-    return plain.select(*names, "n_entities").unionByName(changed.select(*names, "n_entities"))
+    plain = rows.where(~F.coalesce(held, F.lit(False))).select("row.*", F.lit(0).cast("long").alias("n_entities"))
+
+    cut = rows.where(held).select("row", F.xxhash64(text).alias("a"), F.crc32(text.cast("binary")).alias("b"), F.split(text, PATTERN, -1).alias("between"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)).alias("m"))
+    inner = F.slice("between", 1, F.size("m"))
+    found = cut.select("row", "a", "b", F.flatten(F.zip_with(inner, "m", pieces)).alias("p"), F.element_at("between", -1).alias("tail"), F.size("m").cast("long").alias("n"))
+    found = ws.save(found)
+    mention = found.select("a", "b", F.posexplode("p").alias("at", "e")).select("a", "b", "at", "e.kind", "e.entity", "e.female", "e.male", "e.alone")
+    mention = ws.save(mention.dropDuplicates(["a", "b", "at"]))  # equal texts once
+    table = surrogates(ws, mention.select("kind", "entity", "female", "male"), key)
+    told = mention.join(table, ["kind", "entity"])
+    mine = told.groupBy("a", "b").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("at", "surrogate"))), lambda s: s["surrogate"]).alias("new"),
+        F.map_from_entries(F.collect_set(F.when(F.col("alone"), F.struct("entity", "surrogate")))).alias("known"),
+    )
+    joined = found.join(mine, ["a", "b"])
+
+    # Parts of a titled name that stand alone, in the leads and in the tail of the same text.
+    tokens = F.array_distinct(F.flatten(F.transform(F.filter("p", lambda x: x["alone"]), lambda x: F.array(x["token"], F.upper(x["token"])))))
+    tokens = F.filter(tokens, lambda t: F.length(t) > 1)
+    alternative = F.transform(tokens, lambda t: F.when(t.rlike(UNSPACED), t).otherwise(F.concat(F.lit(r"(?<![\p{L}\p{N}])"), t, F.lit(r"(?![\p{L}\p{N}@])"))))
+    joined = joined.withColumn("bare", F.when(F.size(tokens) > 0, F.array_join(alternative, "|")))
+
+    def cleared(lead: Column) -> Column:
+        met = F.regexp_extract_all(lead, F.col("bare"), F.lit(0))
+        fresh = F.transform(met, lambda t: F.coalesce(shaped(F.lit("name"), t, F.col("known")[F.lower(t)]), t))
+        parted = F.zip_with(F.split(lead, F.col("bare"), -1), F.concat(fresh, F.array(F.lit(""))), lambda x, y: F.concat(x, y))
+        return F.when(F.col("bare").isNotNull() & F.rlike(lead, F.col("bare")), F.array_join(parted, "")).otherwise(lead)
+
+    own = F.zip_with("p", "new", lambda x, new: F.concat(cleared(x["lead"]), shaped(x["kind"], x["token"], new)))
+    whole = F.concat(F.array_join(own, ""), cleared(F.col("tail")))
+    leads = F.concat(F.transform("p", lambda x: x["lead"]), F.array("tail"))
+    more = F.when(F.col("bare").isNotNull(), F.aggregate(leads, F.lit(0), lambda s, lead: s + F.regexp_count(lead, F.col("bare")))).otherwise(0)
+    changed = joined.select(F.col("row").withField(f"`{text_col}`", whole).alias("row"), (F.col("n") + more).alias("n_entities"))
+    return plain.unionByName(changed.select("row.*", "n_entities"))

@@ -237,10 +237,79 @@ def test_surrogates(spark):
     assert surname[0].isupper() and all("а" <= c.lower() <= "я" for c in new.split("Госпожа ")[1].split(".")[0])
 
 
+def plain_surrogates(spark, rows):
+    made = spark.createDataFrame([(k, e, False, False) for k, e in rows], "kind string, entity string, female boolean, male boolean")
+    return pii.surrogates(Workspace(spark, "t"), made, "k")
+
+
 def test_colliding_surrogates_are_drawn_again(spark):
-    rows = [("email", f"{a}@x.yz") for a in "abcdefghij"] + [("ssn", f"{k:09d}") for k in range(50)]
-    out = pii.surrogates(Workspace(spark, "t"), spark.createDataFrame(rows, "kind string, entity string"), "k").collect()
-    assert len({(r["kind"], r["surrogate"]) for r in out}) == len(rows) and not {r["surrogate"] for r in out} & {e for _, e in rows}
+    """Kinds with hardly any replacement of their own form get longer ones."""
+    rows = [("email", f"{a}@x.yz") for a in "abcdefghij"] + [("ssn", f"{k:09d}") for k in range(50)] + [("phone", f"{k:02d}") for k in range(100)]
+    out = plain_surrogates(spark, rows).collect()
+    assert len({(r["kind"], r["surrogate"]) for r in out}) == len(rows) == len(out)
+    for kind in ("email", "ssn", "phone"):
+        assert not {r["surrogate"] for r in out if r["kind"] == kind} & {e for k, e in rows if k == kind}
+
+
+def test_sixty_thousand_short_names_are_distinct(spark):
+    names = [a + b + c for a in "bcdfghjklmnpqrstvwxyz" for b in "aeiouy" for c in (x + y for x in "bcdfghjklmnpqrstvwxyz" for y in "aeiouybcdfghjklmnpqrstvwx")]
+    out = plain_surrogates(spark, [("name", n) for n in names[:60_000]])
+    row = out.agg(F.count("*").alias("n"), F.countDistinct("surrogate").alias("d")).first()
+    assert row["n"] == row["d"] == 60_000 and out.join(out.select(F.col("entity").alias("surrogate")), "surrogate", "left_semi").isEmpty()
+
+
+def replaced(spark, *texts):
+    out = {r["doc_id"]: r for r in pii.replace_entities(docs(spark, [*enumerate(texts)]), "k").collect()}
+    return [out[k]["text"] for k in range(len(texts))], [out[k]["n_entities"] for k in range(len(texts))]
+
+
+def test_names_are_followed_through_a_text(spark):
+    (one, two, three, four), n = replaced(
+        spark, "Mr. John Smith came. John Smith said hello. Smith left, SMITH's hat stayed. Smithson too.", "Mrs. Anna Smith and Dr. Jane Roe; Prof. J. R. Roe.", "John and Smith without a title.", "Dr. Roe"
+    )
+    first, last = one.split()[1], one.split()[2]
+    assert one.split(" came. ")[1].startswith(f"{first} {last} said hello. {last} left, {last.upper()}'s hat") and "Smithson" in one and n[0] == 1 + 4
+    assert "Smith" not in two and last in two and "Jane" not in two and two.count(four.split()[1]) == 2 and "J. R." in two and three == "John and Smith without a title."
+
+
+def test_numbers_keep_their_form(spark):
+    (text,), _ = replaced(spark, "212-555-0100 +1 212-555-0100 (212) 555-0100 212 555 0100 | IBAN DE89 3704 0044 0532 0130 00 | 3782 822463 10005 | 2001:db8:0:1:1:1:1:1 fe80::1:2 | sk-proj-a_b-c1234567890abcdefghij | at 12:30:45")
+    phones, iban, amex, six, secret, rest = text.split(" | ")
+    digits = lambda t: "".join(c for c in t if c.isdigit())
+    assert digits(phones) == (d := digits(phones)[:10]) * 1 + "1" + d * 3 and d != "2125550100" and "+1 " in phones and "(" in phones
+    assert iban.startswith("IBAN DE") and [len(p) for p in iban.split()[1:]] == [4, 4, 4, 4, 4, 2] and "3704" not in iban
+    assert [len(p) for p in amex.split()] == [4, 6, 5] and "db8" not in six and six.count(":") == 10 and rest == "at 12:30:45"
+    assert secret.startswith("sk-") and "1234567890" not in secret
+
+
+@pytest.mark.parametrize("text,gone,script", [
+    ("السيد محمد هنا. ثم محمد ذهب", "محمد", "[\u0600-\u06ff]"), ("מר כהן כאן, כהן הלך", "כהן", "[\u0590-\u05ff]"), ("श्री राम यहाँ", "राम", "[\u0900-\u097f]"),
+    ("我们见到王小明先生。王小明很好", "王小明", "[\u4e00-\u9fff]"), ("김철수 씨가 왔다. 김철수는", "김철수", "[\uac00-\ud7a3]"), ("Г-жа Анна Иванова и Иванова", "Иванов", "[а-я]"), ("Κύριος Νίκος", "Νίκος", "[α-ωςά]"),
+])
+def test_names_in_other_scripts(spark, text, gone, script):
+    (new,), (n,) = replaced(spark, text)
+    assert gone not in new and n >= 1 and len(__import__("re").findall(script, new.lower())) >= 3, new
+
+
+def test_planted_entities_never_leak_and_stay_apart(spark):
+    """Equal entities get equal surrogates, different ones different ones, over a whole corpus; text between stays."""
+    rng = random.Random(11)
+    mails, phones, people = [f"u{k}.x{k}@corp{k}.org" for k in range(40)], [f"({200 + k}) 555-01{k:02d}" for k in range(40)], [f"Mr. Ab{chr(97 + k % 26)}{chr(97 + k // 26)}o Cad{chr(97 + k % 26)}{chr(97 + k // 26)}e" for k in range(40)]
+    rows, used = [], []
+    for d in range(120):
+        own = [rng.choice(pool) for pool in (mails, phones, people)]
+        rows.append((d, f"start {own[0]} mid {own[1]} more {own[2]} end"))
+        used.append(own)
+    clash = docs(spark, rows).withColumns({"n_entities": F.lit("old"), "a": F.lit(1), "p": F.lit(2), "row": F.lit(3)})
+    out = pii.replace_entities(clash, "k")
+    assert out.columns == [c for c in clash.columns if c != "n_entities"] + ["n_entities"]
+    new: dict[str, set] = {}
+    for r in out.collect():
+        assert r["n_entities"] == 3 and (r["a"], r["p"], r["row"]) == (1, 2, 3)
+        parts = __import__("re").fullmatch(r"start (\S+) mid (\(\d{3}\) \d{3}-\d{4}) more (Mr\. \S+ \S+) end", r["text"]).groups()
+        for old, fresh in zip(used[r["doc_id"]], parts):
+            new.setdefault(old, set()).add(fresh)
+    assert all(len(v) == 1 for v in new.values()) and len({next(iter(v)) for v in new.values()}) == len(new) and not set(new) & {next(iter(v)) for v in new.values()}
 
 
 def test_classifier_holds_out(spark):
