@@ -10,7 +10,7 @@ from . import bpe, decontaminate, embdedup, licenses, linededup, lmscore, minhas
 
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 # Words in a host name that mark a bad example.
-SEEDS = ["casino", "adult", "free-bets", "ads-track", "porn", "viagra", "warez"]
+SEEDS = ["casino", "poker", "betting", "free-bets", "adult", "porn", "xxx", "viagra", "pills", "spam", "ads-track", "warez", "malware", "phishing"]
 KEY = "signalloom surrogate key"
 
 
