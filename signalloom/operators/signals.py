@@ -141,7 +141,7 @@ def walk_forward(trace: DataFrame, keys: list[str], folds: int, c: BacktestConfi
     df = trace.select(*keys, "net_ret", n.alias("__n"), at.alias("__at"), start.cast("double").alias("__base"))
     fold = F.least(F.floor((F.col("__at") - 1) / F.greatest(F.floor(F.col("__n") / folds), F.lit(1))), F.lit(folds - 1))
     enough = F.col("net_ret").isNotNull() & (F.col("__n") >= max(120, 20 * folds))
-    per = df.withColumn("__fold", F.when(enough, fold)).groupBy(*keys, "__fold").agg(sharpe("net_ret", c).alias("s"), F.max("__base").alias("__base"))
+    per = df.withColumn("__fold", F.when(enough, fold)).groupBy(*keys, "__fold").agg(sharpe("net_ret", c).alias("__s"), F.max("__base").alias("__b"))
     of = F.when(F.col("__fold").isNotNull(), F.col("__s"))
     out = per.groupBy(*keys).agg(F.min(of).alias("wf_min"), F.avg(of).alias("wf_mean"), F.stddev_pop(of).alias("wf_std"), F.max("__b").alias("__base"))
     return out.withColumn("robust_score", F.col("__base") + 0.45 * F.col("wf_min") - 0.25 * F.col("wf_std")).drop("__base")
