@@ -7,12 +7,17 @@ Smoothing is hierarchical Dirichlet: p(w | s) = (c(s w) + mass * p(w | shorter))
 log10 p(w | s), a failure arc log10(mass / (c(s) + mass)).
 
 The model grows with the corpus and is never held whole.  Texts are packed into blocks
-of about half a million tokens.  A block sends each of its distinct n-grams once, with its
-training count, to the shard of the n-gram's hash; the shard adds up the counts of all
-blocks and answers every block.  So one shuffle both trains and looks up, a frequent
-n-gram costs one entry a block, and a block holds just the part of the automaton that
-its texts can reach.  Words are keyed by 64-bit hashes, longer n-grams by 56 bits; keys
-travel as sorted differences and all arrays as compressed byte planes.
+of about half a million tokens, written once in buckets of the block's number.  Orders
+are counted one after the other.  A block sends each of its distinct n-grams once, with
+its training count, to the shard of the n-gram's hash; the shard adds up the counts of
+all blocks and answers every block, also whether another block holds the n-gram.  An n-gram
+whose first or last n - 1 words no other block holds is in no other block, so its count is
+known at once and it is not sent.  A frequent n-gram costs one entry a block, and a block holds just the part of the
+automaton that its texts can reach.  Words are keyed by 64-bit hashes, longer n-grams by
+56 bits; keys travel as sorted differences and all arrays as compressed byte planes, a
+fifth of what rows of an n-gram each would take.  Shards hold a bounded number of tokens,
+so messages are as many as blocks times shards: they are worth their size up to some
+hundred gigabytes of text, beyond which ``block_tokens`` has to grow.
 
 Cases: null and empty texts consist of their end alone; rows with a null id train and
 are scored like others; repeated rows count each; with an empty training set every
@@ -21,6 +26,7 @@ probability is that of the unigram base.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,20 +37,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .text import U64, blocks, mix, words_of
-from .workspace import small_batches
+from .workspace import Workspace, small_batches
 
 END = U64(0x3C6EF372FE94F82B)
 
 
 @dataclass(frozen=True)
 class LmConfig:
-    order: int = 2
+    order: int = 3
     mass: float = 200.0
     block_tokens: int = 1 << 19
     shards_per_partition: int = 2
+    shard_tokens: int = 1 << 22
 
 
-BLOCK = "block long, ids array<{id}>, train array<boolean>, bounds binary, tokens binary, vocab binary"
+BLOCK = "block long, n long, ids array<{id}>, train array<boolean>, bounds binary, tokens binary, vocab binary"
 
 
 def squeeze(x: np.ndarray) -> bytes:
@@ -71,9 +78,9 @@ def _pack(c: LmConfig):
         vocab, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
         bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         return pa.RecordBatch.from_arrays([
-            pa.array([block], pa.int64()), pa.ListArray.from_arrays([0, len(train)], pa.concat_arrays(ids)), pa.array([train], pa.list_(pa.bool_())),
+            pa.array([block], pa.int64()), pa.array([len(tokens)], pa.int64()), pa.ListArray.from_arrays([0, len(train)], pa.concat_arrays(ids)), pa.array([train], pa.list_(pa.bool_())),
             pa.array([bounds.tobytes()], pa.binary()), pa.array([squeeze(tokens.astype(np.uint32))], pa.binary()), pa.array([squeeze(steps(vocab))], pa.binary()),
-        ], ["block", "ids", "train", "bounds", "tokens", "vocab"])
+        ], ["block", "n", "ids", "train", "bounds", "tokens", "vocab"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = TaskContext.get().partitionId() << 24, 0
@@ -95,7 +102,8 @@ def _pack(c: LmConfig):
 
 
 class Reach:
-    """The n-grams of one block: for each order the distinct keys and each token's n-gram."""
+    """The n-grams of one block: for each order the distinct keys, each token's n-gram and
+    the distinct n-grams' first and last n - 1 words."""
 
     def __init__(self, bounds: bytes, tokens: bytes, vocab: bytes, train: list[bool], order: int):
         self.bounds, self.tokens = np.frombuffer(bounds, np.int64), unsqueeze(tokens, np.uint32).astype(np.int64)
@@ -103,74 +111,101 @@ class Reach:
         self.place = np.arange(len(self.tokens)) - np.repeat(self.bounds[:-1], np.diff(self.bounds))
         self.training = np.repeat(np.array(train, bool), np.diff(self.bounds))
         self.keys, self.at = [words], [self.tokens]
+        self.head, self.tail = [None], [None]
         end = int(np.searchsorted(words, END))
         for n in range(2, order + 1):
             # The n-gram of a token is its context's (n - 1)-gram, one token back, and the token.
             before = np.concatenate([[0], self.at[-1][:-1]]) if n > 2 else np.concatenate([[end], self.tokens[:-1]])
             if n == 2:
                 before = np.where(self.place == 0, end, before)
-            whole = self.place >= n - 2
-            pair = np.where(whole, before * len(words) + self.tokens, -1)
-            distinct, at = np.unique(pair, return_inverse=True)
-            if len(distinct) and distinct[0] < 0:
-                distinct, at = distinct[1:], at - 1
-            self.keys.append(mix(self.keys[-1][distinct // len(words)] * U64(0x9E3779B97F4A7C15) + mix(words[distinct % len(words)] + U64(n))))
+            whole = np.flatnonzero(self.place >= n - 2)
+            distinct, first, own = np.unique(before[whole] * len(words) + self.tokens[whole], return_index=True, return_inverse=True)
+            at = np.full(len(self.tokens), -1)
+            at[whole] = own
+            self.head.append(distinct // len(words))
+            self.tail.append(self.at[-1][whole[first]])
+            self.keys.append(mix(self.keys[-1][self.head[-1]] * U64(0x9E3779B97F4A7C15) + mix(words[distinct % len(words)] + U64(n))))
             self.at.append(at)
 
     def counts(self, k: int) -> np.ndarray:
         own = self.at[k][self.training & (self.at[k] >= 0)]
         return np.bincount(own, minlength=len(self.keys[k]))
 
-    def dealt(self, k: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
-        """The sorted order of the keys and the bounds of each shard, a range of keys."""
+    def open(self, k: int, shared: list[np.ndarray]) -> np.ndarray:
+        """The n-grams of a level that other blocks may hold, sorted by key."""
         order = np.argsort(self.keys[k])
+        return order[(shared[k - 1][self.head[k]] & shared[k - 1][self.tail[k]])[order]] if k else order
+
+    def dealt(self, k: int, order: np.ndarray, shards: int) -> np.ndarray:
+        """The bounds of each shard, a range of keys, in sorted keys."""
         shard = (self.keys[k][order] >> U64(48)).astype(np.int64) * shards >> 16
-        return order, np.searchsorted(shard, np.arange(shards + 1))
+        return np.searchsorted(shard, np.arange(shards + 1))
+
+
+def _known(reach: Reach, answers: list, levels: int, shards: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The counts of all blocks for the n-grams of one, and which of them other blocks hold."""
+    found = {(a["level"], a["shard"]): a["totals"] for a in answers or ()}
+    totals, shared = [], []
+    for k in range(levels):
+        order, told = reach.open(k, shared), [unsqueeze(found[k, s], U64) for s in range(shards) if (k, s) in found]
+        both = np.concatenate(told) if told else np.zeros(0, U64)
+        total, more = reach.counts(k).astype(np.int64), np.zeros(len(reach.keys[k]), bool)
+        total[order], more[order] = (both >> U64(1)).astype(np.int64), (both & U64(1)).astype(bool)
+        totals.append(total), shared.append(more)
+    return totals, shared
+
 
+PARTS = ("train", "bounds", "tokens", "vocab", "answers")
 
-def _ask(c: LmConfig, shards: int):
+
+def _ask(level: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            for block, train, bounds, tokens, vocab in zip(*(x.column(k) for k in ("block", "train", "bounds", "tokens", "vocab"))):
-                reach = Reach(bounds.as_py(), tokens.as_py(), vocab.as_py(), train.as_py(), c.order)
-                for k in range(c.order):
-                    order, cut = reach.dealt(k, shards)
-                    keys, counts = reach.keys[k][order], reach.counts(k)[order].astype(np.uint32)
-                    keys = keys if k == 0 else keys >> U64(8)
-                    rows = [(squeeze(steps(keys[a:b])), squeeze(counts[a:b])) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([block.as_py()] * shards, pa.int64()), pa.array([k] * shards, pa.int32()), pa.array(range(shards), pa.int32()),
-                        pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()),
-                    ], ["block", "level", "shard", "keys", "counts"])
+            for r in range(x.num_rows):
+                train, bounds, tokens, vocab, answers = (x.column(k)[r].as_py() for k in PARTS)
+                reach = Reach(bounds, tokens, vocab, train, level + 1)
+                order = reach.open(level, _known(reach, answers, level, shards)[1])
+                cut = reach.dealt(level, order, shards)
+                keys, own = reach.keys[level][order], reach.counts(level)[order].astype(np.uint32)
+                keys = keys if level == 0 else keys >> U64(8)
+                rows = [(s, squeeze(steps(keys[a:b])), squeeze(own[a:b])) for s, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if a < b]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([x.column("block")[r].as_py()] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary()),
+                ], ["block", "shard", "keys", "counts"])
 
     return run
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add up the counts of each n-gram over all blocks; rows come sorted by level and shard."""
-    held: list[tuple] = []
+def _answer(level: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Add up the counts of each n-gram over all blocks; rows come sorted by shard.
+
+        The first row of a shard also tells its training tokens and distinct n-grams.
+        """
+        held: list[tuple] = []
+
+        def told() -> pa.RecordBatch:
+            each = [np.cumsum(unsqueeze(r[2], U64), dtype=U64) for r in held]
+            distinct, at = np.unique(np.concatenate(each), return_inverse=True)
+            total = np.bincount(at, np.concatenate([unsqueeze(r[3], np.uint32) for r in held]), len(distinct)).astype(U64)
+            shared = (np.bincount(at, minlength=len(distinct)) > 1).astype(U64)
+            cut = np.cumsum([0] + [len(x) for x in each])
+            out, rest = (total << U64(1) | shared)[at], [0] * (len(held) - 1)
+            return pa.RecordBatch.from_arrays([
+                pa.array([r[0] for r in held], pa.int64()), pa.array([level] * len(held), pa.int32()), pa.array([r[1] for r in held], pa.int32()),
+                pa.array([squeeze(out[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())], pa.binary()), pa.array([int(total.sum()), *rest], pa.int64()), pa.array([int((total > 0).sum()), *rest], pa.int64()),
+            ], ["block", "level", "shard", "totals", "n", "kinds"])
 
-    def told() -> pa.RecordBatch:
-        level = held[0][1]
-        each = [np.cumsum(unsqueeze(r[3], U64), dtype=U64) for r in held]
-        keys, counts = np.concatenate(each), np.concatenate([unsqueeze(r[4], np.uint32) for r in held])
-        distinct, at = np.unique(keys, return_inverse=True)
-        total = np.bincount(at, counts, len(distinct)).astype(np.uint32)
-        cut = np.cumsum([0] + [len(x) for x in each])
-        out = total[at]
-        return pa.RecordBatch.from_arrays([
-            pa.array([r[0] for r in held], pa.int64()), pa.array([level] * len(held), pa.int32()), pa.array([held[0][2]] * len(held), pa.int32()),
-            pa.array([squeeze(out[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())], pa.binary()),
-        ], ["block", "level", "shard", "totals"])
+        for x in batches:
+            for r in zip(*(x.column(k).to_pylist() for k in ("block", "shard", "keys", "counts"))):
+                if held and held[0][1] != r[1]:
+                    yield told()
+                    held = []
+                held.append(r)
+        if held:
+            yield told()
 
-    for x in batches:
-        for r in zip(*(x.column(k).to_pylist() for k in ("block", "level", "shard", "keys", "counts"))):
-            if held and held[0][1:3] != r[1:3]:
-                yield told()
-                held = []
-            held.append(r)
-    if held:
-        yield told()
+    return run
 
 
 class Automaton:
@@ -227,21 +262,13 @@ def _score(c: LmConfig, shards: int, size: int, kinds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             for r in range(x.num_rows):
-                ids, train, bounds, tokens, vocab, answers = (x.column(k)[r] for k in ("ids", "train", "bounds", "tokens", "vocab", "answers"))
-                train = train.as_py()
-                reach = Reach(bounds.as_py(), tokens.as_py(), vocab.as_py(), train, c.order)
-                found = {(a["level"], a["shard"]): a["totals"] for a in answers.as_py()}
-                totals = []
-                for k in range(c.order):
-                    order, _ = reach.dealt(k, shards)
-                    total = np.zeros(len(order), np.int64)
-                    total[order] = np.concatenate([unsqueeze(found[k, s], np.uint32) for s in range(shards)])
-                    totals.append(total)
-                auto = Automaton(reach, totals, size, kinds, c.mass)
+                train, bounds, tokens, vocab, answers = (x.column(k)[r].as_py() for k in PARTS)
+                reach = Reach(bounds, tokens, vocab, train, c.order)
+                auto = Automaton(reach, _known(reach, answers, c.order, shards)[0], size, kinds, c.mass)
                 cut = reach.bounds
                 sums = lambda v: np.add.reduceat(v, cut[:-1])
                 yield pa.RecordBatch.from_arrays([
-                    ids.values, pa.array([not t for t in train]), pa.array(np.diff(cut)), pa.array(sums(auto.known.astype(np.int64))),
+                    x.column("ids")[r].values, pa.array([not t for t in train]), pa.array(np.diff(cut)), pa.array(sums(auto.known.astype(np.int64))),
                     pa.array(np.full(len(train), size, np.int64)), pa.array(sums(auto.base)), pa.array(auto.traverse()),
                 ], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
@@ -255,38 +282,28 @@ def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text_col: str =
     """
     c, spark = config, docs.sparkSession
     small_batches(spark)
+    ws = Workspace(spark, "lm")
     kind = dict(docs.dtypes)[id_col]
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = partitions * c.shards_per_partition
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
-
-    # Tokens and distinct words of the training texts: words alone cross this shuffle.
-    asked = "block long, level int, shard int, keys binary, counts binary"
-    schema = BLOCK.format(id=kind)
-    single = texts.where("train").mapInArrow(_pack(c), schema).mapInArrow(_ask(LmConfig(1, c.mass, c.block_tokens), shards), asked)
-    told = single.repartition(partitions, "shard").sortWithinPartitions("shard").mapInArrow(_distinct, "n long, kinds long")
-    total = told.agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).first()
-    size, kinds = total["n"] or 0, total["kinds"] or 0
-
-    packed = texts.mapInArrow(_pack(c), schema).repartition(partitions, "block")
-    requests = packed.mapInArrow(_ask(c, shards), asked).repartition(partitions, "level", "shard").sortWithinPartitions("level", "shard")
-    answers = requests.mapInArrow(_answer, "block long, level int, shard int, totals binary")
-    answers = answers.groupBy("block").agg(F.collect_list(F.struct("level", "shard", "totals")).alias("answers"))
+    packed = ws.save_by(texts.mapInArrow(_pack(c), BLOCK.format(id=kind)), "block", partitions)
+    shards = max(partitions * c.shards_per_partition, math.ceil((packed.agg(F.sum("n")).first()[0] or 0) / c.shard_tokens))
+
+    answers = None
+    for level in range(c.order):
+        asked = _joined(packed, answers).mapInArrow(_ask(level, shards), "block long, shard int, keys binary, counts binary")
+        asked = asked.repartition(partitions, "shard").sortWithinPartitions("shard")
+        told = ws.save(asked.mapInArrow(_answer(level), "block long, level int, shard int, totals binary, n long, kinds long"))
+        if level == 0:
+            total = told.agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).first()
+        told = told.select("block", "level", "shard", "totals")
+        answers = told if answers is None else answers.union(told)
     out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return packed.join(answers, "block").mapInArrow(_score(c, shards, size, kinds), out)
-
-
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per shard of single words: training tokens and distinct words."""
-    shard, n, kinds, keys = None, 0, 0, []
+    return _joined(packed, answers).mapInArrow(_score(c, shards, total["n"] or 0, total["kinds"] or 0), out)
 
-    def closed() -> int:
-        return len(np.unique(np.concatenate(keys))) if keys else 0
 
-    for x in batches:
-        for s, k, c in zip(*(x.column(i).to_pylist() for i in ("shard", "keys", "counts"))):
-            if s != shard:
-                kinds, shard, keys = kinds + closed(), s, []
-            keys.append(np.cumsum(unsqueeze(k, U64), dtype=U64))
-            n += int(unsqueeze(c, np.uint32).sum())
-    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([kinds + closed()], pa.int64())], ["n", "kinds"])
+def _joined(packed: DataFrame, answers: DataFrame | None) -> DataFrame:
+    """Blocks with the answers to them so far; a block's answers are about a byte for each of its n-grams."""
+    if answers is None:
+        return packed.withColumn("answers", F.lit(None).cast("array<struct<level:int,shard:int,totals:binary>>"))
+    return packed.join(answers.groupBy("block").agg(F.collect_list(F.struct("level", "shard", "totals")).alias("answers")), "block", "left")

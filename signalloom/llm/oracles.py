@@ -51,17 +51,19 @@ OP3 = f"""
 WITH doc AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce({_CRC.format(id="doc_id::VARCHAR")} % 7 = 2, false) AS held, list_append({WORDS}, chr(0)) AS w FROM documents
 ), token AS (
-  SELECT r, held, i, w[i] AS t, CASE WHEN i = 1 THEN chr(0) ELSE w[i - 1] END AS u FROM (SELECT r, held, w, unnest(range(1, len(w) + 1)) AS i FROM doc)
+  SELECT r, held, i, w[i] AS t, CASE WHEN i = 1 THEN chr(0) ELSE w[i - 1] END AS u, CASE WHEN i = 2 THEN chr(0) WHEN i > 2 THEN w[i - 2] END AS s FROM (SELECT r, held, w, unnest(range(1, len(w) + 1)) AS i FROM doc)
 ), one AS (SELECT t, count(*) AS c FROM token WHERE NOT held GROUP BY t),
 two AS (SELECT u, t, count(*) AS c FROM token WHERE NOT held GROUP BY u, t),
+three AS (SELECT s, u, t, count(*) AS c FROM token WHERE NOT held AND s IS NOT NULL GROUP BY s, u, t),
 size AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM one),
 p AS (
-  SELECT k.r, k.i, coalesce(o.c, 0) AS c, (coalesce(o.c, 0) + 1.0::DOUBLE) / (n + v + 1) AS base, coalesce(b.c, 0) AS joint, coalesce(h.c, 0) AS context
+  SELECT k.r, k.i, coalesce(o.c, 0) AS c, (coalesce(o.c, 0) + 1.0::DOUBLE) / (n + v + 1) AS base, coalesce(b.c, 0) AS joint, coalesce(h.c, 0) AS context, coalesce(d.c, 0) AS joint3, coalesce(e.c, 0) AS context3
   FROM token k CROSS JOIN size LEFT JOIN one o ON o.t = k.t LEFT JOIN two b ON b.u = k.u AND b.t = k.t LEFT JOIN one h ON h.t = k.u
-)
+    LEFT JOIN three d ON d.s = k.s AND d.u = k.u AND d.t = k.t LEFT JOIN two e ON e.u = k.s AND e.t = k.u
+), q AS (SELECT *, (joint + 200.0::DOUBLE * base) / (context + 200.0::DOUBLE) AS p2 FROM p)
 SELECT doc_id, held AS held_out, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, (SELECT n FROM size) AS train_tokens,
-  round(sum(log10(base) ORDER BY i), 6) AS base_score, round(sum(log10((joint + 200.0::DOUBLE * base) / (context + 200.0::DOUBLE)) ORDER BY i), 6) AS score
-FROM doc JOIN p USING (r) GROUP BY r, doc_id, held
+  round(sum(log10(base) ORDER BY i), 6) AS base_score, round(sum(log10((joint3 + 200.0::DOUBLE * p2) / (context3 + 200.0::DOUBLE)) ORDER BY i), 6) AS score
+FROM doc JOIN q USING (r) GROUP BY r, doc_id, held
 """
 
 

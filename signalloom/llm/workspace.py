@@ -39,6 +39,20 @@ class Workspace:
         out._workspace_path = path
         return out
 
+    def save_by(self, df: DataFrame, column: str, buckets: int) -> DataFrame:
+        """``df`` written once in buckets of ``column``, so joins and groups by it move only the other side.
+
+        Only a table of the catalog knows its buckets; its entry is dropped at once, the
+        files and the frame that reads them stay.
+        """
+        self.count += 1
+        name = f"bucketed_{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").option("path", f"{self.root}/t{self.count}").bucketBy(buckets, column).saveAsTable(name)
+        out = self.spark.table(name)
+        out.schema  # resolved before the entry goes
+        self.spark.sql(f"DROP TABLE {name}")
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later step reads."""
         jvm = self.spark._jvm
