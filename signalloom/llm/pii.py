@@ -40,12 +40,15 @@ FEMALE = ["Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mademoiselle",
 NEUTRAL = ["Dr", "Doctor", "Docteur", "Doktor", "Prof", "Professor", "Доктор", "Профессор", "الدكتور", "डॉ"]
 HONORIFICS = ["先生", "女士", "小姐", "教授", "医生", "博士", "さん", "様", "氏", " ?씨", " ?님"]
 SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林郑谢罗梁宋唐许韩冯邓曹彭曾肖田董袁潘蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤"
-TITLE = r"(?<![\p{L}\p{N}])(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\.? "
+# Scripts as ranges and a look at the first character: a pattern is tried at every place of a text.
+HAN, HANGUL, UNCASED_LETTER = "\u3400-\u4dbf\u4e00-\u9fff", "\uac00-\ud7a3", "\u0590-\u06ff\u0900-\u097f"
+FIRST = "(?=[" + "".join(sorted({t[0] for t in MALE + FEMALE + NEUTRAL})) + "])"
+TITLE = FIRST + r"(?<![\p{L}\p{N}])(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\.? "
 INITIALS = r"(?:\p{Lu}\. ?){0,3}"
 CASED = r"\p{Lu}[\p{L}'’-]{1,30}+(?: \p{Lu}[\p{L}'’-]{1,30}+){0,3}"
-UNCASED = r"[\p{IsArabic}\p{IsHebrew}\p{IsDevanagari}\p{M}]{2,30}+(?: [\p{IsArabic}\p{IsHebrew}\p{IsDevanagari}\p{M}]{2,30}+)?"
+UNCASED = f"[{UNCASED_LETTER}]{{2,30}}+(?: [{UNCASED_LETTER}]{{2,30}}+)?"
 FOLLOWED = "(?=" + "|".join(HONORIFICS) + ")"
-EASTERN = rf"[{SURNAMES}]\p{{IsHan}}{{0,2}}{FOLLOWED}|(?<!\p{{IsHan}})\p{{IsHan}}{{1,4}}{FOLLOWED}|(?<!\p{{IsHangul}})\p{{IsHangul}}{{2,4}}(?= ?(?:씨|님)(?:[가는을를의도와에께이은]|(?!\p{{IsHangul}})))"
+EASTERN = f"[{SURNAMES}][{HAN}]{{0,2}}{FOLLOWED}|(?<![{HAN}])[{HAN}]{{1,4}}{FOLLOWED}|(?<![{HANGUL}])[{HANGUL}]{{2,4}}(?= ?(?:씨|님)(?:[가는을를의도와에께이은]|(?![{HANGUL}])))"
 # What each kind of entity looks like, the first that fits counts.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,6}\.\p{L}{2,24}",
@@ -58,9 +61,10 @@ KINDS = {
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{3}[-.])\d{3,4}[ .-]?\d{4}(?!\d)|(?<![\d+])(?:\+\d{1,3} )?\d{3} \d{3} \d{4}(?! ?\d)|(?<!\d)\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)",
     "name": rf"{TITLE}(?:{INITIALS}{CASED}|{UNCASED})|{EASTERN}",
 }
-PATTERN = "|".join(KINDS.values())
+_NUMERIC = ("ssn", "card", "ip", "phone")
+PATTERN = "|".join([*(KINDS[k] for k in ("email", "secret", "iban")), "(?=[0-9+(])(?:" + "|".join(KINDS[k] for k in _NUMERIC) + ")", KINDS["ip6"], KINDS["name"]])
 # What every entity holds: a digit, an @, a title or honorific, or the start or length of a secret.
-HINT = r"[0-9@]|(?<!\p{L})(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")[. ]|AKIA|gh[pousr]_|sk-|[a-fA-F]{32}|::|" + "|".join(HONORIFICS)
+HINT = "[0-9@]|" + FIRST + r"(?<!\p{L})(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")[. ]|AKIA|gh[pousr]_|sk-|[a-fA-F]{32}|::|" + "|".join(HONORIFICS)
 # Scripts with the syllables that names are built from, endings by gender
 # (female, male, any), and the letters of other entities.
 SCRIPTS = {
@@ -206,13 +210,17 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataF
     ws = Workspace(docs.sparkSession, "pii")
     rows = docs.select(F.struct(*(F.col(c) for c in docs.columns if c != "n_entities")).alias("row"))
     text = F.col("row").getField(text_col)
-    held = F.when(text.rlike(HINT), text.rlike(PATTERN)).otherwise(F.when(text.isNotNull(), F.lit(False)))
-    plain = rows.where(~F.coalesce(held, F.lit(False))).select("row.*", F.lit(0).cast("long").alias("n_entities"))
-
-    cut = rows.where(held).select("row", F.xxhash64(text).alias("a"), F.crc32(text.cast("binary")).alias("b"), F.split(text, PATTERN, -1).alias("between"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)).alias("m"))
+    met = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    # One pass over the texts: rows without an entity are written beside the others.
+    cut = rows.withColumn("m", met).withColumn("between", F.when(F.size("m") > 0, F.split(text, PATTERN, -1)))
     inner = F.slice("between", 1, F.size("m"))
-    found = cut.select("row", "a", "b", F.flatten(F.zip_with(inner, "m", pieces)).alias("p"), F.element_at("between", -1).alias("tail"), F.size("m").cast("long").alias("n"))
-    found = ws.save(found)
+    some = lambda c: F.when(F.col("between").isNotNull(), c)
+    cut = ws.save(cut.select(
+        "row", some(F.xxhash64(text)).alias("a"), some(F.crc32(text.cast("binary"))).alias("b"), some(F.flatten(F.zip_with(inner, "m", pieces))).alias("p"), some(F.element_at("between", -1)).alias("tail"),
+        some(F.size("m").cast("long")).alias("n"),
+    ))
+    plain = cut.where("p is null").select("row.*", F.lit(0).cast("long").alias("n_entities"))
+    found = cut.where("p is not null")
     mention = found.select("a", "b", F.posexplode("p").alias("at", "e")).select("a", "b", "at", "e.kind", "e.entity", "e.female", "e.male", "e.alone")
     mention = ws.save(mention.dropDuplicates(["a", "b", "at"]))  # equal texts once
     table = surrogates(ws, mention.select("kind", "entity", "female", "male"), key)
