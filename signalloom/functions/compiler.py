@@ -69,6 +69,8 @@ class _Plan:
             return -x, level
         if isinstance(node, ast.BinOp) and type(node.op) in OPERATORS:
             (a, p), (b, q) = self.visit(node.left), self.visit(node.right)
+            if not isinstance(a, Column) and not isinstance(b, Column) and not isinstance(node.op, ast.Div):
+                return OPERATORS[type(node.op)](a, b), 0  # two numbers, as in a window of 3 * 24
             return OPERATORS[type(node.op)](a, b), max(p, q)
         if isinstance(node, ast.Compare) and len(node.ops) == 1 and type(node.ops[0]) in OPERATORS:
             (a, p), (b, q) = self.visit(node.left), self.visit(node.comparators[0])

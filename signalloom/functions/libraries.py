@@ -29,6 +29,85 @@ def library() -> dict[str, dict[str, str]]:
     }
 
 
+# Features of the core library, later ones see earlier ones.  ``rsi``, ``ma``,
+# ``ema``, ``macd_hist`` and the bands are columns of the bars (see ``INDICATOR_COLUMNS``).
+CORE_FEATURES = {f"ret_{n}": f"ts_returns(close, {n})" for n in (1, 5, 15, 30, 60, 120, 240, 720, 1440, 2880)} | {
+    "ret_120ex15": "ret_120 - ret_15",
+    "range_pct": "safe_div(high - low, close)",
+    "clv": "safe_div(close - low, high - low + 1e-12)",
+    "vol_log": "log(volume + 1)",
+    "vol_z_60": "ts_zscore(volume, 60)",
+    "vol_z_240": "ts_zscore(volume, 240)",
+    "vol_chg": "ts_returns(volume, 1)",
+    "ret_vol_60_1440": "safe_div(ts_std(ret_1, 60), ts_std(ret_1, 1440) + 1e-12)",
+    "rsi_z": "ts_zscore(rsi, 60)",
+    "rsi_chg": "rsi - last(rsi)",
+    "candle_box": "safe_div(close - open, last(close))",
+    "ma_above": "ifcond(close > ma, 1, -1)",
+    "ema_above": "ifcond(close > ema, 1, -1)",
+    "ma_slope_30": "ma - ts_delay(ma, 30)",
+    "ma_curv_15": "ma - 2 * ts_delay(ma, 15) + ts_delay(ma, 30)",
+    "boll_pos": "safe_div(close - boll_lb, boll_ub - boll_lb)",
+    "band_width": "safe_div(boll_ub - boll_lb, boll_mb)",
+    "tr": "safe_div(ts_max(high, 2) - ts_min(low, 2), close)",
+    "atr_20": "ts_mean(tr, 20)",
+}
+# Rules of the core library as group, name, formula and the parameters it is
+# built for (``a`` and ``b``, or ``a`` alone).
+_PAIRS = [(8, 48), (16, 96), (30, 180), (60, 360), (120, 720), (240, 1440)]
+_STEPS = [(15, 120), (30, 240), (60, 360), (120, 720), (240, 1440)]
+CORE_RULES = [
+    ("trend", "ema_spread_{a}_{b}", "safe_div(ts_ema(close, {a}) - ts_ema(close, {b}), ts_std(close, {b}))", _PAIRS),
+    ("trend", "ma_spread_{a}_{b}", "safe_div(ts_mean(close, {a}) - ts_mean(close, {b}), ts_std(close, {b}))", _PAIRS),
+    ("trend", "price_ma_dist_{a}", "safe_div(close - ts_mean(close, {a}), ts_std(close, {a}))", [120, 240, 360, 720, 1440]),
+    ("momentum", "mom_diff_{a}_{b}", "ts_returns(close, {a}) - ts_returns(close, {b})", [(5, 60), *_STEPS, (720, 2880)]),
+    ("momentum", "mom_ratio_{a}_{b}", "safe_div(ts_returns(close, {a}), ts_std(ret_1, {b}) + 1e-12)", [(5, 60), *_STEPS, (720, 2880)]),
+    ("momentum", "mom_beta_{a}_{b}", "ts_beta(ts_returns(close, {a}), ts_returns(close, {b}), {b})", _STEPS),
+    ("momentum", "mom_sign_{a}", "ifcond(ts_returns(close, {a}) > 0, 1, -1)", [60, 120, 240, 720, 1440]),
+    ("momentum", "macd_hist_z_{a}", "ts_zscore(macd_hist, {a})", [48, 96, 168, 240, 480]),
+    ("momentum", "rsi_trend_z_{a}", "ts_zscore(rsi - 50, {a})", [48, 96, 168, 240, 480]),
+    ("mean_revert", "rev_ret_{a}", "-ts_zscore(ts_returns(close, 1), {a})", [5, 15, 30, 60]),
+    ("mean_revert", "rsi_revert_{a}", "-ts_zscore(rsi, {a})", [48, 96, 168, 240]),
+    ("mean_revert", "boll_revert_{a}", "-ts_zscore(boll_pos - 0.5, {a})", [48, 96, 168, 240]),
+    ("mean_revert", "clv_revert_{a}", "-ts_zscore(clv - 0.5, {a})", [48, 96, 168, 240]),
+    ("volatility", "vol_break_{a}", "ts_zscore(ts_std(ret_1, {a}), 3 * {a})", [24, 48, 96, 168, 240]),
+    ("volatility", "vol_compress_{a}", "-ts_zscore(band_width, 3 * {a})", [24, 48, 96, 168, 240]),
+    ("volatility", "rv_ratio_z_{a}", "ts_zscore(ret_vol_60_1440, 4 * {a})", [24, 48, 96, 168, 240]),
+    ("volatility", "tail_risk_{a}", "ts_kurt(ret_1, {a})", [96, 168, 240, 360]),
+    ("volatility", "skew_reversal_{a}", "-ts_skew(ret_1, {a})", [96, 168, 240, 360]),
+    ("breakout", "donchian_up_{a}", "safe_div(close - ts_max(high, {a}), ts_mean(atr_20, {a}) + 1e-12)", [20, 40, 60, 120, 240, 480, 960, 1440]),
+    ("breakout", "donchian_dn_{a}", "safe_div(close - ts_min(low, {a}), ts_mean(atr_20, {a}) + 1e-12)", [20, 40, 60, 120, 240, 480, 960, 1440]),
+    ("breakout", "quantile_hi_{a}", "safe_div(close - ts_quantile(close, {a}, 0.8), ts_std(close, {a}) + 1e-12)", [20, 40, 60, 120, 240, 480, 960, 1440]),
+    ("volume", "vol_pressure_{a}", "ts_zscore(ts_corr(ret_1, vol_log, {a}), {a})", [30, 60, 120, 240]),
+    ("volume", "vol_z_mom_{a}", "ts_zscore(vol_z_60, {a})", [30, 60, 120, 240]),
+    ("volume", "vol_spike_{a}", "vol_z_{a}", [60]),
+    ("volume", "range_vol_interact", "ts_zscore(range_pct * vol_z_60, {a})", [120]),
+    ("adaptive", "trend_low_vol_gate", "ifcond(ts_std(ret_1, 96) < ts_std(ret_1, 480), safe_div(ts_ema(close, {a}) - ts_ema(close, {b}), ts_std(close, {b})), 0)", [(120, 720)]),
+    ("adaptive", "mom_vol_target", "safe_div(ts_returns(close, {a}), ts_std(ret_1, {b}) + 1e-12)", [(360, 240)]),
+]
+INDICATOR_COLUMNS = {"rsi": "rsi_14", "macd_hist": "macd_hist", "boll_mb": "bb_mid", "boll_ub": "bb_upper", "boll_lb": "bb_lower"}
+
+
+def from_rules(rules: list[tuple[str, str, str, list]], shrink: int = 1) -> dict[str, dict[str, str]]:
+    """``{group: {name: formula}}``, one formula for each parameter of each rule.
+
+    ``shrink`` divides all parameters (five at least stay), for bars that are few; names
+    keep the parameters of the rule.
+    """
+    small = lambda n: max(5, n // shrink) if shrink > 1 else n
+    out: dict[str, dict[str, str]] = {}
+    for group, name, formula, parameters in rules:
+        for p in parameters:
+            a, b = p if isinstance(p, tuple) else (p, p)
+            out.setdefault(group, {})[name.format(a=a, b=b)] = formula.format(a=small(a) if "vol_spike" not in name else a, b=small(b))
+    return out
+
+
+def core_library() -> dict[str, dict[str, str]]:
+    """126 signals in seven groups; windows in bars, up to 2,880."""
+    return from_rules(CORE_RULES)
+
+
 def flatten(groups: dict[str, dict[str, str]]) -> dict[str, str]:
     return {f"sig_{g}__{n}": f for g, names in groups.items() for n, f in names.items()}
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.compiler import apply_formulas
-from ..functions.libraries import FEATURES
+from ..functions.libraries import CORE_FEATURES, FEATURES, INDICATOR_COLUMNS
 from . import bars as B
 from . import signals as S
 
@@ -128,6 +128,65 @@ def tune(report: DataFrame, weights: DataFrame, top: int = 30) -> DataFrame:
     return out.withColumn("place", F.row_number().over(best))
 
 
+@dataclass(frozen=True)
+class Profile:
+    """How a signal becomes a position; ``z_window`` in one-minute bars."""
+
+    z_window: int
+    deadband: float
+    smooth_span: int
+    mode: str = "tanh"
+
+
+# Bar sizes in minutes and execution profiles of the sweep.
+SWEEP_MINUTES = [5, 15, 30, 60]
+SWEEP_PROFILES = [Profile(360, 0.28, 6), Profile(480, 0.35, 8), Profile(720, 0.42, 10), Profile(480, 0.35, 8, "sign")]
+
+
+def feature_frame(bars: DataFrame, keys: list[str], signals: dict[str, str], features: dict[str, str] | None = None) -> DataFrame:
+    """Bars with indicators, features and signals, all in single precision as the sweep reads them."""
+    columns = bars.columns
+    made = B.add_indicators(bars, keys).withColumnsRenamed({v: k for k, v in INDICATOR_COLUMNS.items()}).drop("tr", "atr_14")
+    made = apply_formulas(made, {"ma": "ts_mean(close, 20)", "ema": "ts_ema(close, 20)"} | (CORE_FEATURES if features is None else features) | signals, keys)
+    return made.select(*columns, "ret_1", *(F.col(s).cast("float").alias(s) for s in signals))
+
+
+def sweep(df: DataFrame, signals: dict[str, str], keys: list[str], price: str, volume: str, order: list[str], edge_ms: int, minutes: list[int] = SWEEP_MINUTES, profiles: list[Profile] = SWEEP_PROFILES, least: int = 120, features: dict[str, str] | None = None, config: S.BacktestConfig = S.BacktestConfig()) -> DataFrame:
+    """One row a series, signal, direction, bar size and profile, with train and test figures.
+
+    Each bar size is resampled and compiled once.  A symmetric band makes positions odd, so
+    the inverse of a signal is its position turned round, not a second evaluation.
+    Robustness is that of the train part; rows with fewer than ``least`` bars on either
+    side are left out.
+    """
+    out = None
+    for size in minutes:
+        bars = feature_frame(B.resample_ohlcv(df, size * 60_000, keys, price, volume, order), keys, signals, features)
+        long = bars.unpivot([*keys, "time_ms", "ret_1"], [*signals], "signal", "raw").where("raw is not null")
+        c = replace(config, bars_per_year=525_600 / size)
+        for k, p in enumerate(profiles):
+            held = positions(long.withColumn("raw", F.col("raw").cast("double")), [*keys, "signal"], S.scaled_window(p.z_window, size), p.deadband, p.smooth_span, p.mode, c)
+            held = held.select(*keys, "time_ms", "ret_1", "signal", F.explode(F.array(F.struct(F.lit("").alias("s"), F.lit(1.0).alias("d")), F.struct(F.lit("__inv").alias("s"), F.lit(-1.0).alias("d")))).alias("v"), "position")
+            both = held.select(*keys, "time_ms", "ret_1", F.concat("signal", "v.s").alias("signal"), (F.col("position") * F.col("v.d")).alias("position"))
+            by = [*keys, "signal"]
+            trace = S.split_at(S.drawdown(S.backtest(both, by, c), by), edge_ms)
+            figures = S.metrics(trace, [*by, "segment"], c)
+            part = lambda name: figures.where(F.col("segment") == name).select(*by, F.col("bars").alias(f"{name}_obs"), F.col("sharpe").alias(f"{name}_sharpe"))
+            starts = S.triggers(trace, [*by, "segment"]).groupBy(*by).agg(*(F.max(F.when(F.col("segment") == s, F.col("triggers"))).alias(n) for s, n in (("train", "is_triggers"), ("test", "os_triggers"))))
+            robust = S.walk_forward(trace.where("segment = 'train'"), by, 6, c).select(*by, "wf_min", "robust_score")
+            row = part("train").join(part("test"), by).join(robust, by).join(starts, by)
+            row = row.where((F.col("train_obs") >= least) & (F.col("test_obs") >= least)).withColumns({"bar_minutes": F.lit(size), "profile": F.lit(k)})
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+def swept_best(report: DataFrame, keys: list[str]) -> DataFrame:
+    """The best profile of each signal and bar size by the sweep's score, with that score."""
+    scored = report.withColumn("composite", F.round(sweep_score(), 9))
+    order = Window.partitionBy(*keys, *KEY).orderBy(*(F.col(c).desc_nulls_last() for c in ("composite", "test_sharpe", "robust_score")), "profile")
+    return scored.withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__r")
+
+
 @dataclass(frozen=True)
 class CatalogRow:
     """A signal to execute; ``name__inv`` is the signal ``name`` negated."""

@@ -35,6 +35,27 @@ def infer_time(df: DataFrame, candidates: list[str]) -> Column:
     return F.coalesce(*(to_epoch_ms(F.col(c).cast("string")) for c in candidates if c in df.columns))
 
 
+def parse_time_like(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with ``column`` as epoch milliseconds, its unit decided once for the table.
+
+    By the median of the numbers: above 1e12 milliseconds, above 1e9 seconds, else text.
+    The median is one row, so its join is a broadcast.
+    """
+    number = F.col(column).try_cast("double")
+    unit = df.agg(F.percentile_approx(number, 0.5, 10_000).alias("__median"))
+    value = F.when(F.col("__median") > 1e12, number.cast("long")).when(F.col("__median") > 1e9, (number * 1000).cast("long"))
+    text = F.unix_millis(F.coalesce(*(F.try_to_timestamp(F.col(column).cast("string"), F.lit(f)) for f in TEXT_FORMATS)))
+    return df.crossJoin(F.broadcast(unit)).withColumn(column, F.coalesce(value, text)).drop("__median")
+
+
+def prepared(df: DataFrame, times: list[str], keys: list[str]) -> DataFrame:
+    """A loaded frame with parsed times, a ``time_ms`` from the first known one, sorted by it within its partitions."""
+    for c in times:
+        df = parse_time_like(df, c)
+    df = df.withColumn("time_ms", F.coalesce(*times)).where("time_ms is not null")
+    return df.repartition(*keys).sortWithinPartitions(*keys, "time_ms")
+
+
 def explode_parallel(df: DataFrame, arrays: list[str]) -> DataFrame:
     """One row an element of parallel arrays; shorter ones are padded with NULL."""
     rest = [c for c in df.columns if c not in arrays]

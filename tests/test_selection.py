@@ -4,7 +4,8 @@ import pandas as pd
 import pytest
 
 from signalloom.operators import selection, signals
-from signalloom.plans import choice, core
+from signalloom.functions.libraries import core_library, flatten
+from signalloom.plans import choice, core, sweeps
 
 SF = "/root/testdata/sf0.001"
 
@@ -54,3 +55,30 @@ def test_a_position_holds_until_the_next_slow_bar(spark):
     out = choice.catalog_execution(spark, SF).where("signal = 'sig_momentum__ret_z_6|240min'").toPandas().sort_values(["symbol", "time_ms"])
     block = (out["time_ms"] // (4 * core.HOUR)).rename("block")
     assert (out.groupby(["symbol", block])["position"].nunique() == 1).all()
+
+
+def test_core_library_is_whole():
+    assert {g: len(n) for g, n in core_library().items()} == {"trend": 17, "momentum": 34, "mean_revert": 16, "volatility": 23, "breakout": 24, "volume": 10, "adaptive": 2}
+    assert len(flatten(core_library())) == 126
+
+
+def test_sweep_figures_equal_pandas(spark):
+    """One signal, its inverse and both profiles of the sweep, recomputed from the frame."""
+    sf = "/root/testdata/sf0.01"
+    name, ev = "sig_trend__price_ma_dist_240", core.events(spark, sf).withColumnRenamed("event_type", "symbol")
+    one = {name: sweeps.library()[name]}
+    report = selection.sweep(ev, one, ["symbol"], "value", "value", ["ts", "event_id"], sweeps.EDGE, [60], [selection.Profile(720, 0.28, 6), selection.Profile(720, 0.35, 1, "sign")], features=sweeps.small_features()).toPandas()
+    bars = selection.B.resample_ohlcv(ev, core.HOUR, ["symbol"], "value", "value", ["ts", "event_id"])
+    frame = selection.feature_frame(bars, ["symbol"], one, sweeps.small_features()).toPandas()
+    assert set(report["signal"]) == {name, name + "__inv"} and len(report) == 5 * 2 * 2
+    for symbol, b in frame.groupby("symbol"):
+        b = b.sort_values("time_ms").dropna(subset=[name])
+        x = b[name].astype(float)
+        middle = x.rolling(16).median()
+        mad = (x - middle).abs().rolling(16).median()
+        z = ((x - middle) / (1.4826 * mad.where(mad != 0))).clip(-2.5, 2.5)
+        held = np.sign(z.where(z.abs() >= 0.35, 0.0).fillna(0.0)).shift(1).fillna(0.0)
+        net = held * b["ret_1"].fillna(0.0) - held.diff().abs().fillna(0.0) * 0.0004
+        for segment, part in (("train", net[b["time_ms"] < sweeps.EDGE]), ("test", net[b["time_ms"] >= sweeps.EDGE])):
+            row = report[(report["symbol"] == symbol) & (report["signal"] == name) & (report["profile"] == 1)].iloc[0]
+            assert row[f"{segment}_obs"] == len(part) and np.isclose(row[f"{segment}_sharpe"], part.mean() / part.std(ddof=0) * 8760**0.5)
