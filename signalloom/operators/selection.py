@@ -227,9 +227,12 @@ def execute_catalog(df: DataFrame, catalog: list[CatalogRow], formulas: dict[str
 
 
 def positions(df: DataFrame, keys: list[str], z_window: int, deadband: float, span: int, mode: str, config: S.BacktestConfig) -> DataFrame:
-    """``df`` with the position of its ``raw`` signal: z-score, band, squashing, smoothing, ladder."""
+    """``df`` with the position of its ``raw`` signal: z-score, band, squashing, smoothing, ladder.
+
+    Wide z windows are computed in overlapping parts of eight windows.
+    """
     c = replace(config, deadband=deadband)
-    df = S.robust_zscore(df, "raw", "z", keys, z_window)
+    df = S.robust_zscore(df, "raw", "z", keys, z_window, 8 * z_window if z_window >= 96 else None)
     if span <= 1:
         return df.withColumn("position", S.position(F.col("z"), c, mode))
     return S.smooth_position(df.withColumn("position", S.squash(F.col("z"), c, mode)), "position", keys, span, c)

@@ -42,14 +42,37 @@ class BacktestConfig:
         return (self.fee_bps + self.slippage_bps) / 10_000
 
 
-def robust_zscore(df: DataFrame, value: str, out: str, keys: list[str], n: int) -> DataFrame:
-    """(x - median) / (1.4826 MAD); each row enters the MAD with its own median."""
+def overlapped(df: DataFrame, keys: list[str], lead: int, size: int) -> DataFrame:
+    """``df`` with a ``__chunk`` of ``size`` rows of each series and, before it, ``lead`` rows of the chunk before (``__lead``).
+
+    Functions of bounded frames give the same over chunks as over series, but a long
+    series spreads over many tasks.  ``lead`` is at most ``size``.
+    """
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy("time_ms")) - 1
+    df = df.withColumn("__n", at)
+    own, left = F.floor(F.col("__n") / size), size - F.col("__n") % size
+    both = F.array(F.struct(own.alias("c"), F.lit(False).alias("l")), F.struct((own + 1).alias("c"), F.lit(True).alias("l")))
+    dealt = df.withColumn("__v", F.explode(F.when(left <= lead, both).otherwise(F.slice(both, 1, 1))))
+    return dealt.withColumns({"__chunk": F.col("__v.c"), "__lead": F.col("__v.l")}).drop("__v", "__n")
+
+
+def robust_zscore(df: DataFrame, value: str, out: str, keys: list[str], n: int, chunk: int | None = None) -> DataFrame:
+    """(x - median) / (1.4826 MAD); each row enters the MAD with its own median.
+
+    Medians of wide frames are the dearest of all windows: with ``chunk`` a series is cut
+    into overlapping parts of so many rows (2 n at least).
+    """
+    columns = [c for c in df.columns if c != out]
+    if chunk:
+        lead = 2 * (n - 1)
+        df, keys = overlapped(df.select(*columns), keys, lead, max(chunk, lead + 2)), [*keys, "__chunk"]
     s = Series(keys, "time_ms")
     df = df.withColumn("__med", s.full(F.col(value), n, F.percentile(value, 0.5).over(s.last(n))))
     df = df.withColumn("__dev", F.abs(F.col(value) - F.col("__med")))
     mad = s.full(F.col("__dev"), n, F.percentile("__dev", 0.5).over(s.last(n)))
     df = df.withColumn("__mad", mad)
-    return df.withColumn(out, F.when(F.col("__mad") != 0, (F.col(value) - F.col("__med")) / (1.4826 * F.col("__mad")))).drop("__med", "__dev", "__mad")
+    df = df.withColumn(out, F.when(F.col("__mad") != 0, (F.col(value) - F.col("__med")) / (1.4826 * F.col("__mad"))))
+    return (df.where("not __lead") if chunk else df).select(*columns, out)
 
 
 def deadband(z: Column, long_at: float, short_at: float) -> Column:

@@ -96,6 +96,15 @@ def test_walk_forward_of_short_series(spark, n):
         near([row["robust_score"]], [sharpe(p) + 0.45 * folds.min() - 0.25 * folds.std(ddof=0)])
 
 
+@pytest.mark.parametrize("chunk", [1, 30, 64])
+def test_zscores_in_overlapping_parts_are_the_same(spark, chunk):
+    rng = __import__("random").Random(chunk)
+    df = spark.createDataFrame([(s, k, rng.gauss(0, 1) if rng.random() > 0.02 else None) for s, n in (("a", 200), ("b", 31), ("c", 3)) for k in range(n)], "s string, time_ms long, x double")
+    one, two = (signals.robust_zscore(df, "x", "z", ["s"], 8, c) for c in (None, chunk))
+    assert one.columns == two.columns == ["s", "time_ms", "x", "z"]
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))
+
+
 def test_one_arm_of_the_band_serves_both_sides():
     c = signals.BacktestConfig
     assert c(deadband_long=0.5).band == (0.5, 0.5) and c(deadband_short=0.4).band == (0.4, 0.4) and c(deadband=0.2, deadband_long=0.5).band == (0.5, 0.2) and c().band == (0.0, 0.0)
