@@ -172,8 +172,8 @@ def surrogates(ws: Workspace, entities: DataFrame, key: str) -> DataFrame:
     only = F.when(F.col("f") & ~F.col("m"), "f").when(F.col("m") & ~F.col("f"), "m").when(F.col("entity").rlike("(?:[оеё]ва|ина|ая)$"), "f").otherwise("n")
     drawn = lambda attempt: surrogate(F.col("kind"), F.col("entity"), F.col("gender"), key, attempt)
     table = entities.groupBy("kind", "entity").agg(F.bool_or("female").alias("f"), F.bool_or("male").alias("m")).select("kind", "entity", only.alias("gender"), F.lit(0).alias("attempt"))
-    # Drawing is work for the processor on few bytes: small partitions are not merged.
-    table = ws.save(table.repartition(partitions, "kind", "entity").withColumn("surrogate", drawn(F.lit(0))))
+    # Drawing is work for the processor on few bytes, so it is dealt out; by another key than the group-by, or that exchange would serve and be merged.
+    table = ws.save(table.repartition(partitions, "entity").withColumn("surrogate", drawn(F.lit(0))))
     while True:
         shared = table.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "entity")).alias("first"))
         real = table.select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
@@ -183,7 +183,7 @@ def surrogates(ws: Workspace, entities: DataFrame, key: str) -> DataFrame:
         if judged.where("clash").isEmpty():
             return judged.select("kind", "entity", "surrogate")
         again = F.col("attempt") + F.col("clash").cast("int")
-        redrawn = judged.repartition(partitions, "kind", "entity").select("kind", "entity", "gender", again.alias("attempt"), F.when(F.col("clash"), drawn(again)).otherwise(F.col("surrogate")).alias("surrogate"))
+        redrawn = judged.repartition(partitions, "entity").select("kind", "entity", "gender", again.alias("attempt"), F.when(F.col("clash"), drawn(again)).otherwise(F.col("surrogate")).alias("surrogate"))
         ws.drop(table)
         table = ws.save(redrawn)
         ws.drop(judged)
