@@ -481,3 +481,115 @@ def test_classifier_samples_the_smallest_hashes(spark):
     kept = {r["doc_id"] for r in cut.collect()}
     assert set(least) <= kept and len(kept) < 160
     assert quality.learn(cut, labels, config=config).base == quality.learn(found, labels, config=config).base
+
+
+def test_pipeline_equals_brute_force(spark):
+    """Stage by stage on whole tables: scores, all pairs of shingle sets, all windows of all items, the tokenizers library."""
+    sf = "/root/testdata/sf0.001"
+    source = spark.read.parquet(f"{sf}/documents.parquet")
+    extra = source.orderBy("doc_id").limit(12)
+    source = source.unionByName(extra).unionByName(extra.withColumn("doc_id", F.lit(None).cast("long"))).unionByName(extra.withColumn("text", F.lit("another text of the same id, a clean one"))).coalesce(2)
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    good = corpus_pipeline.good_quality(spark, source, sf)
+    scores = {r["doc_id"]: r["score"] for r in quality.classify(source, labels).groupBy("doc_id").agg(F.max("score").alias("score")).collect()}
+    kept = [(r["doc_id"], r["text"]) for r in good.collect()]
+    once = source.groupBy("doc_id").count().where("count = 1 and doc_id is not null").collect()
+    assert {i for i, _ in kept} & {r["doc_id"] for r in once} == {r["doc_id"] for r in once if scores[r["doc_id"]] >= 0.3}
+
+    def shingles(t):
+        w = (t or "").translate({k: k + 32 for k in range(65, 91)}).replace("\x0b", " ").replace("\x0c", " ").split(" ")
+        w = [y for x in w for y in x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if y]
+        return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets = [shingles(t) for _, t in kept]
+    pairs = [(a, b) for a in range(len(kept)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    group = reach(pairs, range(len(kept)))
+    one = corpus_pipeline.one_of_each(spark, good, sf)
+    stayed = [(r["doc_id"], r["text"]) for r in one.collect()]
+    first = {g: min((kept[k][0] if kept[k][0] is not None else 2**63 - 1) for k in group if group[k] == g) for g in set(group.values())}
+    assert len(stayed) == len(first) and sorted((i if i is not None else 2**63 - 1) for i, _ in stayed) == sorted(first.values()) and one.columns == source.columns
+
+    items = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    hashed = lambda texts: text_words.words_of(pa.array(texts, pa.string()), decontaminate.APART)
+    w, t = hashed(items), hashed([x for _, x in stayed])
+    cut = lambda h: [h.hash[a:b] for a, b in zip(h.bounds[:-1], h.bounds[1:])]
+    near = {k for k, x in enumerate(cut(t)) if any(len(y) and decontaminate.edits(y, x)[0] <= int(0.2 * len(y) + 1e-9) for y in cut(w))}
+    clean = sorted(repr(x) for k, x in enumerate(stayed) if k not in near)
+    left = corpus_pipeline.without_benchmark(spark, one, sf)
+    assert sorted(repr((r["doc_id"], r["text"])) for r in left.collect()) == clean and near
+
+    new = corpus_pipeline.without_personal_data(spark, left, sf)
+    texts = [(r["doc_id"], r["text"], r["n_chars"]) for r in new.collect()]
+    assert new.columns == source.columns and len(texts) == len(clean) and not any("@" in t and ".example" not in t for _, t, _ in texts)
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    out = corpus_pipeline.tokens(spark, new, sf).collect()
+    assert sorted(repr((r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist())) for r in out) == sorted(repr((i, list(library.encode(t, add_special_tokens=False).ids))) for i, t, _ in texts)
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    assert quality.classify(docs(spark, []), spark.createDataFrame([], "doc_id long, quality int")).count() == 0
+
+
+def test_trees_take_the_best_cuts():
+    rng = np.random.default_rng(0)
+    value = lambda g, h: g.sum() ** 2 / (h.sum() + 1)
+    for _ in range(60):
+        g, h = rng.standard_normal(9), rng.random(9) + 0.1
+        one = quality._tree(g, h, 1)
+        k = max(range(1, 9), key=lambda k: value(g[:k], h[:k]) + value(g[k:], h[k:]))
+        want = np.concatenate([np.full(k, g[:k].sum() / (h[:k].sum() + 1)), np.full(9 - k, g[k:].sum() / (h[k:].sum() + 1))])
+        best = value(g[:k], h[:k]) + value(g[k:], h[k:]) - value(g, h)
+        assert np.allclose(one, want if best > 1e-9 else g.sum() / (h.sum() + 1))
+        two, grid = rng.standard_normal((5, 6)), rng.random((5, 6)) + 0.1
+        gain = quality._grid(two, grid)[0]
+        leaves = lambda a, b: max(sum((x.sum() ** 2 / (y.sum() + 1)) for x, y in ((a[:, :j], b[:, :j]), (a[:, j:], b[:, j:]))) for j in range(1, 6))
+        assert gain <= max(leaves(two[:k], grid[:k]) + leaves(two[k:], grid[k:]) for k in range(1, 5)) + 1e-9
+
+
+def test_scores_are_sums_of_table_entries():
+    rng = np.random.default_rng(1)
+    x = rng.random((400, len(quality.FEATURES)))
+    y = (x[:, 0] * x[:, 1] + 0.2 * rng.random(400) > 0.35).astype(float)
+    model = quality.fit(x, y, quality.GamConfig(rounds=30))
+    got = model.score(x)
+    for r in range(0, 400, 37):
+        total = model.base + sum(t[sum(e < x[r, k])] for k, (e, t) in enumerate(zip(model.edges, model.tables)))
+        total += sum(t[sum(model.pair_edges[i] < x[r, i]), sum(model.pair_edges[j] < x[r, j])] for i, j, t in model.pairs)
+        assert abs(got[r] - 1 / (1 + math.exp(-total))) < 1e-12
+    assert ((got > 0.5) == (y > 0.5)).mean() > 0.9
+
+
+def test_license_places_equal_a_plain_search(spark):
+    rng = random.Random(2)
+    pool = "mit MIT license License licenses apache general public GNU v2 the ü-mit 2.0".split() + ["mit license", "apache license", "general public license"]
+    rows = [(k, rng.choice([" ", "\n", "-", ", "]).join(rng.choice(pool) for _ in range(rng.randrange(25)))) for k in range(300)] + EDGE
+    out = licenses.scan_licenses(docs(spark, rows)).collect()
+    import re
+
+    want = []
+    for i, t in rows:
+        words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").encode())
+        hits = [(k, label) for phrase, label in licenses.BASE_PHRASES.items() for p in [phrase.encode().split()] for k in range(len(words) - len(p) + 1) if words[k : k + len(p)] == p]
+        at = [k for k, _ in hits]
+        want.append((str(i), len(words), len(hits), min(at, default=None), max(at, default=None), ",".join(sorted({label for _, label in hits}))))
+    assert sorted(map(repr, want)) == sorted(repr((str(r["doc_id"]), r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"])) for r in out)
+
+
+def test_one_very_long_text(spark):
+    """12 MB in one row among short ones, through every text operator."""
+    rng = random.Random(9)
+    lines = [" ".join(prose(rng, 40)) for _ in range(200)]
+    long = "\n".join(rng.choice(lines) for _ in range(60_000)) + "\nwrite to long.text@corp.com"
+    df = docs(spark, [(1, "short one"), (2, long), (3, long + " x"), (4, lines[3])]).coalesce(1)
+    near = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()}
+    assert near == {1: 1, 2: 2, 3: 2, 4: 4}
+    assert {r["doc_id"]: r["n_tokens"] for r in lmscore.score_texts(df, F.lit(True)).collect()}[2] == len(long.split()) + 1
+    left = {r["doc_id"]: r["n"] for r in linededup.dedup_units(df).select("doc_id", F.length("text").alias("n")).collect()}
+    assert left[2] < 100_000 and left[4] == 0
+    assert len(quality.features(df).collect()) == 4 and {r["doc_id"]: r["n_words"] for r in licenses.scan_licenses(df).collect()}[2] == len(long.replace("@", " ").replace(".", " ").split())
+    leak = decontaminate.contaminated(df, spark.createDataFrame([(7, lines[3])], "item_id long, text string")).collect()
+    assert {r["doc_id"] for r in leak} == {2, 3, 4} and {r["edits"] for r in leak} == {0}
+    assert {r["doc_id"] for r in pii.replace_entities(df, "k").where("not contains(text, 'long.text') and n_entities = 1").collect()} == {2, 3}
