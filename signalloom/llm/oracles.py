@@ -67,6 +67,83 @@ FROM doc JOIN q USING (r) GROUP BY r, doc_id, held
 """
 
 
+OP11 = f"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, list_filter(regexp_split_to_array(unnest(regexp_split_to_array({LOWERED}, '[.,;:!?\\x0A-\\x0D]')), '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM documents
+), total AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM piece GROUP BY lang),
+gram AS (
+  SELECT lang, w[i : i + m - 1] AS p FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM (SELECT lang, w, unnest([1, 2, 3, 4, 5]) AS m FROM piece))
+), f AS (SELECT lang, p, count(*) AS f FROM gram GROUP BY ALL HAVING count(*) >= 100),
+cut AS (SELECT lang, p, f AS a, unnest(range(1, len(p))) AS k FROM f WHERE len(p) > 1),
+part AS (
+  SELECT c.lang, c.p, c.a, c.k, x.f AS l, y.f AS r, n, (1000 * c.a::HUGEINT * n) // (x.f::HUGEINT * y.f) AS score
+  FROM cut c JOIN f x ON x.lang = c.lang AND x.p = c.p[:c.k] JOIN f y ON y.lang = c.lang AND y.p = c.p[c.k + 1:] JOIN total t ON t.lang = c.lang
+), weakest AS (SELECT * FROM part QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+longer AS (SELECT lang, i.p, max(f) AS f FROM (SELECT lang, f, unnest([{{'p': p[1 : len(p) - 1]}}, {{'p': p[2 : len(p)]}}]) AS i FROM f WHERE len(p) > 2) GROUP BY ALL),
+kept AS (
+  SELECT w.lang, array_to_string(w.p, ' ') AS phrase, w.a, w.l, w.r, w.n, w.score FROM weakest w LEFT JOIN longer g ON g.lang = w.lang AND g.p = w.p WHERE g.f IS NULL OR g.f < w.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept QUALIFY rank <= 2000
+"""
+
+OP12 = """
+WITH t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), known AS (SELECT doc_id, coalesce(max(quality), 0) AS quality, coalesce(max(toxic), 0) AS toxic FROM labels GROUP BY doc_id),
+fails AS (
+  SELECT part, coalesce(quality, 0) AS quality, coalesce(toxic, 0) AS toxic,
+    map {
+      'A': len(w) < 50, 'B': 100 * len(list_distinct(w)) < 65 * len(w), 'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text), 'D': regexp_matches(text, '[#$%&*|]'),
+      'E': coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)
+    } AS f
+  FROM t LEFT JOIN known USING (doc_id)
+), letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letter a, letter b, letter c, letter d, letter e
+  WHERE a.x NOT IN (b.x, c.x, d.x, e.x) AND b.x NOT IN (c.x, d.x, e.x) AND c.x NOT IN (d.x, e.x) AND d.x <> e.x
+), cell AS (
+  SELECT part, f, quality, toxic, count(*) AS n FROM fails GROUP BY ALL
+), placed AS (
+  SELECT part, filter_order, step, f[filter_order[step]] AS fails, list_bool_or(list_append([f[filter_order[j]] FOR j IN range(1, step)], false)) AS gone,
+    list_bool_or([f[filter_order[j]] FOR j IN range(1, 6) IF j <> step]) AS other, quality, toxic, n
+  FROM cell, orders, (SELECT unnest(range(1, 6)) AS step)
+), counted AS (
+  SELECT part, filter_order, step, coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fails AND NOT gone), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (fails AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails AND NOT other), 0)::BIGINT AS unique_fails,
+    coalesce(sum(n) FILTER (fails AND NOT gone AND quality = 1), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (fails AND NOT gone AND toxic = 1), 0)::BIGINT AS toxic_lost
+  FROM placed GROUP BY ALL
+)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, filter_order[step]))::BIGINT AS shapley FROM counted
+"""
+
+OP13 = """
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), line AS (
+  SELECT r, host, i, l, regexp_extract_all(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS u
+  FROM (SELECT r, host, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM t)
+), full_line AS (SELECT r, host, i, l, u, row_number() OVER (PARTITION BY r, l ORDER BY i) > 1 AS again FROM line WHERE len(u) > 0),
+text_lines AS (SELECT r, any_value(host) AS host, list(l ORDER BY i) AS ls FROM full_line GROUP BY r),
+host_docs AS (SELECT host, count(DISTINCT ls) AS host_docs FROM (SELECT t.host, coalesce(ls, []) AS ls FROM t LEFT JOIN text_lines USING (r)) GROUP BY host),
+frequent AS (
+  SELECT host, u FROM (SELECT f.host, u, count(DISTINCT ls) AS docs FROM full_line f JOIN text_lines USING (r) GROUP BY ALL) JOIN host_docs USING (host) WHERE docs > 20 AND docs > 0.01 * host_docs
+), gone AS (SELECT r, count(*) AS n_lines, sum(len(u)) AS n_gone FROM full_line JOIN frequent USING (host, u) GROUP BY r),
+dup AS (SELECT r, count(*) FILTER (again) AS n_dup_lines FROM full_line GROUP BY r),
+win AS (SELECT r, i, w[i : i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM t)),
+rep AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+cov AS (SELECT r, count(DISTINCT j) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM rep) GROUP BY r),
+stat AS (
+  SELECT r, doc_id, len(w) AS n_words, coalesce(list_sum([length(x) FOR x IN w]), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_removed_lines, coalesce(n_gone, 0) AS n_gone
+  FROM t LEFT JOIN dup USING (r) LEFT JOIN cov USING (r) LEFT JOIN gone USING (r)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_gone <= 0.5 * n_words AS kept, n_removed_lines
+FROM stat
+"""
+
+
 def _op2() -> str:
     from .queries import RULES, SEEDS
     from .urlfilter import TemplateConfig
@@ -123,4 +200,7 @@ ORACLE_SQL = {
     "op2_url_filters": _op2(),
     "op3_lm_scoring": OP3,
     "op8_embedding_near_dedup": OP8,
+    "op11_phrase_collocation": OP11,
+    "op12_filter_interaction": OP12,
+    "op13_quality_rules": OP13,
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embdedup, licenses, linededup, lmscore, minhash, pii, quality, urlfilter
+from . import bpe, collocation, decontaminate, embdedup, interaction, licenses, linededup, linerules, lmscore, minhash, pii, quality, urlfilter
 
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 # Words in a host name that mark a bad example.
@@ -72,6 +72,19 @@ def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(_table(spark, sf_dir, "documents"))
+
+
+def filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def ruled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linerules.judge(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_lines")
+
+
 QUERIES = {
     "op1_minhash_near_dedup": near_duplicates,
     "op2_url_filters": judged_urls,
@@ -83,4 +96,7 @@ QUERIES = {
     "op8_embedding_near_dedup": linked_vectors,
     "op9_license_scan": license_scan,
     "op10_benchmark_decontamination": benchmark_leaks,
+    "op11_phrase_collocation": collocations,
+    "op12_filter_interaction": filter_interaction,
+    "op13_quality_rules": ruled_documents,
 }

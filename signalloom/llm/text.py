@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 U64 = np.uint64
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+AS_IS = np.arange(256, dtype=np.uint8)
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15
@@ -63,21 +64,21 @@ def _word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 class Words:
     """The words of a block of documents, in order."""
 
-    raw: np.ndarray  # lower-cased bytes of the block
+    raw: np.ndarray  # folded bytes of the block
     start: np.ndarray  # of each word
     end: np.ndarray
     bounds: np.ndarray  # words of document d: bounds[d] to bounds[d + 1]
     hash: np.ndarray  # 64 bits of each word
 
 
-def words_of(column: pa.Array, space: np.ndarray = SPACE) -> Words:
-    """Split and hash the texts of one column; null counts as empty."""
+def words_of(column: pa.Array, space: np.ndarray = SPACE, fold: np.ndarray = LOWER) -> Words:
+    """Split and hash the texts of one column, each byte replaced as ``fold`` says; null counts as empty."""
     column = column.cast(pa.large_string()).fill_null("").cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
     offsets = offsets - offsets[0]
-    raw = LOWER[raw]
+    raw = fold[raw]
     n = len(raw)
     if not n:
         none = np.zeros(0, np.int64)
