@@ -9,8 +9,9 @@ pointers.  A word that cannot be in a frequent phrase ends a piece.
 
 A prefix with more than ``most`` occurrences is no task's own: its extensions by one word
 are prefixes instead (and theirs, down to whole contexts), and its count is the sum of what
-their tasks report.  Which prefixes are so frequent is counted level by level over all rows
-beforehand; ``most`` rises with the corpus only so far that they stay below ``hot_prefixes``.
+their tasks report.  Which prefixes are so frequent is found level by level over all rows
+beforehand, from the slices in which they stand out (some with half as many are taken too,
+which changes no result); ``most`` rises with the corpus only so far that they stay below ``hot_prefixes``.
 Equal contexts of a block travel once with their number, so copies weigh little.
 
 A candidate of 2 to ``longest`` words is scored by its weakest cut, in whole numbers of up
@@ -156,8 +157,12 @@ def _encoded(batches: Iterator[pa.RecordBatch], book: Book) -> Iterator[tuple[st
             yield lang, _unpacked(codes, 1)[0], np.concatenate([book.by_code, np.frombuffer(rare, U64)]) if rare else book.by_code
 
 
-def _count_extensions(shared, hot: list[np.ndarray], longest: int):
-    """``key, n`` of prefixes of ``len(hot) + 1`` words whose shorter prefixes are all hot."""
+def _count_extensions(shared, hot: list[np.ndarray], longest: int, share: float):
+    """``key, n`` of prefixes of ``len(hot) + 1`` words whose shorter prefixes are all hot, where they make up ``share`` of a slice's words.
+
+    A prefix loses less than ``share`` of all words where it is rarer, so few rows travel
+    and none of twice that many is missed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, codes, hashes in _encoded(batches, shared.value):
@@ -168,7 +173,8 @@ def _count_extensions(shared, hot: list[np.ndarray], longest: int):
                     stay = _holds(keys, key) & (rows[level + 1] != 0)
                     key, rows = key[stay], rows[:, stay]
                 found, n = np.unique(extend(key, hashes[rows[len(hot)]]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(found)), pa.array(n)], ["key", "n"])
+                often = n >= share * min(len(codes), SLICE)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(found[often])), pa.array(n[often])], ["key", "n"])
 
     return run
 
@@ -292,8 +298,8 @@ def frequent_phrases(ws: Workspace, texts: DataFrame, c: CollocationConfig) -> t
     while len(found) and len(hot) < c.longest - 1:
         hot.append(np.sort(found))
         if len(hot) < c.longest - 1:
-            counts = encoded.mapInArrow(_count_extensions(shared, hot, c.longest), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-            found = counts.where(F.col("n") > most).select("key").toArrow()["key"].to_numpy().astype(np.int64).view(U64)  # at most ``hot_prefixes`` rows
+            counts = encoded.mapInArrow(_count_extensions(shared, hot, c.longest, most / 4 / total), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+            found = counts.where(F.col("n") > most / 2).select("key").toArrow()["key"].to_numpy().astype(np.int64).view(U64)  # at most twice ``hot_prefixes`` rows
     dealt = encoded.mapInArrow(_deal(shared, hot, c.longest, max(1, -(-total // c.bucket))), "lang string, bucket long, data binary, rare binary")
     grown = dealt.groupBy("lang", "bucket").applyInArrow(_grow_group(shared, c), "lang string, p array<long>, f long")
     return words, ws.save(grown.groupBy("lang", "p").agg(F.sum("f").alias("f")).where(f"f >= {c.least}")), totals
