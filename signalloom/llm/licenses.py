@@ -7,7 +7,9 @@ licence expression with ``AND``, ``OR``, ``WITH`` and parentheses and evaluated
 the permissive licences.
 
 Cases: null texts count as empty; malformed expressions keep the identifiers read up to
-the fault and evaluate to not permitted; repeated rows are each returned.
+the fault and evaluate to not permitted; repeated rows are each returned; places that begin
+or end together are all counted; extra columns are ignored; a text is scanned in time that
+grows with its length, whatever it repeats; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -127,11 +129,14 @@ def scan_text(auto: ahocorasick.Automaton, text: str) -> tuple:
     base: list[tuple[str, int]] = []
     more: set[str] = set()
     notices, tagged = 0, False
+    counted = words_before = 0  # hits come by their ends, so each stretch is counted once
     for end, phrase in auto.iter(joined):
         if phrase == TAG:
             tagged = True
         elif phrase in BASE_PHRASES:
-            base.append((BASE_PHRASES[phrase], joined.count(" ", 0, end - len(phrase) - 1)))
+            words_before += joined.count(" ", counted, end)
+            counted = end
+            base.append((BASE_PHRASES[phrase], words_before - phrase.count(" ") - 1))
         else:
             notices += 1
             more.add(NOTICE_PHRASES[phrase])
