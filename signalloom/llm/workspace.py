@@ -15,6 +15,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL: dict[str, str] = {}  # the temporary folder of each local application
+
+
 class Workspace:
     """Named Parquet tables of one run of one operator."""
 
@@ -25,8 +28,9 @@ class Workspace:
             master = spark.sparkContext.master
             if not re.fullmatch(r"local(\[.*\])?", master):
                 raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
-            base = "file://" + tempfile.mkdtemp(prefix="signalloom-")
-            spark.conf.set("spark.checkpoint.dir", base)
+            app = spark.sparkContext.applicationId
+            base = _LOCAL.get(app) or "file://" + tempfile.mkdtemp(prefix="signalloom-")
+            _LOCAL[app] = base
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.count = 0
 
