@@ -10,9 +10,10 @@ once two of them stand on one word they stay together, so they are followed as o
 Items take the same walks.  Bit sampling hashes the symbols seen at a few random steps of
 a walk; a window that agrees with an item on all steps of one sample is a candidate.
 Samples are drawn for classes of item length (powers of two), from the steps that a walk
-needs for about that many words, so they look at windows of the items' own size.  Many
-samples of several walks together reach the target recall (measured in the tests against
-all windows).  Candidates are dropped where fewer words of the item stand around the
+needs for about that many words, so they look at windows of the items' own size.  A long
+item is walked from every ``STRIDE``-th of its words as well, so edits that crowd in one
+place leave the others to be met.  Many samples of several walks together reach the target
+recall (measured in the tests against all windows).  Candidates are dropped where fewer words of the item stand around the
 place than edits allow, which loses none, and the others are verified by exact edit
 distance over all windows around it.
 
@@ -20,9 +21,10 @@ The items are handled in groups of bounded size: a group travels to the tasks as
 word hashes, the tasks build its index, and the texts are passed once for each group.
 
 Cases: null or empty texts and items match nothing; items too short for an edit must
-occur exactly; a text that repeats an item gives its best place; a long text is walked in
-slices with overlap; repeated rows are each searched and yield one row per id and item;
-rows with a null id are searched too and share one id.
+occur exactly; a text that repeats an item gives its best place, the first of several with
+equally many edits; a long text is walked in slices with overlap; repeated rows are each
+searched and yield one row per id and item; rows and items with a null id are searched too
+and share one id; ids may be of any type; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +44,8 @@ from .workspace import Workspace, small_batches
 
 APART = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 SURE = 3  # from 2**SURE words on an item is looked at where two samples agree within its edits
-LONGEST = 48  # steps of a walk at most; a long item is recognised by its first words
+LONGEST = 48  # steps of a walk at most, which are about half as many words
+STRIDE = 16  # a walk begins at every so many words of an item that has twice as many
 
 
 @dataclass(frozen=True)
@@ -127,6 +130,7 @@ class Matcher:
         self.own = np.unique(mix(own + U64(1)) ^ mix(owner.astype(U64) + U64(7)))
         self.reach = int((self.size + 2 * self.allowed).max(initial=0))
         level = np.frexp(self.size.astype(float))[1] - 1
+        begins = [np.arange(0, max(n - STRIDE + 1, 1), STRIDE) if n >= 2 * STRIDE else np.zeros(1, np.int64) for n in self.size.tolist()]
         self.samples: list[list[tuple]] = []
         self.steps = 0
         for walk in range(c.walks):
@@ -135,10 +139,13 @@ class Matcher:
                 rows = np.flatnonzero(level == lv)
                 span = span_of(lv)
                 self.steps = max(self.steps, span)
+                rows, begin = np.repeat(rows, [len(begins[k]) for k in rows.tolist()]), np.concatenate([begins[k] for k in rows.tolist()])
                 wide = np.zeros((len(rows), span), U64)
-                for r, k in enumerate(rows.tolist()):
-                    wide[r, : min(span, self.size[k])] = self.words[k][:span]
+                for r, (k, at) in enumerate(zip(rows.tolist(), begin.tolist())):
+                    part = self.words[k][at : at + span]
+                    wide[r, : len(part)] = part
                 seen, place = walked(wide, walk, span)
+                place += begin[:, None]
                 for steps in samples_of(walk, lv, c.symbols, c.samples):
                     good = (seen[:, steps] != 0).all(axis=1)
                     key = np.zeros(len(rows), U64)
@@ -192,16 +199,16 @@ class Matcher:
         symbols = np.insert(hashed, bounds[1:], U64(0))  # each text is followed by a 0
         document = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds) + 1)
         found = []
-        wide = len(symbols) + self.reach + LONGEST
+        wide = len(symbols) + 2 * self.reach
         for a in range(0, len(symbols), limit):
             b = min(a + limit, len(symbols))
-            part = [(document[head + a] * len(self.ids) + item) * wide + (start + a + LONGEST) for item, head, start in self.hits(symbols[a : b + self.steps + 1], b - a)]
+            part = [(document[head + a] * len(self.ids) + item) * wide + (start + a + self.reach) for item, head, start in self.hits(symbols[a : b + self.steps + 1], b - a)]
             if part:
                 found.append(self.plausible(self.agreed(np.sort(np.concatenate(part)), wide), symbols, wide))
         key = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
         if not len(key):
             return
-        pair, start = key // wide, key % wide - LONGEST
+        pair, start = key // wide, key % wide - self.reach
         edge = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (np.diff(start) > (self.size + 2 * self.allowed)[pair[1:] % len(self.ids)])]))
         for x, y in zip(edge.tolist(), [*(edge[1:] - 1).tolist(), len(key) - 1]):
             d, k = divmod(int(pair[x]), len(self.ids))
@@ -219,7 +226,7 @@ class Matcher:
 
     def plausible(self, key: np.ndarray, symbols: np.ndarray, wide: int) -> np.ndarray:
         """Candidates around which enough words of the item stand, in any order."""
-        item, start = key // wide % len(self.ids), key % wide - LONGEST
+        item, start = key // wide % len(self.ids), key % wide - self.reach
         level = np.frexp(self.size.astype(float))[1][item]
         out = []
         for lv in np.unique(level).tolist():
@@ -234,7 +241,7 @@ class Matcher:
                 where = np.minimum(np.searchsorted(self.own, own), len(self.own) - 1)
                 enough = ((self.own[where] == own) & inside).sum(axis=1) >= (self.size - self.allowed)[k]
                 out.append(key[rows[enough]])
-        return np.concatenate(out)
+        return np.concatenate(out) if out else key
 
     def search(self, hashed: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """``(document, item id, edits, first word, end word)`` of a block of documents."""
@@ -259,28 +266,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     c, spark = config, docs.sparkSession
     small_batches(spark)
     ws = Workspace(spark, "leaks")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct()
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    items = benchmark.where("text is not null").select("item_id", "text").distinct()
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     parts = max(1, math.ceil(2 * size / c.group_bytes))
-    schema = "doc_id long, item_id long, edits int, first_word int, end_word int"
+    kinds = [texts.schema["doc_id"].dataType, items.schema["item_id"].dataType]
+    schema = f"doc_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, edits int, first_word int, end_word int"
     out = None
     for part in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()  # a group: bounded by group_bytes
-        w = words_of(pa.array([r["text"] for r in rows], pa.string()), APART)
-        shared = spark.sparkContext.broadcast((np.array([r["item_id"] for r in rows], np.int64), w.hash, w.bounds))
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).toArrow().combine_chunks()  # a group: bounded by group_bytes
+        w = words_of(_one(rows["text"]), APART)
+        shared = spark.sparkContext.broadcast((_one(rows["item_id"]), w.hash, w.bounds))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            ids, hashed, bounds = shared.value
             if name not in _MATCHERS:
                 _MATCHERS.clear()
-                _MATCHERS[name] = Matcher(*shared.value, c)
+                _MATCHERS[name] = Matcher(np.arange(len(ids)), hashed, bounds, c)
             matcher = _MATCHERS[name]
             for block in blocks(batches, "text"):
                 w = words_of(block.column(1), APART)
-                ids = block.column(0).to_pylist()
-                found = [(ids[d], *rest) for d, *rest in matcher.search(w.hash, w.bounds)]
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(kinds)], ["doc_id", "item_id", "edits", "first_word", "end_word"])
+                found = matcher.search(w.hash, w.bounds)
+                at = [pa.array([r[k] for r in found], pa.int64()) for k in range(2)]
+                yield pa.RecordBatch.from_arrays([block.column(0).take(at[0]), ids.take(at[1]), *(pa.array([r[k] for r in found], pa.int32()) for k in (2, 3, 4))], ["doc_id", "item_id", "edits", "first_word", "end_word"])
 
         found = texts.mapInArrow(run, schema)
         if parts > 1:
@@ -289,3 +297,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         out = found if out is None else out.union(found)
     best = out.groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "first_word", "end_word")).alias("b"))
     return best.select("doc_id", "item_id", "b.edits", "b.first_word", "b.end_word")
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
