@@ -1,6 +1,8 @@
 import math
 import os
 import random
+import subprocess
+import sys
 
 import duckdb
 import numpy as np
@@ -425,6 +427,51 @@ def test_leaks_equal_an_exhaustive_search(rate):
     assert true > 200 and found >= 0.95 * true, (found, true)
 
 
+@pytest.mark.parametrize("place", ["start", "middle", "end", "spread"])
+def test_leaks_of_any_length_wherever_the_edits_are(place):
+    """Recall by length of the item, with all edits that are allowed in one place."""
+    rng = random.Random(31)
+    for size in (30, 40, 60, 80, 120, 200, 300, 1000):
+        items, texts = [prose(rng, size) for _ in range(8)], []
+        many = size // 5
+        for k in range(40):
+            words = list(items[k % 8])
+            first = {"start": 0, "middle": (size - many) // 2, "end": size - many, "spread": 0}[place]
+            for p in rng.sample(range(size), many) if place == "spread" else range(first, first + many):
+                words[p] = f"new{rng.randrange(10**6)}"
+            texts.append(prose(rng, rng.randrange(90)) + words + prose(rng, rng.randrange(90)))
+        hashed = lambda rows: text_words.words_of(pa.array([" ".join(r) for r in rows]), decontaminate.APART)
+        w, t = hashed(items), hashed(texts)
+        got = {(d, i) for d, i, *_ in decontaminate.Matcher(np.arange(8), w.hash, w.bounds, decontaminate.DecontaminationConfig()).search(t.hash, t.bounds)}
+        assert got <= {(k, k % 8) for k in range(40)} and len(got) >= 36, (size, len(got))
+
+
+def test_blocks_without_candidates_hold_no_leak():
+    """Single texts, each a block, whose candidates may all fall away before they are verified."""
+    rng = random.Random(8)
+    c = decontaminate.DecontaminationConfig()
+    for size in (1, 8, 40, 120):
+        item = prose(rng, size)
+        w = text_words.words_of(pa.array([" ".join(item)]), decontaminate.APART)
+        matcher = decontaminate.Matcher(np.arange(1), w.hash, w.bounds, c)
+        none = np.zeros(0, np.int64)
+        assert len(matcher.plausible(none, np.zeros(1, np.uint64), 10)) == 0 and len(matcher.agreed(none, 10)) == 0
+        for k in range(25):
+            words = [x if rng.random() < 0.3 else "other" for x in item]
+            t = text_words.words_of(pa.array([" ".join(words)]), decontaminate.APART)
+            assert all(n <= 0.2 * size for *_, n, _, _ in matcher.search(t.hash, t.bounds))
+        t = text_words.words_of(pa.array(["", None]), decontaminate.APART)
+        assert matcher.search(t.hash, t.bounds) == []
+
+
+def test_items_without_id_and_ids_of_text(spark):
+    rows = [("a", "one two three four five six"), ("b", "nothing"), (None, "seven eight nine ten")]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id string, text string, edits int, item_id string")
+    items = spark.createDataFrame([(None, "two three four five", 1), ("i", "eight nine ten", 2), ("j", None, 3)], "item_id string, text string, doc_id int")
+    got = decontaminate.contaminated(df, items).collect()
+    assert {(r["doc_id"], r["item_id"], r["first_word"], r["end_word"]) for r in got} == {("a", None, 1, 5), (None, "i", 1, 4)}
+
+
 def test_leaks_are_found_in_slices_and_groups(spark):
     rng = random.Random(6)
     items = [(k, " ".join(prose(rng, 30))) for k in range(20)] + [(90, None), (91, "")]
@@ -436,6 +483,21 @@ def test_leaks_are_found_in_slices_and_groups(spark):
     assert next(r for r in out if r["doc_id"] == 70)["first_word"] == 300_000
 
 
+def test_workspace_without_a_checkpoint_folder(tmp_path):
+    """A plain local session, in a process of its own, gets a temporary folder and no change of its settings."""
+    code = (
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "from signalloom.llm.workspace import Workspace\n"
+        "a, b = Workspace(s, 'a'), Workspace(s, 'b')\n"
+        "assert a.save(s.range(3)).count() == 3 and a.root.rsplit('/', 1)[0] == b.root.rsplit('/', 1)[0]\n"
+        "assert s.conf.get('spark.checkpoint.dir', None) is None\n"
+    )
+    env = os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": os.getcwd()}
+    done = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+
+
 def test_edit_distance_equals_plain_table():
     rng = np.random.default_rng(1)
     for _ in range(200):
