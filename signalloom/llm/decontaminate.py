@@ -45,16 +45,17 @@ from .workspace import Workspace, small_batches
 APART = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 SURE = 3  # from 2**SURE words on an item is looked at where two samples agree within its edits
 LONGEST = 48  # steps of a walk at most, which are about half as many words
-STRIDE = 16  # a walk begins at every so many words of an item that has twice as many
+STRIDE = 16  # a walk begins at every so many words of a long item, and at each quarter or half of a short one
 
 
 @dataclass(frozen=True)
 class DecontaminationConfig:
-    """``samples`` of ``symbols`` steps each from every one of ``walks`` walks."""
+    """``samples`` of ``symbols`` steps each from every one of ``walks`` walks; fewer serve items of ``2**SURE`` words and more."""
 
     max_edit: float = 0.2
     walks: int = 4
     samples: int = 10
+    long_samples: int = 7
     symbols: int = 3
     group_bytes: int = 8 << 20
 
@@ -130,7 +131,8 @@ class Matcher:
         self.own = np.unique(mix(own + U64(1)) ^ mix(owner.astype(U64) + U64(7)))
         self.reach = int((self.size + 2 * self.allowed).max(initial=0))
         level = np.frexp(self.size.astype(float))[1] - 1
-        begins = [np.arange(0, max(n - STRIDE + 1, 1), STRIDE) if n >= 2 * STRIDE else np.zeros(1, np.int64) for n in self.size.tolist()]
+        strides = [max(STRIDE // 4, min(STRIDE, 1 << max(n.bit_length() - 2, 0))) for n in self.size.tolist()]
+        begins = [np.arange(0, max(n - d + 1, 1), d) for n, d in zip(self.size.tolist(), strides)]
         self.samples: list[list[tuple]] = []
         self.steps = 0
         for walk in range(c.walks):
@@ -139,14 +141,15 @@ class Matcher:
                 rows = np.flatnonzero(level == lv)
                 span = span_of(lv)
                 self.steps = max(self.steps, span)
-                rows, begin = np.repeat(rows, [len(begins[k]) for k in rows.tolist()]), np.concatenate([begins[k] for k in rows.tolist()])
+                taken = [begins[k][(begins[k] == 0) | (begins[k] // strides[k] % 2 == walk % 2)] for k in rows.tolist()]  # later places in every other walk
+                rows, begin = np.repeat(rows, [len(b) for b in taken]), np.concatenate(taken)
                 wide = np.zeros((len(rows), span), U64)
                 for r, (k, at) in enumerate(zip(rows.tolist(), begin.tolist())):
                     part = self.words[k][at : at + span]
                     wide[r, : len(part)] = part
                 seen, place = walked(wide, walk, span)
                 place += begin[:, None]
-                for steps in samples_of(walk, lv, c.symbols, c.samples):
+                for steps in samples_of(walk, lv, c.symbols, c.samples if lv < SURE else c.long_samples):
                     good = (seen[:, steps] != 0).all(axis=1)
                     key = np.zeros(len(rows), U64)
                     for n, t in enumerate(steps.tolist()):
