@@ -2,16 +2,18 @@
 
 Equal vectors of one label are one class first.  In each pass the classes are ordered by
 label and by the bits of random hyperplanes, most significant first; every vector is
-compared with its ``window`` neighbours in that order, and links of all passes are
+compared with its ``window`` neighbours in that order at least, and links of all passes are
 united.  The order is cut into blocks of equal size with an overlap, so a label or code
-of any size spreads over many tasks.
+of any size spreads over many tasks; inside a block all are compared with all.
 
 Signs are taken of unit vectors less the mean of their label, so vectors that lie in a
-cone are divided too.  Each label has its own number of passes, from its own size and
-the angle that a pair at the threshold has around that mean, and no fewer than all vectors
-would need if they were spread evenly.
+cone are divided too.  Each label has its own number of passes: from its size, the angle
+that a pair at the threshold has around that mean, and from a trial.  In the trial, vectors
+of a bounded sample get made-up partners at the threshold; how often a pass brings the two
+within a window, by the ranks of their codes among all codes of the label, tells how many
+passes reach the wanted recall, however the label's vectors are grouped.
 
-A pass emits a spanning forest of the links in a block.  Vectors that are linked directly
+A pass emits a star of each group that is linked in a block, which has the links' components.  Vectors that are linked directly
 are in the same component, so the links of each vector are then counted over its whole
 component, in tiles of exact comparisons: dense groups beyond any window are whole and
 no pair is ever written.
@@ -36,7 +38,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -46,12 +48,14 @@ from .workspace import Workspace, small_batches
 @dataclass(frozen=True)
 class EmbeddingConfig:
     cosine: float = 0.93
-    window: int = 32
+    window: int = 512
     recall: float = 0.999
     bits: int = 62
-    block: int = 2048
+    block: int = 1024
     tile: int = 1024
-    least_passes: int = 4
+    least_passes: int = 12
+    trial: int = 256
+    trial_passes: int = 4
 
 
 def passes_for(n: int, spread: float, c: EmbeddingConfig) -> int:
@@ -61,7 +65,7 @@ def passes_for(n: int, spread: float, c: EmbeddingConfig) -> int:
     bucket: log2(n / window) of them, each shared with probability 1 - angle / pi.  The
     angle is taken around the mean, from which unit vectors have a mean square distance
     ``spread``; below 1 - cosine an average pair is linked and the plain angle serves.
-    This holds for one cone a label; several tight groups in a label need more bits.
+    This holds for one cone a label; the trial sees to labels of several groups.
     """
     depth = max(0.0, math.log2(max(n, 1) / c.window))
     cosine = 1 - (1 - c.cosine) / spread if spread > 1 - c.cosine else c.cosine
@@ -102,7 +106,7 @@ def _codes(bits: int):
                 own = passes[dims == d]
                 for p in range(own.max()):
                     if (d, p) not in planes:
-                        planes[d, p] = np.random.default_rng([1000 + d, p]).standard_normal((d, bits))
+                        planes[d, p] = _planes(d, p, bits)
                     at = np.flatnonzero(own > p)
                     code = ((x[at] @ planes[d, p] > 0) * weight).sum(axis=1)
                     take = part.take(pa.array(at))
@@ -111,10 +115,47 @@ def _codes(bits: int):
     return run
 
 
-def _passes(least: int, c: EmbeddingConfig):
+def _planes(d: int, p: int, bits: int) -> np.ndarray:
+    return np.random.default_rng([1000 + d, p]).standard_normal((d, bits))
+
+
+def met_share(sample: np.ndarray, mean: np.ndarray, cuts: list[np.ndarray], n: int, c: EmbeddingConfig) -> float:
+    """How often one pass brings a vector and a partner at the threshold into one window.
+
+    ``cuts`` are evenly spaced codes of the trial passes, which give ranks of other codes.
+    Vectors that are linked with more than a window of others, going by the sample, are
+    chained to those by any order and left out.
+    """
+    crowd = (sample @ sample.T >= c.cosine).sum(axis=1) - 1
+    sample = sample[crowd < max(1, len(sample) * c.window / n)]
+    if not len(sample):
+        return 1.0
+    rng = np.random.default_rng(7)
+    step = rng.standard_normal(sample.shape)
+    step = _units(step - (step * sample).sum(axis=1, keepdims=True) * sample)
+    partner = c.cosine * sample + math.sqrt(1 - c.cosine**2) * step
+    weight = np.int64(1) << np.arange(c.bits - 1, -1, -1, dtype=np.int64)
+    met = []
+    for p, cut in enumerate(cuts):
+        planes = _planes(len(mean), p, c.bits)
+        place = [np.searchsorted(cut, (((x - mean) @ planes > 0) * weight).sum(axis=1)) for x in (sample, partner)]
+        met.append(np.abs(place[0] - place[1]) * n / (len(cut) + 1) <= c.window)
+    return float(np.mean(met))
+
+
+def _passes(c: EmbeddingConfig):
+    """The number of passes of each label from its size, mean, trial sample and trial codes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [max(least, passes_for(n, 1 - sum(x * x for x in m), c)) for n, m in zip(b.column("n").to_pylist(), b.column("mean").to_pylist())]
+            found = []
+            for n, total, mean, sample, cuts in zip(*(b.column(k).to_pylist() for k in ("n", "total", "mean", "sample", "cuts"))):
+                m = np.array(mean)
+                least = max(passes_for(total, 0.0, c), passes_for(n, 1 - float(m @ m), c))
+                if n > c.window and 1 - float(m @ m) > 1 - c.cosine:  # else a window holds the label, or an average pair is linked
+                    share = max(met_share(_units(np.array(sample, np.float64)), m, [np.array(x["cut"]) for x in sorted(cuts, key=lambda x: x["pass"])], n, c), 1 / c.trial)
+                    least = max(least, math.ceil(math.log(1 - c.recall) / math.log(1 - min(share, 0.999))))
+                found.append(least)
             yield pa.RecordBatch.from_arrays([b.column("label"), b.column("dims"), b.column("mean"), pa.array(found, pa.int32())], ["label", "dims", "mean", "passes"])
 
     return run
@@ -127,7 +168,15 @@ def _coded(ws: Workspace, classes: DataFrame, c: EmbeddingConfig) -> tuple[DataF
     total = classes.select(*zone, "embedding").mapInArrow(_sums, f"label {kind}, dims int, total array<double>, n long")
     mean = total.select(*zone, "n", F.posexplode("total").alias("at", "x")).groupBy(*zone, "at").agg((F.sum("x") / F.sum("n")).alias("x"), F.sum("n").alias("n"))
     mean = mean.groupBy(*zone).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda v: v["x"]).alias("mean"), F.max("n").alias("n"))
-    mean = ws.save(mean.select(*zone, "mean", "n").mapInArrow(_passes(passes_for(classes.count(), 0.0, c), c), f"label {kind}, dims int, mean array<double>, passes int"))
+    mean = ws.save(mean.select(*zone, "mean", "n"))
+    tried = classes.select(*zone, "embedding", "rep").join(mean, zone).withColumn("passes", F.lit(c.trial_passes))
+    tried = tried.select(*zone, "embedding", "mean", "rep", "passes").mapInArrow(_codes(c.bits), fields)
+    cuts = tried.groupBy(*zone, "pass").agg(F.percentile_approx("code", [k / 2000 for k in range(1, 2000)], 10_000).alias("cut"))
+    cuts = cuts.groupBy(*zone).agg(F.collect_list(F.struct("pass", "cut")).alias("cuts"))  # a few numbers a label
+    first = F.row_number().over(Window.partitionBy(*zone).orderBy(F.xxhash64("rep")))
+    sample = classes.select(*zone, "embedding", "rep").withColumn("r", first).where(F.col("r") <= c.trial).groupBy(*zone).agg(F.collect_list("embedding").alias("sample"))
+    known = mean.withColumn("total", F.lit(classes.count())).join(cuts, zone).join(sample, zone)
+    mean = ws.save(known.mapInArrow(_passes(c), f"label {kind}, dims int, mean array<double>, passes int"))
     planned = classes.select(*zone, "embedding", "rep").join(mean, zone)
     size = planned.agg(F.coalesce(F.sum("passes"), F.lit(0))).first()[0]  # one row
     return planned.select(*zone, "embedding", "mean", "rep", "passes").mapInArrow(_codes(c.bits), fields), size
@@ -140,20 +189,19 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n += b.num_rows
 
 
-def _forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    root: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while root.get(x, x) != x:
-            root[x] = x = root.get(root[x], root[x])
-        return x
-
-    out = []
-    for a, b in pairs:
-        p, q = top(a), top(b)
-        if p != q:
-            root[p] = q
-            out.append((a, b))
+def _stars(near: np.ndarray, rep: np.ndarray) -> list[tuple[int, int]]:
+    """Each vector that is linked, with the first one of its component."""
+    todo, out = near.any(axis=1), []
+    while todo.any():
+        first = int(np.argmax(todo))
+        group = np.zeros(len(near), bool)
+        group[first] = True
+        edge = group.copy()
+        while edge.any():
+            edge = near[edge].any(axis=0) & ~group
+            group |= edge
+        todo &= ~group
+        out += [(int(rep[first]), int(r)) for r in rep[group] if r != rep[first]]
     return out
 
 
@@ -185,10 +233,12 @@ def _window(c: EmbeddingConfig):
             rep, pairs = np.array(t["rep"]), []
             for s, e in zip(edges, edges[1:]):
                 x = _units(_matrix(t["embedding"].slice(s, e - s).combine_chunks(), zone[s][2]))
-                for k in range(1, min(c.window, e - s - 1) + 1):
-                    i = np.flatnonzero(np.einsum("ij,ij->i", x[:-k], x[k:]) >= c.cosine)
-                    pairs += zip(rep[s + i].tolist(), rep[s + i + k].tolist())
-            pairs = _forest(pairs)
+                rough = x.astype(np.float32) @ x.astype(np.float32).T
+                near = rough >= c.cosine + 1e-4
+                i, j = np.nonzero((rough >= c.cosine - 1e-4) & ~near)  # too close to call in single precision
+                near[i, j] = np.einsum("ij,ij->i", x[i], x[j]) >= c.cosine
+                np.fill_diagonal(near, False)
+                pairs += _stars(near, rep[s:e])
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
