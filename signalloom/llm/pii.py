@@ -14,13 +14,15 @@ separators or country code.  A name found behind its title is also replaced wher
 of it stands alone in the same text.  A given name takes the gender of its titles, a
 surname is shared by all who bear it.
 
-Names without a title anywhere in their text, and initials, are not found.  Only rows
+Names without a title anywhere in their text, initials, and name parts beyond the fourth
+are not found; addresses and secrets may have any length.  Only rows
 that hold an entity are shuffled.
 
 Cases: null texts stay null; null ids are kept; repeated rows are each returned; texts
 without entities come back unchanged; extra columns are kept whatever their names, but a
 column ``n_entities`` is replaced; in a text of any length each mention is looked up by
-its place.
+its place; of kinds that fit alike the first listed counts; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -45,14 +47,14 @@ HAN, HANGUL, UNCASED_LETTER = "\u3400-\u4dbf\u4e00-\u9fff", "\uac00-\ud7a3", "\u
 FIRST = "(?=[" + "".join(sorted({t[0] for t in MALE + FEMALE + NEUTRAL})) + "])"
 TITLE = FIRST + r"(?<![\p{L}\p{N}])(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\.? "
 INITIALS = r"(?:\p{Lu}\. ?){0,3}"
-CASED = r"\p{Lu}[\p{L}'’-]{1,30}+(?: \p{Lu}[\p{L}'’-]{1,30}+){0,3}"
+CASED = r"\p{Lu}[\p{L}'’-]++(?: \p{Lu}[\p{L}'’-]++){0,3}"
 UNCASED = f"[{UNCASED_LETTER}]{{2,30}}+(?: [{UNCASED_LETTER}]{{2,30}}+)?"
 FOLLOWED = "(?=" + "|".join(HONORIFICS) + ")"
 EASTERN = f"[{SURNAMES}][{HAN}]{{0,2}}{FOLLOWED}|(?<![{HAN}])[{HAN}]{{1,4}}{FOLLOWED}|(?<![{HANGUL}])[{HANGUL}]{{2,4}}(?= ?(?:씨|님)(?:[가는을를의도와에께이은]|(?![{HANGUL}])))"
 # What each kind of entity looks like, the first that fits counts.
 KINDS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,6}\.\p{L}{2,24}",
-    "secret": r"(?<![A-Za-z0-9_])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,200}|[0-9a-fA-F]{32,512})(?![A-Za-z0-9_])",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,6}\.\p{L}{2,24}",
+    "secret": r"(?<![A-Za-z0-9_])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}+|[0-9a-fA-F]{32,}+)(?![A-Za-z0-9_])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<!\d)(?:\d{4}(?:[ -]?\d{4}){3}(?:[ -]?\d{1,3})?|3[47]\d{2}[ -]?\d{6}[ -]?\d{5}|3[068]\d{2}[ -]?\d{6}[ -]?\d{4}|4\d{12})(?!\d)",
@@ -117,13 +119,17 @@ def pieces(lead: Column, match: Column) -> Column:
 
 def _draw(stream: Column, k: Column, n: int) -> Column:
     """A number below ``n`` from the k-th byte pair of a hash stream."""
-    return F.conv(F.substring(stream, k % 64 * 4 + 1, F.lit(4)), 16, 10).cast("long") % n
+    return F.conv(F.substring(stream, (k * 4 + 1).cast("int"), F.lit(4)), 16, 10).cast("long") % n
 
 
 def surrogate(kind: Column, entity: Column, gender: Column, key: str, attempt: Column) -> Column:
     """The replacement of a canonical entity drawn in one attempt."""
     seed = F.concat_ws("|", F.lit(key), kind, entity, attempt.cast("string"))
     stream = F.concat(F.sha2(seed, 512), F.sha2(F.concat(seed, F.lit("+")), 512))
+    # two hashes serve 64 characters; a longer entity has one more for every 32
+    drawn = F.length(entity) + attempt + 8
+    further = F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), (drawn / 32).cast("int"))), lambda b: F.sha2(F.concat(seed, F.lit("+"), b.cast("string")), 512))
+    stream = F.when(drawn > 64, F.concat(stream, F.array_join(further, ""))).otherwise(stream)
     longer = F.when(kind.isin("phone", "ssn"), F.repeat(F.lit("0"), F.greatest(attempt - 3, F.lit(0)))).otherwise("")
     form = F.concat(entity, longer)
     chars = F.transform(F.sequence(F.lit(1), F.length(form)), lambda i: F.struct(F.substring(form, i, F.lit(1)).alias("c"), (i - 1).alias("k")))
