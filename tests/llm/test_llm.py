@@ -284,6 +284,19 @@ def test_numbers_keep_their_form(spark):
     assert secret.startswith("sk-") and "1234567890" not in secret
 
 
+def test_entities_of_any_length(spark):
+    """Keys, hex secrets, addresses and names far longer than usual leave nothing in clear text."""
+    rng = random.Random(6)
+    made = lambda pool, n: "".join(rng.choice(pool) for _ in range(n))
+    key, secret, local, name = "sk-" + made("abcdefghij0123456789", 900), made("0123456789abcdef", 1500), made("abcdefgh", 300), "B" + made("aeiou", 200)
+    (text,), _ = replaced(spark, f"{key} | {secret} | {local}@corp.com | Mr. {name} came | {name}")
+    parts = text.split(" | ")
+    assert [len(parts[0]), len(parts[1])] == [903, 1500] and parts[0].startswith("sk-") and name not in text and local not in text
+    same = lambda a, b: sum(x == y for x, y in zip(a, b)) / len(a)
+    assert same(parts[0][3:], key[3:]) < 0.3 and same(parts[1], secret) < 0.2
+    assert max(parts[1].count(parts[1][k : k + 64]) for k in range(0, 1400, 64)) == 1  # the draws do not repeat
+
+
 @pytest.mark.parametrize("text,gone,script", [
     ("السيد محمد هنا. ثم محمد ذهب", "محمد", "[\u0600-\u06ff]"), ("מר כהן כאן, כהן הלך", "כהן", "[\u0590-\u05ff]"), ("श्री राम यहाँ", "राम", "[\u0900-\u097f]"),
     ("我们见到王小明先生。王小明很好", "王小明", "[\u4e00-\u9fff]"), ("김철수 씨가 왔다. 김철수는", "김철수", "[\uac00-\ud7a3]"), ("Г-жа Анна Иванова и Иванова", "Иванов", "[а-я]"), ("Κύριος Νίκος", "Νίκος", "[α-ωςά]"),
@@ -385,6 +398,29 @@ def test_vectors_in_a_cone_are_met(spark):
     assert len(pairs) >= 400 and met >= 0.99, met
 
 
+@pytest.mark.parametrize("inner", [0.8, 0.88, 0.91])
+def test_vectors_in_several_tight_groups_equal_brute_force(spark, inner):
+    """Eight groups in one label whose average pairs come close to the threshold."""
+    rng = np.random.default_rng(int(100 * inner))
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    parts = []
+    for _ in range(8):
+        x = unit(math.sqrt(inner) * unit(rng.standard_normal((1, 64))) + math.sqrt(1 - inner) * unit(rng.standard_normal((700, 64))))
+        step = rng.standard_normal((50, 64))
+        step = unit(step - (step * x[:50]).sum(axis=1, keepdims=True) * x[:50])
+        parts += [x, 0.94 * x[:50] + math.sqrt(1 - 0.94**2) * step]
+    x = np.concatenate(parts)
+    df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    out = {r["vec_id"]: r for r in embdedup.link_vectors(df).collect()}
+    near = unit(x) @ unit(x).T >= 0.93
+    np.fill_diagonal(near, False)
+    a, b = np.nonzero(np.triu(near))
+    met = np.mean([out[p]["component_id"] == out[q]["component_id"] for p, q in zip(a.tolist(), b.tolist())])
+    links = near.sum(axis=1)
+    right = np.mean([out[k]["n_links"] == links[k] for k in np.flatnonzero(links).tolist()])
+    assert len(a) >= 300 and met >= 0.99 and right >= 0.99, (len(a), met, right)
+
+
 def test_license_places_and_expressions(spark):
     rows = [(1, "MIT License. the mit-license; Apache License, Version 2.0"), (2, "SPDX-License-Identifier: (MIT OR GPL-3.0) AND Apache-2.0 WITH LLVM-exception"), (3, "mit licenses"), (4, "SPDX-License-Identifier: MIT AND")] + EDGE
     out = {r["doc_id"]: r for r in licenses.scan_licenses(docs(spark, rows)).collect()}
