@@ -145,7 +145,7 @@ FROM stat
 
 
 def _op2() -> str:
-    from .queries import RULES, SEEDS
+    from .queries import RICH, RULES, SEEDS, THIN
     from .urlfilter import TemplateConfig
 
     c = TemplateConfig()
@@ -163,24 +163,26 @@ def _op2() -> str:
 , branch{level} AS (SELECT {above}, s{level}, sum(n) AS n, sum(bad) AS bad FROM {last} GROUP BY ALL),
 node{level} AS (SELECT {above}, count(*) AS m, sum(n) AS all_n, sum(bad) AS all_bad FROM branch{level} GROUP BY ALL),
 z{level} AS (
-  SELECT {above}, s{level}, m, abs((bad + 0.5::DOUBLE) / (n + 1) - (all_bad - bad + 0.5::DOUBLE) / (all_n - n + 1))
-    / sqrt((all_bad + 1.0::DOUBLE) / (all_n + 2) * (1 - (all_bad + 1.0::DOUBLE) / (all_n + 2)) * (1.0::DOUBLE / (n + 1) + 1.0::DOUBLE / (all_n - n + 1))) AS z
+  SELECT {above}, s{level}, m, CASE WHEN m > {c.children} THEN coalesce(abs(bad / nullif(n, 0) - (all_bad - bad) / nullif(all_n - n, 0)) / nullif(sqrt(all_bad / nullif(all_n, 0) * (1 - all_bad / nullif(all_n, 0)) * (1 / nullif(n, 0) + 1 / nullif(all_n - n, 0))), 0), 0)
+    ELSE abs((bad + 0.5::DOUBLE) / (n + 1) - (all_bad - bad + 0.5::DOUBLE) / (all_n - n + 1))
+    / sqrt((all_bad + 1.0::DOUBLE) / (all_n + 2) * (1 - (all_bad + 1.0::DOUBLE) / (all_n + 2)) * (1.0::DOUBLE / (n + 1) + 1.0::DOUBLE / (all_n - n + 1))) END AS z
   FROM branch{level} JOIN node{level} USING ({above})
 ), grown{level} AS (
-  SELECT g.*, CASE WHEN m > {c.children} OR (m > 1 AND z < {c.z}) THEN '*' ELSE s{level} END AS t{level} FROM {last} g JOIN z{level} USING ({above}, s{level})
+  SELECT g.*, CASE WHEN m > 1 AND z < {c.z} THEN '*' ELSE s{level} END AS t{level} FROM {last} g JOIN z{level} USING ({above}, s{level})
 )"""
         last = f"grown{level}"
     shape = ", ".join(["host", *(f"t{k}" for k in range(1, c.depth + 1))])
     return f"""
 WITH cut AS (
-  SELECT page_id, url, coalesce(instr(url, '://') > 0, false) AS has, substr(url, instr(url, '://') + 3) AS rest FROM pages
+  SELECT page_id, url, html, coalesce(instr(url, '://') > 0, false) AS has, substr(url, instr(url, '://') + 3) AS rest FROM pages
 ), url AS (
-  SELECT page_id, CASE WHEN has THEN translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+  SELECT page_id, html, regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) AS article, CASE WHEN has THEN translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
     CASE WHEN has THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM cut
 ), judged AS (
   SELECT *, {rule} AS rule, {verdict} AS rule_verdict, string_split(regexp_replace(path, '^/', ''), '/') AS parts FROM url
 ), page AS (
-  SELECT *, {cut}, CASE WHEN regexp_matches(host, '(^|[.-])({"|".join(SEEDS)})([.-]|$)') THEN 1 WHEN rule_verdict = 'allow' THEN 0 END AS bad FROM judged
+  SELECT *, {cut}, CASE WHEN regexp_matches(host, '(^|[.-])({"|".join(SEEDS)})([.-]|$)') THEN 1 WHEN rule_verdict = 'allow' THEN 0 WHEN words < {THIN} THEN 1 WHEN words >= {RICH} THEN 0 END AS bad
+  FROM (SELECT *, len(regexp_extract_all(regexp_replace(CASE WHEN article <> '' THEN article ELSE html END, '<[^>]*>', ' ', 'g'), '[^\\x20\\x09-\\x0D]+')) AS words FROM judged)
 ), tree AS (SELECT host, {", ".join(keys)}, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM page GROUP BY ALL),
 overall AS (SELECT (coalesce(sum(bad), 0) + {c.prior * c.strength}::DOUBLE) / (coalesce(sum(n), 0) + {c.strength}::DOUBLE) AS top FROM tree)
 {levels}

@@ -27,13 +27,21 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), config=minhash.MinHashConfig(words=4))
 
 
-def labelled_urls():
+THIN, RICH = 50, 100  # words of an article below which a page is a bad example, and from which on it is a good one
+
+
+def labelled_urls(html: bool = False):
+    """Examples: a marked host is bad, a page that a rule allows is good; with ``html`` on every host a thin page is bad and one with a real text good."""
     seeded = F.col("host").rlike("(^|[.-])(" + "|".join(SEEDS) + ")([.-]|$)")
-    return F.when(seeded, 1).when(F.col("rule_verdict") == "allow", 0)
+    out = F.when(seeded, 1).when(F.col("rule_verdict") == "allow", 0)
+    if html:
+        words = urlfilter.visible_words(F.col("page.html"))
+        out = out.when(words < THIN, 1).when(words >= RICH, 0)
+    return out
 
 
 def judged_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judge_urls(_table(spark, sf_dir, "pages"), RULES, labelled_urls())
+    return urlfilter.judge_urls(_table(spark, sf_dir, "pages"), RULES, labelled_urls(html=True))
 
 
 def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,10 @@ shuffled, so a host with a third of all pages is one small group.
 
 Cases: null urls and urls without ``://`` have an empty host and path and are judged
 like the template of that name; without labels every smoothed purity is the prior;
-repeated rows are each returned.
+repeated rows are each returned and each counted; of rules that fit alike the longest wins,
+of equally long ones the last by name; a child at exactly the limit of significance keeps
+its branch; extra columns are ignored, whatever their names, but for what ``labelled`` reads;
+urls and pages of any length are handled as whole strings; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -57,6 +60,12 @@ def rule_of(host: Column, path: Column, rules: dict[str, str]) -> tuple[Column,
     return rule, verdict
 
 
+def visible_words(html: Column) -> Column:
+    """Words of a page's article, or of the whole page where it has none, without markup."""
+    article = F.regexp_extract(html, "(?s)<article[^>]*>(.*?)</article>", 1)
+    return F.regexp_count(F.regexp_replace(F.when(article != "", article).otherwise(html), "<[^>]*>", " "), F.lit("[^\\x20\\x09-\\x0D]+"))
+
+
 def segments(path: Column, depth: int) -> Column:
     """All masked segments, filled up with empty ones to ``depth``."""
     parts = F.split(F.regexp_replace(F.regexp_replace(path, "^/", ""), "/+$", ""), "/")
@@ -101,14 +110,14 @@ def grow_deeper(ws: Workspace, tree: DataFrame, c: TemplateConfig) -> DataFrame:
 def judge_urls(pages: DataFrame, rules: dict[str, str], labelled: Column, id_col: str = "page_id", url_col: str = "url", config: TemplateConfig = TemplateConfig()) -> DataFrame:
     """``page_id, host, path, rule, verdict, template, purity`` for each page.
 
-    ``labelled`` is a column over ``host``, ``path`` and ``rule_verdict``: 1 for a bad
-    example, 0 for a good one, null for none.
+    ``labelled`` is a column over ``host``, ``path``, ``rule_verdict`` and the columns of the
+    page in the struct ``page``: 1 for a bad example, 0 for a good one, null for none.
     """
     c = config
     ws = Workspace(pages.sparkSession, "urls")
-    urls = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("__url"))
+    urls = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("__url"), F.struct(*(F.col(x) for x in pages.columns)).alias("page"))
     host, path = host_and_path(F.col("__url"))
-    urls = urls.select("page_id", host.alias("host"), path.alias("path"))
+    urls = urls.select("page_id", "page", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     urls = urls.withColumns({"rule": rule, "rule_verdict": verdict})
     urls = urls.withColumn("bad", labelled.cast("int")).withColumn("s", segments(F.col("path"), c.depth)).select("page_id", "host", "path", "rule", "rule_verdict", "bad", "s")

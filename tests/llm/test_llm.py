@@ -139,6 +139,30 @@ def test_bad_sections_stand_out_at_any_fan_out_and_depth(spark):
     assert out[0]["template"] == "big.org/*/p/" and len({r["template"] for r in out.values()}) < 60
 
 
+def test_pages_of_one_host_are_judged_by_their_sections(spark, tmp_path):
+    """The query itself: thin pages make a section bad beside a good one of the same host, and held-out pages follow."""
+    rng = random.Random(12)
+    article = lambda n: f"<html><nav>menu of many words here</nav><article><h1>t</h1><p>{' '.join(prose(rng, n))}</p></article></html>"
+    rows = []
+    for k in range(400):
+        section = ("guide", "tags", "blog")[k % 3]
+        thin = rng.random() < {"guide": 0.03, "tags": 0.97, "blog": 0.1}[section]
+        size = rng.randrange(60, 95) if k % 10 == 0 else rng.randrange(5, 40) if thin else rng.randrange(120, 300)  # every tenth is no example
+        rows.append((k, f"https://mixed.example.org/{section}/{'abcdefgh'[k % 8]}{k}", article(size)))
+    rows += [(500, "https://mixed.example.org/guide/x", None), (501, None, article(200)), (502, "https://lone.example.org/", ""), (503, "https://mixed.example.org/tags/zz", article(70))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    out = {r["page_id"]: r for r in queries.judged_urls(spark, str(tmp_path)).collect()}
+    assert len(out) == len(rows) and all(out[k]["verdict"] == ("block" if k % 3 == 1 else "allow") for k in range(400))
+    assert (out[503]["verdict"], out[500]["verdict"], out[501]["verdict"]) == ("block", "allow", "allow")
+    flat = urlfilter.judge_urls(spark.read.parquet(str(tmp_path / "pages.parquet")), queries.RULES, queries.labelled_urls(html=True), config=urlfilter.TemplateConfig(z=1e9))
+    assert {r["verdict"] for r in flat.where("host = 'mixed.example.org'").collect()} == {"allow"}  # without branches the section is not seen
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    rel = con.sql(oracles.ORACLE_SQL["op2_url_filters"])
+    plain = lambda found: sorted(repr([round(v, 5) if isinstance(v, float) else v for v in r]) for r in found)
+    assert plain(queries.judged_urls(spark, str(tmp_path)).select(*rel.columns).collect()) == plain(rel.fetchall())
+
+
 def test_the_overall_share_blocks_no_host_without_labels(spark):
     rows = [(k, f"http://casino-{k % 9}.example.com/a") for k in range(90)] + [(100, "http://calm.example.com/a")]
     out = {r["page_id"]: r for r in urlfilter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), {}, queries.labelled_urls()).collect()}
