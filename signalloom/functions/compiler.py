@@ -3,8 +3,8 @@
 A formula is Python expression syntax over columns, numbers and the registered
 functions; it is parsed and checked node by node and never evaluated.  Equal
 subexpressions are computed once.  Window functions become hidden columns, one
-``withColumns`` and one smoothing pass a nesting level, so that plans grow with the
-number of levels.
+``withColumns``, one rolling and one smoothing pass a nesting level, so that plans grow
+with the number of levels.
 Later formulas see earlier ones.
 """
 
@@ -16,8 +16,11 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .carried import Carry, carried, lagged
+from .rolling import Rolling, overlapped, roll
 from .smoothing import Smoothing, smooth
 from .timeseries import FUNCTIONS, PLAIN, Series, safe_div
+from .whole import Whole, over_series
 
 OPERATORS = {
     ast.Add: lambda a, b: a + b,
@@ -31,18 +34,25 @@ OPERATORS = {
 }
 
 
+PASSES = ("ts_ema", "ts_quantile", "ts_rank", "rank", "scale", "winsorize")  # computed by passes of their own, not by a window function
+
+
 class FormulaError(ValueError):
     """A formula uses something that is not part of the language."""
 
 
 class _Plan:
-    def __init__(self, columns: list[str], series: Series):
-        self.series, self.columns = series, set(columns)
+    def __init__(self, columns: list[str], series: Series, sliced: bool):
+        self.series, self.columns, self.sliced = series, set(columns), sliced
+        self.carries: dict[int, dict[str, tuple[str, bool]]] = defaultdict(dict)
+        self.reach: dict[int, int] = defaultdict(int)
         self.named: dict[str, tuple[object, int]] = {}
         self.seen: dict[str, tuple[object, int]] = {}
         self.inputs: dict[int, dict[str, Column]] = defaultdict(dict)
         self.windows: dict[int, dict[str, Column]] = defaultdict(dict)
-        self.smooth: dict[int, list[tuple[str, str, int]]] = defaultdict(list)
+        self.smooth: dict[int, list[Smoothing]] = defaultdict(list)
+        self.rolls: dict[int, list[Rolling]] = defaultdict(list)
+        self.wholes: dict[int, list[Whole]] = defaultdict(list)
         self.count = 0
 
     def hidden(self) -> str:
@@ -89,7 +99,7 @@ class _Plan:
             n = args[1][0] if len(args) > 1 else 1
             before = self.window("ts_delay", [filled, (n, 0)], [None, None])
             return safe_div(filled[0], before[0]) - 1, before[1]
-        if name not in FUNCTIONS and name != "ts_ema":
+        if name not in FUNCTIONS and name not in PASSES:
             raise FormulaError(f"no function {name}")
         return self.window(name, args, nodes)
 
@@ -103,24 +113,55 @@ class _Plan:
                 a = F.col(own)
             ready.append(a)
         out = self.hidden()
-        if name == "ts_ema":
+        if name in PASSES:
+            own = self.hidden()
+            self.inputs[level][own] = ready[0]
+            if name == "ts_ema":
+                self.smooth[level].append(Smoothing(own, out, 2 / (ready[1] + 1), ready[1]))
+            elif name.startswith("ts_"):
+                self.rolls[level].append(Rolling(own, out, name.removeprefix("ts_"), *ready[1:]))
+            else:
+                self.wholes[level].append(Whole(own, out, name, tuple(ready[1:])))
+        elif self.sliced and name in ("ts_ffill", "last"):
             own = self.hidden()
             self.inputs[level][own] = ready[0]
-            self.smooth[level].append((own, out, ready[1]))
+            self.carries[level][out] = own, name == "last"
         else:
             self.windows[level][out] = FUNCTIONS[name](self.series, *ready)
+            self.reach[level] = max(self.reach[level], 1, *(r for r in ready if isinstance(r, int)))
         return F.col(out), level
 
 
-def apply_formulas(df: DataFrame, formulas: dict[str, str], keys: list[str], time: str = "time_ms") -> DataFrame:
-    """``df`` with one column a formula; a formula may replace a column of its own name."""
-    plan = _Plan(df.columns, Series(keys, time))
+def apply_formulas(df: DataFrame, formulas: dict[str, str], keys: list[str], time: str = "time_ms", width: int | None = None, chunk: int = 100_000) -> DataFrame:
+    """``df`` with one column a formula; a formula may replace a column of its own name.
+
+    With ``width`` no series is one task: states are carried over slices of time of that
+    width, and bounded frames see overlapping parts of ``chunk`` rows.
+    """
+    plan = _Plan(df.columns, Series([*keys, "__chunk"] if width else keys, time), bool(width))
     for name, text in formulas.items():
         plan.named[name] = plan.visit(ast.parse(text, mode="eval").body)
-    for level in range(1, max([0, *plan.windows, *plan.smooth]) + 1):
+    for level in range(1, max([0, *plan.windows, *plan.smooth, *plan.rolls, *plan.wholes, *plan.carries]) + 1):
         df = df.withColumns(plan.inputs[level]) if plan.inputs[level] else df
-        df = df.withColumns(plan.windows[level]) if plan.windows[level] else df
-        df = smooth(df, [Smoothing(source, out, 2 / (n + 1), n) for source, out, n in plan.smooth[level]], keys, time)
+        if plan.carries[level]:
+            df = _carry(df, plan.carries[level], keys, time, width)
+        if plan.windows[level] and width:
+            reach = plan.reach[level]
+            parts = overlapped(df, keys, reach, max(chunk, reach), time, width).withColumns(plan.windows[level])
+            df = parts.where("not __lead").drop("__lead", "__chunk")
+        elif plan.windows[level]:
+            df = df.withColumns(plan.windows[level])
+        df = over_series(df, plan.wholes[level], keys)
+        df = roll(df, plan.rolls[level], keys, time, chunk if width else None, width)
+        df = smooth(df, plan.smooth[level], keys, time, width)
     whole = {n: (c if isinstance(c, Column) else F.lit(c)) for n, (c, _) in plan.named.items()}
     hidden = [c for c in df.columns if c.startswith("__f")]
     return df.withColumns(whole).drop(*hidden)
+
+
+def _carry(df: DataFrame, wanted: dict[str, tuple[str, bool]], keys: list[str], time: str, width: int) -> DataFrame:
+    """Newest known values, of the rows before where a figure leaves out its own row."""
+    for _, (own, before) in wanted.items():
+        if before:
+            df = lagged(df, F.col(own), own, keys, time, width)
+    return carried(df, {out: Carry("last", F.col(own)) for out, (own, _) in wanted.items()}, keys, time, width)

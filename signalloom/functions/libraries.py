@@ -120,3 +120,79 @@ def per_column(columns: list[str], window: int = 24) -> dict[str, str]:
     """Four signals for each event feature column."""
     shapes = {"z": "ts_zscore({c}, {n})", "delta": "ts_delta({c}, 1)", "rank": "ts_rank({c}, {n})", "surprise": "safe_div({c}, ts_mean({c}, {n})) - 1"}
     return {f"sig_event__{c}_{k}": s.format(c=c, n=window) for c in columns for k, s in shapes.items()}
+
+
+def ladder(count: int, low: int, high: int) -> list[int]:
+    """``count`` windows in equal ratios from ``low`` to ``high``, whole and distinct."""
+    out: list[int] = []
+    for k in range(count):
+        w = round(low * (high / low) ** (k / max(count - 1, 1)))
+        out.append(max(w, out[-1] + 1) if out else w)
+    return out
+
+
+def candidate_library() -> dict[str, dict[str, str]]:
+    """123 candidates in six groups, each a few shapes over a ladder of windows.
+
+    The adaptive group lets a shape through only in a regime: a quiet market, a trending
+    one, or one without a stretched price.
+    """
+    pairs = [(w, 6 * w) for w in ladder(7, 8, 240)]
+    horizons = [(w, 4 * w) for w in ladder(7, 5, 480)]
+    gaps = {"ema": "ts_ema(close, {a}) - ts_ema(close, {b})", "mean": "ts_mean(close, {a}) - ts_mean(close, {b})", "price": "close - ts_mean(close, {b})"}
+    reverts = {"oscillator": "rsi", "level": "close", "band": "boll_pos", "body": "candle_box"}
+    shapes = {
+        "spread": "ts_zscore(ts_std(ret_1, {a}), 3 * {a})", "squeeze": "-ts_zscore(band_width, 3 * {a})",
+        "tails": "ts_kurt(ret_1, {a})", "lean": "-ts_skew(ret_1, {a})",
+    }
+    edges = {"top": "close - ts_max(high, {a})", "floor": "close - ts_min(low, {a})", "upper": "close - ts_quantile(close, {a}, 0.8)"}
+    scale = {"top": "ts_mean(atr_20, {a})", "floor": "ts_mean(atr_20, {a})", "upper": "ts_std(close, {a})"}
+    quiet, stretched = "ts_std(ret_1, {a}) < ts_std(ret_1, {b})", "ts_rank(close, {a}) > 0.9"
+    gates = [
+        ("quiet_ema", quiet, "safe_div(ts_ema(close, {a}) - ts_ema(close, {b}), ts_std(close, {b}))", 96, 480),
+        ("quiet_mean", quiet, "safe_div(ts_mean(close, {a}) - ts_mean(close, {b}), ts_std(close, {b}))", 48, 240),
+        ("quiet_floor", quiet, "safe_div(close - ts_min(low, {b}), ts_mean(atr_20, {b}))", 96, 480),
+        ("trending_return", "abs(ts_zscore(ts_returns(close, {a}), {b})) > 1", "safe_div(ts_returns(close, {a}), ts_std(ret_1, {b}))", 60, 240),
+        ("stretched_return", stretched, "-ts_zscore(ts_returns(close, 1), {b})", 120, 240),
+    ]
+    return {
+        "trend": {f"{n}_gap_{a}_{b}": f"safe_div({g.format(a=a, b=b)}, ts_std(close, {b}))" for n, g in gaps.items() for a, b in pairs},
+        "momentum": {f"return_gap_{a}_{b}": f"ts_returns(close, {a}) - ts_returns(close, {b})" for a, b in horizons}
+        | {f"return_beta_{a}_{b}": f"ts_beta(ts_returns(close, {a}), ts_returns(close, {b}), {b})" for a, b in horizons}
+        | {f"return_sign_{b}": f"ifcond(ts_returns(close, {b}) > 0, 1, -1)" for _, b in horizons}
+        | {f"{n}_z_{a}": f"ts_zscore({x}, {a})" for n, x in {"impulse": "macd_hist", "strength": "rsi - 50"}.items() for a in ladder(5, 24, 240)},
+        "mean_revert": {f"{n}_back_{a}": f"-ts_zscore({x}, {a})" for n, x in reverts.items() for a in ladder(4, 48, 240)},
+        "volatility": {f"{n}_{a}": x.format(a=a) for n, x in shapes.items() for a in ladder(5, 24, 240)},
+        "breakout": {f"{n}_break_{a}": f"safe_div({x.format(a=a)}, {scale[n].format(a=a)})" for n, x in edges.items() for a in ladder(10, 20, 1440)},
+        "adaptive": {f"{n}_{a}_{b}": f"ifcond({when.format(a=a, b=b)}, {x.format(a=a, b=b)}, 0)" for n, when, x, a, b in gates},
+    }
+
+
+def event_library(amounts: dict[str, tuple[str, str]], counts: list[str], kinds: dict[str, str], window: int = 24) -> dict[str, dict[str, str]]:
+    """Signals of event columns by their type.
+
+    ``amounts``: name to its signed and its absolute column; ``counts``: columns of numbers;
+    ``kinds``: name to a column that counts one kind of event among ``counts[0]``.  Flows are
+    scored as they are, smoothed and as an imbalance; kinds as a share; counts by their
+    surprise; then all are crossed with the price: along a move, against a place at the
+    edge of its range, and by how much they vary.
+    """
+    n, slow = window, 2 * window
+    z = lambda x, w=n: f"ts_zscore({x}, {w})"
+    move = z(f"ts_returns(close, {n // 2})", slow)
+    place = f"(ts_rank(close, {n}) - 0.5)"
+    signed = {a: s for a, (s, _) in amounts.items()}
+    sizes = {a: b for a, (_, b) in amounts.items()}
+    return {
+        "event_flow": {f"{a}_{k}": f for a in amounts for k, f in {
+            "level": z(signed[a]), "slow": z(f"ts_mean({signed[a]}, {n // 2})", slow), "size": z(sizes[a]),
+            "imbalance": z(f"safe_div({signed[a]}, {sizes[a]} + 1e-12)", slow), "decay": z(f"ts_decay({signed[a]}, {n // 2})"),
+        }.items()},
+        "event_mix": {f"{k}_share": z(f"safe_div({c}, {counts[0]} + 1)", slow) for k, c in kinds.items()},
+        "event_attention": {f"{c}_surprise": z(f"safe_div({c}, ts_mean({c}, {n})) - 1", slow) for c in counts},
+        "event_momentum": {"move": move, "move_over_spread": f"safe_div(ts_returns(close, {n}), ts_std(ret_1, {slow}) + 1e-12)"}
+        | {f"{a}_along": f"{z(signed[a])} * {move}" for a in amounts} | {f"{a}_with": f"{z(signed[a])} + {move}" for a in amounts},
+        "event_revert": {f"{c}_at_edge": f"-{z(c)} * {place}" for c in [*counts, *sizes.values()]},
+        "event_spread": {f"{c}_varies": z(f"ts_std({c}, {n // 2})", slow) for c in [*signed.values(), *sizes.values()]}
+        | {"busy_share": z(f"ts_mean(ifcond({counts[0]} > 0, 1.0, 0.0), {n})", slow)},
+    }

@@ -25,6 +25,16 @@ def side_sign(sign: Column, label: Column) -> Column:
     return F.when(label == "close", -base).otherwise(base)
 
 
+def standardize_alerts(df: DataFrame, action: str, notional: str, time: str, size: str | None = None) -> DataFrame:
+    """``df`` with the label of its action, side, notional and minute of each alert; rows without a time go.
+
+    The side is that of ``size`` where it has one, else of the label.
+    """
+    df = df.where(F.col(time).isNotNull()).withColumn("label", action_label(F.coalesce(F.col(action).cast("string"), F.lit(""))))
+    sign = F.coalesce(F.col(size).try_cast("double"), F.lit(0.0)) if size else F.lit(0.0)
+    return df.withColumns({"side": side_sign(sign, F.col("label")), "notional": F.col(notional).try_cast("double"), "minute_ms": F.floor(F.col(time) / 60_000) * 60_000})
+
+
 def minute_alerts(df: DataFrame, keys: list[str], minute: str = "minute_ms") -> DataFrame:
     """Exact counts and sums a minute over globally distinct events."""
     size = F.abs("notional")

@@ -1,12 +1,14 @@
-"""Ensembles, volatility targeting, regimes, diagnostics and regression."""
+"""Ensembles, volatility targeting, regimes and diagnostics."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..functions.carried import run_lengths
 from ..functions.timeseries import Series
+from .regression import two_stage_ols  # noqa: F401
+from .terciles import expanding_regime, vol_regime  # noqa: F401
 
 
 def equal_weight(df: DataFrame, by: list[str], pos: str = "position") -> DataFrame:
@@ -27,8 +29,8 @@ def vol_target(df: DataFrame, keys: list[str], target: float, floor: float = 0.0
     raw = F.least(F.lit(target) / F.greatest("ann_vol", F.lit(floor)), F.lit(cap))
     df = df.withColumn("__l", F.when(F.col("ann_vol").isNotNull(), raw))
     order = Window.partitionBy(*keys).orderBy("time_ms")
-    past, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumn("leverage", F.coalesce(F.last("__l", True).over(past), F.first("__l", True).over(ahead), F.lit(1.0))).withColumn("scaled", F.col(pos) * F.col("leverage")).drop("__l")
+    past, whole = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return df.withColumn("leverage", F.coalesce(F.last("__l", True).over(past), F.first("__l", True).over(whole), F.lit(1.0))).withColumn("scaled", F.col(pos) * F.col("leverage")).drop("__l")
 
 
 def inverse_vol_weights(df: DataFrame, by: list[str], eps: float = 1e-9) -> DataFrame:
@@ -39,41 +41,6 @@ def inverse_vol_weights(df: DataFrame, by: list[str], eps: float = 1e-9) -> Data
     return df.withColumn("weight", F.when(total.isNotNull(), F.coalesce(raw, F.lit(0.0)) / total).otherwise(1 / F.count(F.lit(1)).over(w)))
 
 
-def vol_regime(df: DataFrame, keys: list[str], vol: str) -> DataFrame:
-    """Whole-sample terciles by rank, first come first on ties."""
-    known = df.where(F.col(vol).isNotNull())
-    r = F.row_number().over(Window.partitionBy(*keys).orderBy(vol, "time_ms"))
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    return known.withColumn("regime", F.when(3 * (r - 1) < n - 1, 0).when(3 * (r - 1) < 2 * (n - 1), 1).otherwise(2))
-
-
-def expanding_regime(df: DataFrame, keys: list[str], value: str, least: int = 30) -> DataFrame:
-    """Tercile of each value in the history before it; causal.
-
-    Quantiles of a growing history have no bounded state, so each series is one group:
-    sorted insertion on Arrow batches, one task a series.
-    """
-    import bisect
-
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("time_ms")
-        seen, out = [], []
-        for v in pdf[value]:
-            if len(seen) < least or pd.isna(v):
-                out.append(None)
-            else:
-                at = [(len(seen) - 1) * q for q in (1 / 3, 2 / 3)]
-                cut = [seen[int(a)] + (seen[min(int(a) + 1, len(seen) - 1)] - seen[int(a)]) * (a - int(a)) for a in at]
-                out.append(0 if v <= cut[0] else 1 if v <= cut[1] else 2)
-            if not pd.isna(v):
-                bisect.insort(seen, v)
-        return pdf.assign(regime=pd.array(out, dtype="Int32"))
-
-    return df.groupBy(*keys).applyInPandas(run, T.StructType([*df.schema.fields, T.StructField("regime", T.IntegerType())]))
-
-
 def regime_summary(df: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by, "regime").agg(F.count("*").alias("bars"), F.avg("net_ret").alias("mean_ret"), F.stddev_pop("net_ret").alias("sd_ret"), F.avg("turnover").alias("turnover"))
 
@@ -104,8 +71,10 @@ def trade_markers(trace: DataFrame, keys: list[str], eps: float = 0.02, pos: str
     return df.select(*keys, "time_ms", kind.alias("marker"))
 
 
-def longest_drawdown(trace: DataFrame, keys: list[str]) -> DataFrame:
-    """Most bars in a row below an earlier peak (gaps and islands)."""
+def longest_drawdown(trace: DataFrame, keys: list[str], width: int | None = None) -> DataFrame:
+    """Most bars in a row below an earlier peak (gaps and islands, or run lengths carried over slices of time)."""
+    if width:
+        return run_lengths(trace, F.col("drawdown") < 0, "__n", keys, "time_ms", width).groupBy(*keys).agg(F.max("__n").alias("longest"))
     order = Window.partitionBy(*keys).orderBy("time_ms")
     df = trace.withColumn("__u", (F.col("drawdown") < 0).cast("int")).withColumn("__g", F.sum(1 - F.col("__u")).over(order))
     return df.groupBy(*keys, "__g").agg(F.sum("__u").alias("n")).groupBy(*keys).agg(F.max("n").alias("longest"))
@@ -118,35 +87,6 @@ def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{k}").alias("corr")) for k, (a, b) in enumerate(pairs)))).alias("p")).select("p.*")
 
 
-def two_stage_ols(df: DataFrame, target: str, base: list[str], extra: list[str], train: str = "segment = 'train'") -> DataFrame:
-    """Base model, then its residuals on more columns: R2 in and out of sample, F of the block.
-
-    Fits are distributed normal equations; only coefficients reach the driver.
-    """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    clean = df.select(target, "segment", *base, *extra).dropna()
-
-    def fit(data: DataFrame, columns: list[str], label: str, out: str):
-        made = VectorAssembler(inputCols=columns, outputCol=f"__x_{out}").transform(data)
-        model = LinearRegression(featuresCol=f"__x_{out}", labelCol=label, predictionCol=out, solver="normal").fit(made.where(train))
-        return model.transform(made)
-
-    one = fit(clean, base, target, "p1").withColumn("resid", F.col(target) - F.col("p1"))
-    two = fit(one, extra, "resid", "p2")
-    joint = fit(two, [*base, *extra], target, "pj")
-    mean = joint.where(train).agg(F.avg(target).alias("__m"))
-    sse = lambda p: F.sum((F.col(target) - p) ** 2)
-    out = joint.crossJoin(F.broadcast(mean)).groupBy("segment").agg(
-        F.count("*").alias("n"), (1 - sse(F.col("p1")) / sse(F.col("__m"))).alias("r2_base"), (1 - sse(F.col("p1") + F.col("p2")) / sse(F.col("__m"))).alias("r2_two_stage"),
-        (1 - sse(F.col("pj")) / sse(F.col("__m"))).alias("r2_joint"), sse(F.col("p1")).alias("sse_base"), sse(F.col("pj")).alias("sse_joint"),
-    )
-    free = F.col("n") - len(base) - len(extra) - 1
-    f = ((F.col("sse_base") - F.col("sse_joint")) / len(extra)) / (F.col("sse_joint") / free)
-    return out.withColumn("block_f", F.when(F.col("segment") == "train", f)).drop("sse_base", "sse_joint")
-
-
 def risk_parity(traces: DataFrame, keys: list[str], n: int, ret: str = "ret_1", eps: float = 1e-12) -> DataFrame:
     """``keys, time_ms, position``: signals weighted by the inverse volatility of their gross returns, within one unit."""
     gross = rolling_ann_vol(traces.withColumn("__g", F.col("position") * F.coalesce(ret, F.lit(0.0))), [*keys, "signal"], n, 1.0, "__g")
@@ -154,6 +94,25 @@ def risk_parity(traces: DataFrame, keys: list[str], n: int, ret: str = "ret_1",
     return mixed.select(*keys, "time_ms", F.when(F.col("p") > 1, 1.0).when(F.col("p") < -1, -1.0).otherwise(F.col("p")).alias("position"))
 
 
+def allocation_variants(positions: DataFrame, keys: list[str], n: int, c, target: float = 0.12, floor: float = 0.04, cap: float = 2.5, ret: str = "ret_1") -> DataFrame:
+    """Traces of three ways to hold the same signals, by ``variant``: equal weights, those at a volatility target, and inverse volatility.
+
+    All positions stay within one unit.
+    """
+    from .signals import backtest, drawdown
+
+    by = [*keys, "time_ms"]
+    returns = positions.groupBy(*by).agg(F.max(ret).alias(ret))
+    equal = equal_weight(positions, by).join(returns, by).select(*by, "position", ret)
+    risk = rolling_ann_vol(equal.withColumn("__g", F.col("position") * F.coalesce(ret, F.lit(0.0))), keys, n, c.bars_per_year, "__g")
+    scaled = F.col("scaled")
+    aimed = vol_target(risk, keys, target, floor, cap).select(*by, F.when(scaled > 1, 1.0).when(scaled < -1, -1.0).otherwise(scaled).alias("position"), ret)
+    even = risk_parity(positions, keys, n, ret).join(returns, by).select(*by, "position", ret)
+    named = [df.withColumn("variant", F.lit(name)) for name, df in (("equal_weight", equal), ("vol_target", aimed), ("risk_parity_inv_vol", even))]
+    own = [*keys, "variant"]
+    return drawdown(backtest(named[0].unionByName(named[1]).unionByName(named[2]), own, c, ret=ret), own)
+
+
 def vol_target_leverage(df: DataFrame, keys: list[str], target: float, n: int, least: int, bars: float, pos: str = "position", ret: str = "ret_1") -> DataFrame:
     """Target over the rolling deviation (ddof 1) of position times return, between 0.15 and 6; the last known one, else 1."""
     s = Series(keys, "time_ms")

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.carried import lagged
+from ..functions.whole import with_series
+
 
 def _order(keys: list[str]):
     return Window.partitionBy(*keys).orderBy("time_ms")
@@ -56,19 +59,32 @@ def gap_text(df: DataFrame, keys: list[str], step_ms: int, first: int = 20) -> D
     return gaps.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("a", "b"))), lambda g: F.concat(g["a"].cast("string"), F.lit("->"), g["b"].cast("string"))), ";").alias("gaps"))
 
 
-def latest_segment(df: DataFrame, keys: list[str], max_gap_ms: int) -> DataFrame:
-    """Rows after the last break."""
-    broke = (F.col("time_ms") - F.lag("time_ms").over(_order(keys)) > max_gap_ms).cast("int")
-    runs = df.withColumn("__new", F.coalesce(broke, F.lit(0))).withColumn("__seg", F.sum("__new").over(_order(keys)))
-    runs = runs.withColumn("__last", F.max("__seg").over(Window.partitionBy(*keys)))
-    return runs.where("__seg = __last").drop("__new", "__seg", "__last")
+def latest_segment(df: DataFrame, keys: list[str], max_gap_ms: int, width: int | None = None) -> DataFrame:
+    """Rows after the last break.
+
+    The last break of a series is one aggregate; with ``width`` the row before each row is
+    found slice by slice of time, so no series, keyed or not, is one task.
+    """
+    if width:
+        stepped = lagged(df, F.col("time_ms"), "__before", keys, "time_ms", width)
+    else:
+        stepped = df.withColumn("__before", F.lag("time_ms").over(_order(keys)))
+    broke = F.col("time_ms") - F.col("__before") > max_gap_ms
+    last = stepped.groupBy(*keys).agg(F.max(F.when(broke, F.col("time_ms"))).alias("__last"))
+    return with_series(df, last, keys).where("__last is null or time_ms >= __last").drop("__last")
 
 
-def clean_table(df: DataFrame, keys: list[str], values: list[str], max_gap_ms: int) -> DataFrame:
+def clean_table(df: DataFrame, keys: list[str], values: list[str], max_gap_ms: int, width: int | None = None) -> DataFrame:
     """Rows with values, of the last segment, from its first complete row on, complete."""
-    df = latest_segment(df.where(any_value(values)), keys, max_gap_ms)
-    first = F.min(F.when(all_values(values), F.col("time_ms"))).over(Window.partitionBy(*keys))
-    return df.withColumn("__first", first).where("time_ms >= __first").drop("__first").where(all_values(values))
+    df = latest_segment(df.where(any_value(values)), keys, max_gap_ms, width)
+    first = df.where(all_values(values)).groupBy(*keys).agg(F.min("time_ms").alias("__first"))
+    return with_series(df, first, keys).where("time_ms >= __first").drop("__first").where(all_values(values))
+
+
+def cleaned_tables(tables: dict[str, DataFrame], keys: list[str], values: list[str], max_gap_ms: int, width: int | None = None) -> DataFrame:
+    """The aligned tables of several frequencies cleaned, one under the other with their ``freq``; one without complete rows leaves none."""
+    parts = [df.select(F.lit(freq).alias("freq"), *df.columns) for freq, df in tables.items()]
+    return clean_table(reduce(DataFrame.unionByName, parts), ["freq", *keys], values, max_gap_ms, width)
 
 
 def align(tables: dict[str, DataFrame], keys: list[str]) -> DataFrame:
@@ -111,8 +127,11 @@ def merge_check(left: DataFrame, right: DataFrame, keys: list[str], value: str,
     return both.agg(F.count("*").alias("rows"), F.count("hit").alias("covered"), F.avg(F.when(F.col("hit") == 1, same.cast("double"))).alias("match"))
 
 
-def coverage_of_columns(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Per column: non-null rows and the median positive step between them."""
+def coverage_of_columns(df: DataFrame, keys: list[str], values: list[str], width: int | None = None) -> DataFrame:
+    """Per column: non-null rows and the median positive step between them; by slices of time with ``width``."""
     long = df.unpivot([*keys, "time_ms"], values, "column", "value").where("value is not null")
-    step = F.col("time_ms") - F.lag("time_ms").over(Window.partitionBy(*keys, "column").orderBy("time_ms"))
-    return long.withColumn("step", step).groupBy(*keys, "column").agg(F.count("*").alias("rows"), F.percentile(F.when(F.col("step") > 0, F.col("step")), 0.5).alias("median_step"))
+    if width:
+        long = lagged(long, F.col("time_ms"), "__before", [*keys, "column"], "time_ms", width)
+    else:
+        long = long.withColumn("__before", F.lag("time_ms").over(Window.partitionBy(*keys, "column").orderBy("time_ms")))
+    return long.withColumn("step", F.col("time_ms") - F.col("__before")).groupBy(*keys, "column").agg(F.count("*").alias("rows"), F.percentile(F.when(F.col("step") > 0, F.col("step")), 0.5).alias("median_step"))

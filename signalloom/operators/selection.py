@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions.compiler import apply_formulas
 from ..functions.libraries import CORE_FEATURES, FEATURES, INDICATOR_COLUMNS
+from ..functions.rolling import Rolling, roll
+from ..functions.smoothing import Smoothing, smooth
+from ..workspace import Workspace
 from . import bars as B
 from . import signals as S
 
@@ -154,32 +157,113 @@ def feature_frame(bars: DataFrame, keys: list[str], signals: dict[str, str], fea
 def sweep(df: DataFrame, signals: dict[str, str], keys: list[str], price: str, volume: str, order: list[str], edge_ms: int, minutes: list[int] = SWEEP_MINUTES, profiles: list[Profile] = SWEEP_PROFILES, least: int = 120, features: dict[str, str] | None = None, config: S.BacktestConfig = S.BacktestConfig()) -> DataFrame:
     """One row a series, signal, direction, bar size and profile, with train and test figures.
 
-    Each bar size is resampled and compiled once.  A symmetric band makes positions odd, so
-    the inverse of a signal is its position turned round, not a second evaluation.
-    Robustness is that of the train part; rows with fewer than ``least`` bars on either
-    side are left out.
+    Compiled in stages: the frame of a bar size is written once, all formulas in it share
+    their common parts; profiles with one z window share its scores; all profiles and both
+    directions of a signal run side by side as columns of one ordered pass, since a symmetric
+    band makes the inverse of a position its negative.  Robustness is that of the train part;
+    rows with fewer than ``least`` bars on either side are left out.
     """
-    out = None
-    for size in minutes:
-        bars = feature_frame(B.resample_ohlcv(df, size * 60_000, keys, price, volume, order), keys, signals, features)
-        long = bars.unpivot([*keys, "time_ms", "ret_1"], [*signals], "signal", "raw").where("raw is not null")
-        c = replace(config, bars_per_year=525_600 / size)
-        for k, p in enumerate(profiles):
-            held = positions(long.withColumn("raw", F.col("raw").cast("double")), [*keys, "signal"], S.scaled_window(p.z_window, size), p.deadband, p.smooth_span, p.mode, c)
-            held = held.select(*keys, "time_ms", "ret_1", "signal", F.explode(F.array(F.struct(F.lit("").alias("s"), F.lit(1.0).alias("d")), F.struct(F.lit("__inv").alias("s"), F.lit(-1.0).alias("d")))).alias("v"), "position")
-            both = held.select(*keys, "time_ms", "ret_1", F.concat("signal", "v.s").alias("signal"), (F.col("position") * F.col("v.d")).alias("position"))
-            by = [*keys, "signal"]
-            trace = S.split_at(S.drawdown(S.backtest(both, by, c), by), edge_ms)
-            figures = S.metrics(trace, [*by, "segment"], c)
-            part = lambda name: figures.where(F.col("segment") == name).select(*by, F.col("bars").alias(f"{name}_obs"), F.col("sharpe").alias(f"{name}_sharpe"))
-            starts = S.triggers(trace, [*by, "segment"]).groupBy(*by).agg(*(F.max(F.when(F.col("segment") == s, F.col("triggers"))).alias(n) for s, n in (("train", "is_triggers"), ("test", "os_triggers"))))
-            robust = S.walk_forward(trace.where("segment = 'train'"), by, 6, c).select(*by, "wf_min", "robust_score")
-            row = part("train").join(part("test"), by).join(robust, by).join(starts, by)
-            row = row.where((F.col("train_obs") >= least) & (F.col("test_obs") >= least)).withColumns({"bar_minutes": F.lit(size), "profile": F.lit(k)})
-            out = row if out is None else out.unionByName(row)
+    frames = {size: feature_frame(B.resample_ohlcv(df, size * 60_000, keys, price, volume, order), keys, signals, features) for size in minutes}
+    return sweep_frames(frames, [*signals], keys, edge_ms, profiles, least, config)
+
+
+def sweep_frames(frames: dict[int, DataFrame], signals: list[str], keys: list[str], edge_ms: int, profiles: list[Profile], least: int = 120, config: S.BacktestConfig = S.BacktestConfig()) -> DataFrame:
+    """The sweep over frames that hold ``ret_1`` and a column a signal, by their bar size in minutes."""
+    ws, out = Workspace(next(iter(frames.values())).sparkSession, "sweep"), None
+    for size, bars in frames.items():
+        frame = ws.save(bars.select(*keys, "time_ms", "ret_1", *signals))
+        windows = {p.z_window: S.scaled_window(p.z_window, size) for p in profiles}
+        train, test = _judged(ws, frame, signals, keys, F.col("time_ms") < edge_ms, profiles, windows, replace(config, bars_per_year=525_600 / size))
+        train = train.select(*(F.col(a).alias(b) for a, b in zip(train.columns, [*keys, "signal", "profile", "train_obs", "train_sharpe", "is_triggers", "wf_min", "robust_score"])))
+        row = train.join(test.select(*keys, "signal", "profile", F.col("obs").alias("test_obs"), F.col("sharpe").alias("test_sharpe"), F.col("triggers").alias("os_triggers")), [*keys, "signal", "profile"])
+        row = row.where((F.col("train_obs") >= least) & (F.col("test_obs") >= least)).withColumn("bar_minutes", F.lit(size))
+        out = row if out is None else out.unionByName(row)
     return out
 
 
+def sweep_candidates(report: DataFrame, least_is: int = 15, least_os: int = 10) -> DataFrame:
+    """Rows with enough triggers, with the gap of their Sharpe figures and their in-sample score: the best profile of each signal and bar size."""
+    gap = F.abs(known("train_sharpe") - known("test_sharpe"))
+    scored = eligible(report, least_is, least_os).withColumns({"train_test_gap": gap, "composite_is": F.round(in_sample_score(), 9)})
+    return best_profile(scored, "composite_is", ["train_sharpe", "robust_score", "wf_min"])
+
+
+# Execution profiles of the research runner; windows in bars.
+RESEARCH_PROFILES = [
+    Profile(240, 0.0, 0), Profile(360, 0.15, 4), Profile(480, 0.2, 6), Profile(720, 0.3, 12),
+    Profile(960, 0.45, 18), Profile(1440, 0.6, 24), Profile(720, 0.45, 12, "sign"), Profile(1440, 0.6, 24, "sign"),
+]
+
+
+def research(bars: DataFrame, signals: dict[str, str], keys: list[str], bar_minutes: int, profiles: list[Profile] = RESEARCH_PROFILES, features: dict[str, str] | None = None, config: S.BacktestConfig = S.BacktestConfig()) -> DataFrame:
+    """The best profile of each signal and direction over the whole sample, by robustness and then Sharpe."""
+    ws = Workspace(bars.sparkSession, "research")
+    frame = ws.save(feature_frame(bars, keys, signals, features).select(*keys, "time_ms", "ret_1", *signals))
+    whole, _ = _judged(ws, frame, [*signals], keys, F.lit(True), profiles, {p.z_window: p.z_window for p in profiles}, replace(config, bars_per_year=525_600 / bar_minutes))
+    order = Window.partitionBy(*keys, "signal").orderBy(F.col("robust_score").desc_nulls_last(), F.col("sharpe").desc_nulls_last(), "profile")
+    return whole.withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__r")
+
+
+def family(signal: Column) -> Column:
+    """The first two words of a signal's last name part; so all inverse signals are one family."""
+    return F.array_join(F.slice(F.split(F.element_at(F.split(signal, "__"), -1), "_"), 1, 2), "_")
+
+
+def one_of_each_family(report: DataFrame, keys: list[str], order: list[str], top: int) -> DataFrame:
+    """In the order of figures a row enters if no row of its family has; the first ``top`` of a key.
+
+    That is the first row of each family: kept a family by partial aggregation, so a key
+    with any number of rows is never one group.
+    """
+    rank = F.struct(*(F.coalesce(-F.col(c).cast("double"), F.lit(float("inf"))) for c in order), "signal")
+    first = report.groupBy(*keys, family(F.col("signal")).alias("family")).agg(F.min_by(F.struct(*(c for c in report.columns if c not in keys)), rank).alias("row"))
+    place = Window.partitionBy(*keys).orderBy(*(F.col(f"row.{c}").desc_nulls_last() for c in order), "row.signal")
+    return first.withColumn("place", F.row_number().over(place)).where(F.col("place") <= top).select(*keys, "family", "row.*", "place")
+
+
+FOLDS = 6
+
+
+def _judged(ws: Workspace, frame: DataFrame, signals: list[str], keys: list[str], early: Column, profiles: list[Profile], windows: dict[int, int], c: S.BacktestConfig) -> tuple[DataFrame, DataFrame]:
+    """Figures of one bar size from its saved frame: of the ``early`` part with its folds, and of the rest."""
+    by = [*keys, "signal"]
+    long = frame.unpivot([*keys, "time_ms", "ret_1"], signals, "signal", "raw").where("raw is not null").withColumn("raw", F.col("raw").cast("double"))
+    long = roll(long, [Rolling("raw", f"z{n}", "robust_z", n) for n in sorted(set(windows.values()))], by, "time_ms")
+    shapes = {f"p{k}": (S.squash if p.smooth_span > 1 else S.position)(F.col(f"z{windows[p.z_window]}"), replace(c, deadband=p.deadband), p.mode) for k, p in enumerate(profiles)}
+    held = smooth(long.withColumns(shapes).drop("raw"), [Smoothing(f"p{k}", f"p{k}", 2 / (p.smooth_span + 1)) for k, p in enumerate(profiles) if p.smooth_span > 1], by, "time_ms")
+    held = held.withColumns({f"p{k}": F.rint(F.round(F.col(f"p{k}") / c.step, 9)) * c.step for k, p in enumerate(profiles) if p.smooth_span > 1})
+
+    order = Window.partitionBy(*by).orderBy("time_ms")
+    held = held.withColumns({"train": early, "was_train": F.lag(early).over(order)} | {f"h{k}": F.coalesce(F.lag(f"p{k}").over(order), F.lit(0.0)) for k in range(len(profiles))})
+    turns = {f"c{k}": F.coalesce(F.abs(F.col(f"h{k}") - F.lag(f"h{k}").over(order)), F.lit(0.0)) * c.cost for k in range(len(profiles))}
+    active = lambda k: F.abs(F.coalesce(f"p{k}", F.lit(0.0))) > 1e-12
+    starts = {f"t{k}": (active(k) & ~F.coalesce(F.lag(active(k)).over(order) & (F.col("was_train") == F.col("train")), F.lit(False))).cast("long") for k in range(len(profiles))}
+    gross = {f"g{k}": F.col(f"h{k}") * F.coalesce("ret_1", F.lit(0.0)) for k in range(len(profiles))}
+    at = F.row_number().over(order)
+    n_train = F.count(F.when(F.col("train"), 1)).over(Window.partitionBy(*by))
+    fold = F.least(F.floor((at - 1) / F.greatest(F.floor(n_train / FOLDS), F.lit(1))), F.lit(FOLDS - 1))
+    trace = held.withColumns(turns | starts | gross | {"fold": F.when(F.col("train"), fold)})
+
+    # one row a fold of the train part and one for the test part; all further figures follow from these
+    sides = [(k, d) for k in range(len(profiles)) for d in (1, -1)]
+    net = lambda k, d: F.col(f"g{k}") * d - F.col(f"c{k}")
+    each = F.array(*(F.struct(F.lit(k).alias("profile"), F.lit(d).alias("side"), F.avg(net(k, d)).alias("mean"), F.var_pop(net(k, d)).alias("var"), F.sum(f"t{k}").alias("triggers")) for k, d in sides))
+    parts = ws.save(trace.groupBy(*by, "train", "fold").agg(F.count("*").alias("n"), each.alias("v")).select(*by, "train", "fold", "n", F.explode("v").alias("v")).select(*by, "train", "fold", "n", "v.*"))
+    per = [*by, "profile", "side"]
+    sharpe = lambda mean, var: F.when(var > 0, mean / F.sqrt(var) * c.bars_per_year**0.5)
+    n, mean = F.col("n"), F.col("mean")
+    mixed = parts.groupBy(*per, "train").agg(F.sum("n").alias("obs"), (F.sum(n * mean) / F.sum(n)).alias("m"), F.sum("triggers").alias("triggers"), F.min(sharpe(mean, F.col("var"))).alias("low"), F.stddev_pop(sharpe(mean, F.col("var"))).alias("spread"))
+    # the variance of whole parts from the folds' variances and the distances of their means, which loses no digits
+    around = parts.join(mixed.select(*per, "train", "m"), [*per, "train"]).groupBy(*per, "train").agg((F.sum(n * (F.col("var") + (mean - F.col("m")) ** 2)) / F.sum(n)).alias("var"))
+    mixed = mixed.join(around, [*per, "train"])
+    enough = F.col("obs") >= max(120, 20 * FOLDS)
+    figure = sharpe(F.col("m"), F.col("var"))
+    named = F.when(F.col("side") < 0, F.concat("signal", F.lit("__inv"))).otherwise(F.col("signal")).alias("signal")
+    shown = [*keys, named, "profile", "obs", figure.alias("sharpe"), "triggers"]
+    train = mixed.where("train").select(*shown, F.when(enough, F.col("low")).alias("wf_min"), F.when(enough, figure + 0.45 * F.col("low") - 0.25 * F.col("spread")).alias("robust_score"))
+    return train, mixed.where("not train").select(*shown)
+
+
 def swept_best(report: DataFrame, keys: list[str]) -> DataFrame:
     """The best profile of each signal and bar size by the sweep's score, with that score."""
     scored = report.withColumn("composite", F.round(sweep_score(), 9))
@@ -227,12 +311,9 @@ def execute_catalog(df: DataFrame, catalog: list[CatalogRow], formulas: dict[str
 
 
 def positions(df: DataFrame, keys: list[str], z_window: int, deadband: float, span: int, mode: str, config: S.BacktestConfig) -> DataFrame:
-    """``df`` with the position of its ``raw`` signal: z-score, band, squashing, smoothing, ladder.
-
-    Wide z windows are computed in overlapping parts of eight windows.
-    """
+    """``df`` with the position of its ``raw`` signal: z-score, band, squashing, smoothing, ladder."""
     c = replace(config, deadband=deadband)
-    df = S.robust_zscore(df, "raw", "z", keys, z_window, 8 * z_window if z_window >= 96 else None)
+    df = S.robust_zscore(df, "raw", "z", keys, z_window)
     if span <= 1:
         return df.withColumn("position", S.position(F.col("z"), c, mode))
     return S.smooth_position(df.withColumn("position", S.squash(F.col("z"), c, mode)), "position", keys, span, c)

@@ -11,8 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.carried import Carry, carried, lagged
+from ..functions.rolling import Rolling, roll
 from ..functions.smoothing import ewm
-from ..functions.timeseries import Series
 
 
 @dataclass(frozen=True)
@@ -42,37 +43,13 @@ class BacktestConfig:
         return (self.fee_bps + self.slippage_bps) / 10_000
 
 
-def overlapped(df: DataFrame, keys: list[str], lead: int, size: int) -> DataFrame:
-    """``df`` with a ``__chunk`` of ``size`` rows of each series and, before it, ``lead`` rows of the chunk before (``__lead``).
-
-    Functions of bounded frames give the same over chunks as over series, but a long
-    series spreads over many tasks.  ``lead`` is at most ``size``.
-    """
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy("time_ms")) - 1
-    df = df.withColumn("__n", at)
-    own, left = F.floor(F.col("__n") / size), size - F.col("__n") % size
-    both = F.array(F.struct(own.alias("c"), F.lit(False).alias("l")), F.struct((own + 1).alias("c"), F.lit(True).alias("l")))
-    dealt = df.withColumn("__v", F.explode(F.when(left <= lead, both).otherwise(F.slice(both, 1, 1))))
-    return dealt.withColumns({"__chunk": F.col("__v.c"), "__lead": F.col("__v.l")}).drop("__v", "__n")
-
-
-def robust_zscore(df: DataFrame, value: str, out: str, keys: list[str], n: int, chunk: int | None = None) -> DataFrame:
+def robust_zscore(df: DataFrame, value: str, out: str, keys: list[str], n: int, chunk: int | None = None, width: int | None = None) -> DataFrame:
     """(x - median) / (1.4826 MAD); each row enters the MAD with its own median.
 
-    Medians of wide frames are the dearest of all windows: with ``chunk`` a series is cut
-    into overlapping parts of so many rows (2 n at least).
+    With ``chunk`` a series is cut into overlapping parts of so many rows (2 n at least).
     """
     columns = [c for c in df.columns if c != out]
-    if chunk:
-        lead = 2 * (n - 1)
-        df, keys = overlapped(df.select(*columns), keys, lead, max(chunk, lead + 2)), [*keys, "__chunk"]
-    s = Series(keys, "time_ms")
-    df = df.withColumn("__med", s.full(F.col(value), n, F.percentile(value, 0.5).over(s.last(n))))
-    df = df.withColumn("__dev", F.abs(F.col(value) - F.col("__med")))
-    mad = s.full(F.col("__dev"), n, F.percentile("__dev", 0.5).over(s.last(n)))
-    df = df.withColumn("__mad", mad)
-    df = df.withColumn(out, F.when(F.col("__mad") != 0, (F.col(value) - F.col("__med")) / (1.4826 * F.col("__mad"))))
-    return (df.where("not __lead") if chunk else df).select(*columns, out)
+    return roll(df, [Rolling(value, out, "robust_z", n)], keys, "time_ms", chunk, width).select(*columns, out)
 
 
 def deadband(z: Column, long_at: float, short_at: float) -> Column:
@@ -99,8 +76,13 @@ def smooth_position(df: DataFrame, column: str, keys: list[str], span: int, c: B
     return df.withColumn(column, F.rint(F.round(F.col("__p") / c.step, 9)) * c.step).drop("__p")
 
 
-def backtest(df: DataFrame, keys: list[str], c: BacktestConfig, pos: str = "position", ret: str = "ret_1") -> DataFrame:
-    """Trace: the position of the bar before earns the bar's return; the first entry is free."""
+def backtest(df: DataFrame, keys: list[str], c: BacktestConfig, pos: str = "position", ret: str = "ret_1", width: int | None = None) -> DataFrame:
+    """Trace: the position of the bar before earns the bar's return; the first entry is free.
+
+    With ``width`` the rows before each slice of time are carried into it, so a series runs in many tasks.
+    """
+    if width:
+        return _backtest_slices(df, keys, c, pos, ret, width)
     order = Window.partitionBy(*keys).orderBy("time_ms")
     held = F.coalesce(F.lag(pos).over(order), F.lit(0.0))
     df = df.withColumn("held", held)
@@ -111,7 +93,18 @@ def backtest(df: DataFrame, keys: list[str], c: BacktestConfig, pos: str = "posi
     return df.withColumn("equity", F.product(1 + F.col("net_ret")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def drawdown(df: DataFrame, keys: list[str], equity: str = "equity") -> DataFrame:
+def _backtest_slices(df: DataFrame, keys: list[str], c: BacktestConfig, pos: str, ret: str, width: int) -> DataFrame:
+    held = lagged(df, F.col(pos), "held", keys, "time_ms", width).withColumn("held", F.coalesce("held", F.lit(0.0)))
+    df = lagged(held, F.col("held"), "__h", keys, "time_ms", width)
+    df = df.withColumns({"turnover": F.coalesce(F.abs(F.col("held") - F.col("__h")), F.lit(0.0)), "gross_ret": F.col("held") * F.coalesce(ret, F.lit(0.0))}).drop("__h")
+    df = df.withColumn("cost_ret", F.col("turnover") * c.cost).withColumn("net_ret", F.col("gross_ret") - F.col("cost_ret"))
+    return carried(df, {"equity": Carry("product", 1 + F.col("net_ret"))}, keys, "time_ms", width)
+
+
+def drawdown(df: DataFrame, keys: list[str], equity: str = "equity", width: int | None = None) -> DataFrame:
+    if width:
+        top = carried(df, {"__top": Carry("max", F.col(equity))}, keys, "time_ms", width)
+        return top.withColumn("drawdown", F.col(equity) / F.col("__top") - 1).drop("__top")
     order = Window.partitionBy(*keys).orderBy("time_ms").rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("drawdown", F.col(equity) / F.max(equity).over(order) - 1)
 
@@ -219,8 +212,8 @@ def nearest(points: DataFrame, bars: DataFrame, keys: list[str], value: str) ->
     a = bars.select(*keys, "time_ms", F.struct(F.col("time_ms").alias("t"), F.col(value).alias("v")).alias("__s"), F.lit(0).alias("__own"))
     b = points.select(*keys, "time_ms", F.lit(None).cast(a.schema["__s"].dataType).alias("__s"), F.lit(1).alias("__own"))
     back = Window.partitionBy(*keys).orderBy("time_ms", "__own").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy("time_ms", "__own").rowsBetween(0, Window.unboundedFollowing)
-    both = a.union(b).withColumns({"__p": F.last("__s", True).over(back), "__q": F.first("__s", True).over(ahead)}).where("__own = 1")
+    ahead = Window.partitionBy(*keys).orderBy(F.desc("time_ms"), F.desc("__own")).rowsBetween(Window.unboundedPreceding, 0)  # running, so linear
+    both = a.union(b).withColumns({"__p": F.last("__s", True).over(back), "__q": F.last("__s", True).over(ahead)}).where("__own = 1")
     far = F.col("__p").isNull() | (F.col("__q.t") - F.col("time_ms") < F.col("time_ms") - F.col("__p.t"))
     return both.select(*keys, "time_ms", F.when(far, F.col("__q.v")).otherwise(F.col("__p.v")).alias(value), F.when(far, F.col("__q.t")).otherwise(F.col("__p.t")).alias("bar_ms"))
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.whole import PARTS, with_series, cumulative, interpolated
+from ..workspace import Workspace
 from .events import action_label, pick_col, side_sign, weighted_mean
 
 # Patterns of the source columns, the first that matches counts.
@@ -86,6 +88,16 @@ def wallet_minutes(traded: DataFrame) -> DataFrame:
     )
 
 
+def market_minutes(positions: DataFrame, by: tuple[str, ...] = (), minute_ms: int = 60_000) -> DataFrame:
+    """Totals of all wallets' positions in each minute (and of each ``by``): rows, sizes, values, result and leverage weighted by value."""
+    size, value = F.col("position_size"), F.col("abs_position_usd")
+    weighted = F.sum(F.coalesce("leverage", F.lit(0.0)) * F.coalesce(value, F.lit(0.0)))
+    return positions.groupBy((F.floor(F.col("event_time") / minute_ms) * minute_ms).alias("minute"), *by).agg(
+        F.count("*").alias("pos_rows"), F.countDistinct("user").alias("active_wallets"), F.sum(F.abs(size)).alias("size_abs"), F.sum(size).alias("size_signed"), F.sum(value).alias("notional_abs"),
+        F.sum(F.signum(F.coalesce(size, F.lit(0.0))) * F.coalesce(value, F.lit(0.0))).alias("notional_signed"), F.sum("unrealized_pnl").alias("pnl_sum"), F.try_divide(weighted, F.sum(value)).alias("leverage_wavg"),
+    )
+
+
 def wallet_features(traded: DataFrame, minutes: DataFrame) -> DataFrame:
     """Twelve figures of each wallet that was ever active."""
     active = minutes.where("abs_exposure > 0")
@@ -114,35 +126,25 @@ def _holding_times(traded: DataFrame) -> DataFrame:
     return held.groupBy("user").agg(weighted_mean(F.col("hours"), F.col("weight")).alias("holding_time_hours"))
 
 
-def global_ranks(long: DataFrame, by: str, value: str, buckets: int = 200) -> DataFrame:
-    """``by, value, n, upto``: how often each value occurs, and how many rows of its group have it or a smaller one.
+def global_ranks(long: DataFrame, by: str, value: str, parts: int = PARTS) -> DataFrame:
+    """``by, value, n, upto, size``: how often each value occurs, and how many rows of its group have it or a smaller one."""
+    return cumulative(Workspace(long.sparkSession, "ranks"), long, [by], value, parts)
+
+
+def score_archetypes(features: DataFrame, user: str = "user", parts: int = PARTS) -> DataFrame:
+    """Average-tie percentile ranks (missing values take the median), five scores, the first best label and its margin.
 
-    Values are counted first, so ties of any number are one row.  They are cut into
-    ranges at approximate quantiles (a few numbers), summed within the ranges, and the
-    ranges' totals are added: no task sees all values.
+    All features are ranked in one pass over a long table; it and the features are written once.
     """
-    counts = long.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n"))
-    cuts = [F.lit(float(x)) for x in sorted({x for x in counts.approxQuantile(value, [k / buckets for k in range(1, buckets)], 0.002)})] if buckets > 1 else []
-    place = F.size(F.filter(F.array(*cuts), lambda x: x < F.col(value))) if cuts else F.lit(0)
-    placed = counts.withColumn("__b", place)
-    inside = placed.withColumn("__in", F.sum("n").over(Window.partitionBy(by, "__b").orderBy(value)))
-    total = placed.groupBy(by, "__b").agg(F.sum("n").alias("__all"))
-    before = total.withColumn("__before", F.coalesce(F.sum("__all").over(Window.partitionBy(by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__all")
-    return inside.join(before, [by, "__b"]).select(by, value, "n", (F.col("__in") + F.col("__before")).alias("upto"))
-
-
-def score_archetypes(features: DataFrame, user: str = "user", buckets: int = 200) -> DataFrame:
-    """Average-tie percentile ranks (missing values take the median), five scores, the first best label and its margin."""
+    ws = Workspace(features.sparkSession, "archetypes")
+    features = ws.save(features)
     long = features.select(user, *(F.col(f).cast("double") for f in RANKED)).unpivot([user], RANKED, "feature", "value")
-    known = global_ranks(long, "feature", "value", buckets)
-    size = known.groupBy("feature").agg(F.sum("n").alias("size"))
-    half = lambda up: F.min(F.when(F.col("upto") >= (F.floor((F.col("size") + 1) / 2) if not up else F.ceil((F.col("size") + 1) / 2)), F.col("value")))
-    median = known.join(F.broadcast(size), "feature").groupBy("feature").agg(((half(False) + half(True)) / 2).alias("median"))
-    filled = long.join(F.broadcast(median), "feature").select(user, "feature", F.coalesce("value", "median").alias("value"))  # median: a row a feature
-    ranks = global_ranks(filled, "feature", "value", buckets)
-    every = ranks.groupBy("feature").agg(F.sum("n").alias("size"))
-    pct = ranks.join(F.broadcast(every), "feature").select("feature", "value", ((F.col("upto") - (F.col("n") - 1) / 2) / F.col("size")).alias("rank"))
-    wide = filled.join(pct, ["feature", "value"]).groupBy(user).agg(*(F.max(F.when(F.col("feature") == f, F.col("rank"))).alias(f"{f}_rank") for f in RANKED))
+    known = cumulative(ws, long, ["feature"], "value", parts)
+    median = known.groupBy("feature").agg(interpolated(0.5, "value").alias("median"))
+    filled = ws.save(with_series(long, median, ["feature"]).select(user, "feature", F.coalesce("value", "median").alias("value")))
+    ranks = cumulative(ws, filled, ["feature"], "value", parts)
+    share = ranks.select("feature", "value", ((F.col("upto") - (F.col("n") - 1) / 2) / F.col("size")).alias("rank"))
+    wide = with_series(filled, share, ["feature", "value"]).groupBy(user).agg(*(F.max(F.when(F.col("feature") == f, F.col("rank"))).alias(f"{f}_rank") for f in RANKED))
     score: dict[str, Column] = {}
     for name, (constant, parts) in ARCHETYPES.items():
         score[f"{name}_score"] = F.round(reduce(lambda a, b: a + b, (F.col(f"{f}_rank") * sign for f, sign in parts.items()), F.lit(float(constant))), 9)

@@ -17,6 +17,7 @@ from ..operators import bars as B
 from ..operators import events as E
 from ..operators import portfolio as P
 from ..operators import quality as Q
+from ..operators import regression as R
 from ..operators import signals as S
 from ..sources import payloads as L
 
@@ -364,12 +365,48 @@ def correlation_pairs(spark, sf):
     return rounded(P.correlation_pairs(df, ["close", "volume", "ret_1"]), "corr")
 
 
-@query()
-def ols_two_stage(spark, sf):
-    """Two-stage regression of the next return; needs matrix algebra, so no SQL."""
+def regressed(spark, sf) -> DataFrame:
     df = apply_formulas(bars(spark, sf), {"ret_1": "ts_returns(close, 1)", "z": "ts_zscore(close, 24)", "v": "ts_zscore(volume, 24)"}, K)
     df = df.withColumn("target", F.lead("ret_1").over(Window.partitionBy(*K).orderBy("time_ms")))
-    return rounded(P.two_stage_ols(S.split_last(df, K, 0.3), "target", ["z"], ["v"]), "r2_base", "r2_two_stage", "r2_joint", "block_f")
+    return S.split_last(df, K, 0.3)
+
+
+SCORED = lambda x: f"CASE WHEN count({x}) OVER w = 24 THEN ({x} - avg({x}) OVER w) / nullif(stddev_samp({x}) OVER w, 0) END"
+OLS = f"""{WB}, {RET}, x AS (SELECT symbol, time_ms, {SCORED("close")} AS z, {SCORED("volume")} AS v, lead(ret_1) OVER ({OVER}) AS y, row_number() OVER ({OVER}) AS r, count(*) OVER (PARTITION BY symbol) AS n FROM ret WINDOW w AS ({OVER} ROWS 23 PRECEDING)),
+seg AS (SELECT y, z, v, CASE WHEN r > n - greatest(1, least(round_even(n * 0.3, 0), n - 1)) THEN 'test' ELSE 'train' END AS segment FROM x WHERE y IS NOT NULL AND z IS NOT NULL AND v IS NOT NULL),
+m AS (SELECT avg(y) AS my, avg(z) AS mz, avg(v) AS mv, count(*) AS tn, covar_pop(y, z) AS cyz, covar_pop(y, v) AS cyv, covar_pop(z, v) AS czv, var_pop(y) AS vy, var_pop(z) AS vz, var_pop(v) AS vv FROM seg WHERE segment = 'train'),
+b AS (SELECT *, cyz / vz AS b1, (cyz * vv - cyv * czv) / (vz * vv - czv * czv) AS bz, (cyv * vz - cyz * czv) / (vz * vv - czv * czv) AS bv FROM m),
+g AS (SELECT *, (cyv - b1 * czv) / vv AS g, my - b1 * mz AS a1, my - bz * mz - bv * mv AS aj FROM b),
+p AS (SELECT seg.*, g.*, a1 + b1 * z AS p1, g * (v - mv) AS p2, aj + bz * z + bv * v AS pj FROM seg, g),
+sse AS (SELECT segment, count(*) AS n, sum((y - p1) ** 2) AS e1, sum((y - p1 - p2) ** 2) AS e2, sum((y - pj) ** 2) AS ej, sum((y - my) ** 2) AS tot, var_pop(y) * count(*) AS own, corr(y, p1) AS c1, corr(y, pj) AS cj, any_value(g) AS g, any_value(vv) AS vv FROM p GROUP BY segment),
+one AS (SELECT a.*, b.e1 AS t1, b.ej AS tj, b.own AS town, b.c1 AS tc1, b.cj AS tcj, (a.e1 - a.ej) / (a.ej / (a.n - 3)) AS f, a.g / sqrt(a.e2 / (a.n - 2) / (a.n * a.vv)) AS t FROM sse a, sse b WHERE a.segment = 'train' AND b.segment = 'test')"""
+
+
+def tail_sql(statistic: str, free: str) -> str:
+    """Two-sided probability of a t statistic in SQL: the incomplete beta function's continued fraction, from its last term back."""
+    a, b, x = "0.5::DOUBLE", f"(({free}) / 2.0::DOUBLE)", f"(({statistic}) ** 2 / (({free}) + ({statistic}) ** 2))"
+    term = f"CASE WHEN k % 2 = 0 THEN (k // 2) * ({b} - k // 2) * {x} / (({a} + k - 1) * ({a} + k)) ELSE -({a} + k // 2) * ({a} + {b} + k // 2) * {x} / (({a} + k - 1) * ({a} + k)) END"
+    fraction = f"list_reduce(list_prepend(1.0::DOUBLE, list_transform(range(300, 0, -1), lambda k: {term})), lambda acc, d: 1 + d / acc)"
+    return f"1 - exp(lgamma({a} + {b}) - lgamma({a}) - lgamma({b}) + {a} * ln({x}) + {b} * ln(1 - {x})) / ({a} * {fraction})"
+
+
+@query(f"{OLS} SELECT segment, n, round(1 - e1 / tot, 6) AS r2_base, round(1 - e2 / tot, 6) AS r2_two_stage, round(1 - ej / tot, 6) AS r2_joint, CASE WHEN segment = 'train' THEN round((e1 - ej) / (ej / (n - 3)), 6) END AS block_f FROM sse")
+def ols_two_stage(spark, sf):
+    """Two-stage regression of the next return on one column and then another."""
+    return rounded(R.two_stage_ols(regressed(spark, sf), "target", ["z"], ["v"]), "r2_base", "r2_two_stage", "r2_joint", "block_f")
+
+
+@query(f"{OLS} SELECT 'v' AS signal, round(g, 9) AS coef, round(t, 6) AS t, round({tail_sql('t', 'n - 2')}, 6) AS p FROM one")
+def ols_coefficients(spark, sf):
+    """t and p of the second stage's column."""
+    return rounded(rounded(R.ols_coefficients(regressed(spark, sf), "target", ["z"], ["v"]), "t", "p"), "coef", digits=9)
+
+
+@query(f"""{OLS}, r AS (SELECT 1 - e1 / tot AS a, 1 - ej / tot AS b, f, {tail_sql('sqrt(f)', 'n - 3')} AS p, 1 - e2 / e1 AS s, 1 - t1 / town AS c, 1 - tj / town AS d, tc1, tcj FROM one)
+SELECT unnest(range(0, 11)) AS place, unnest({list(R.SUMMARY)}) AS metric, unnest([round(a, 6), round(b, 6), round(b - a, 6), round(f, 6), round(p, 6), round(s, 6), round(c, 6), round(d, 6), round(d - c, 6), round(tc1, 6), round(tcj, 6)]) AS value FROM r""")
+def ols_block_test(spark, sf):
+    """R2 in and out of sample, the F test of the added block with its probability, correlations of predictions."""
+    return rounded(R.ols_summary(regressed(spark, sf), "target", ["z"], ["v"]), "value")
 
 
 # Quality, alignment -----------------------------------------------------------------
@@ -422,7 +459,28 @@ def align_full_outer(spark, sf):
 
 @query(f"{WB}, {ALIGN}, f AS (SELECT min(time_ms) AS t FROM al WHERE {EVERY}) SELECT al.* FROM al, f WHERE time_ms >= t AND {EVERY}")
 def clean_table(spark, sf):
-    return Q.clean_table(aligned(spark, sf), [], NAMES, 1000 * HOUR)
+    return Q.clean_table(aligned(spark, sf), [], NAMES, 1000 * HOUR, 72 * HOUR)
+
+
+def aligned_sql(step: int, freq: str) -> str:
+    b = bars_sql(step).split(", bars AS (", 1)[1].removesuffix(")")
+    return f"SELECT '{freq}' AS freq, time_ms, " + ", ".join(f"max(close) FILTER (symbol = '{n}') AS {n}" for n in NAMES) + f" FROM ({b}) GROUP BY time_ms"
+
+
+FREQUENCIES = {"15m": HOUR // 4, "30m": HOUR // 2, "1h": HOUR, "4h": 4 * HOUR}
+
+
+@query(f"""WITH {EV}, al AS ({" UNION ALL ".join(aligned_sql(step, freq) for freq, step in FREQUENCIES.items())}), a AS (SELECT * FROM al WHERE coalesce({", ".join(f"{n}::VARCHAR" for n in NAMES)}) IS NOT NULL),
+g AS (SELECT *, time_ms - lag(time_ms) OVER (PARTITION BY freq ORDER BY time_ms) > {6 * HOUR} AS broke FROM a), l AS (SELECT freq, max(time_ms) FILTER (broke) AS t FROM g GROUP BY freq),
+s AS (SELECT a.* FROM a JOIN l USING (freq) WHERE t IS NULL OR time_ms >= t), f AS (SELECT freq, min(time_ms) AS t FROM s WHERE {EVERY} GROUP BY freq) SELECT s.* FROM s JOIN f USING (freq) WHERE time_ms >= t AND {EVERY}""")
+def cleaned_tables(spark, sf):
+    """Aligned tables of four frequencies, each cut to its last stretch without a long gap, from its first complete row on."""
+    tables = {}
+    for freq, step in FREQUENCIES.items():
+        b = bars(spark, sf, step)
+        own = {s: b.where(F.col("symbol") == s).select("time_ms", "close") for s in NAMES}
+        tables[freq] = Q.align(own, []).select("time_ms", *(F.col(f"{s}__close").alias(s) for s in NAMES))
+    return Q.cleaned_tables(tables, [], NAMES, 6 * HOUR, 72 * HOUR)
 
 
 @query(f"{WB}, {ALIGN} SELECT time_ms, click, " + ", ".join(f"coalesce({n}, click * 2) AS {n}" for n in NAMES[1:]) + ", " + " + ".join(f"({n} IS NULL AND click IS NOT NULL)::INT" for n in NAMES[1:]) + " AS filled FROM al")
@@ -452,7 +510,7 @@ def merge_check(spark, sf):
 
 @query(f"""{WB}, {ALIGN}, u AS (UNPIVOT al ON {", ".join(NAMES)} INTO NAME "column" VALUE value), s AS (SELECT "column", time_ms - lag(time_ms) OVER (PARTITION BY "column" ORDER BY time_ms) AS step FROM u) SELECT "column", count(*) AS rows, median(step) FILTER (step > 0) AS median_step FROM s GROUP BY 1""")
 def coverage_of_columns(spark, sf):
-    return Q.coverage_of_columns(aligned(spark, sf), [], NAMES)
+    return Q.coverage_of_columns(aligned(spark, sf), [], NAMES, 72 * HOUR)
 
 
 # Events, wallets, sources -----------------------------------------------------------
@@ -462,8 +520,7 @@ WE = f"WITH {EV}, al AS (SELECT *, {LABEL} AS label, CASE WHEN {LABEL} = 'close'
 
 
 def alerts(spark, sf) -> DataFrame:
-    ev = events(spark, sf).withColumn("label", E.action_label(F.col("event_type")))
-    return ev.withColumns({"side": E.side_sign(F.lit(0.0), F.col("label")), "notional": F.col("value"), "minute_ms": F.floor(F.col("time_ms") / 60_000) * 60_000})
+    return E.standardize_alerts(events(spark, sf), "event_type", "value", "time_ms")
 
 
 @query(f"{WE} SELECT minute_ms, count(*) AS alert_n, count(DISTINCT user_id) AS alert_users, count(*) FILTER (label = 'open') AS open_n, count(*) FILTER (label = 'close') AS close_n, round(sum(abs(notional)), 6) AS alert_notional, round(sum(side * abs(notional)), 6) AS alert_signed FROM al GROUP BY minute_ms")

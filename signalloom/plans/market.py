@@ -188,6 +188,25 @@ def vol_target_leverage(spark, sf):
     return rounded(P.vol_target_leverage(one, K, 0.5, 120, 24, 8760).select("symbol", "time_ms", "leverage"), "leverage")
 
 
+ALLOCATED = f"""{WS}, {GROSS}, raw AS (SELECT *, 1 / (vol + 1e-12) AS inv FROM gross), wt AS (SELECT *, coalesce(inv / sum(inv) OVER t, 0.5) AS weight FROM raw WINDOW t AS (PARTITION BY symbol, time_ms)),
+even AS (SELECT symbol, time_ms, least(greatest(sum(position * weight), -1), 1) AS position FROM wt GROUP BY symbol, time_ms),
+equal AS (SELECT symbol, time_ms, least(greatest(avg(position), -1), 1) AS position, max(ret_1) AS ret_1 FROM sig GROUP BY symbol, time_ms),
+risk AS (SELECT *, CASE WHEN count(*) OVER w >= 12 THEN stddev_pop(position * ret_1) OVER w * sqrt(8760) END AS av FROM equal WINDOW w AS ({OVER} ROWS 47 PRECEDING)), lev AS (SELECT *, CASE WHEN av IS NOT NULL THEN least(0.12 / greatest(av, 0.04), 2.5) END AS l FROM risk),
+aimed AS (SELECT symbol, time_ms, least(greatest(position * coalesce(last_value(l IGNORE NULLS) OVER ({OVER} ROWS UNBOUNDED PRECEDING), first_value(l IGNORE NULLS) OVER ({OVER} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1), -1), 1) AS position, ret_1 FROM lev),
+every AS (SELECT symbol, time_ms, position, ret_1, 'equal_weight' AS signal FROM equal UNION ALL SELECT symbol, time_ms, position, ret_1, 'vol_target' FROM aimed UNION ALL SELECT symbol, time_ms, e.position, ret_1, 'risk_parity_inv_vol' FROM even e JOIN equal USING (symbol, time_ms)),
+{trace_sql("every", OVER2)}"""
+
+
+@query(f"""{ALLOCATED}, seg AS (SELECT *, CASE WHEN time_ms < {EDGE} THEN 'IS' ELSE 'OOS' END AS segment FROM trace UNION ALL SELECT *, 'Full' FROM trace)
+SELECT symbol, signal AS variant, segment, {WHOLE_SQL} FROM seg GROUP BY symbol, signal, segment""")
+def allocation_variants(spark, sf):
+    """Equal weights, a volatility target and inverse volatility side by side, before and after the edge and over all."""
+    trace = P.allocation_variants(two_signals(spark, sf), K, 48, CFG)
+    part = F.explode(F.array(F.when(F.col("time_ms") < EDGE, "IS").otherwise("OOS"), F.lit("Full"))).alias("segment")
+    by = [*K, "variant", "segment"]
+    return whole(S.metrics(trace.select("*", part), by, CFG), by)
+
+
 MODELS = ["base", "combo"]
 
 

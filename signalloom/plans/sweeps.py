@@ -5,35 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.libraries import CORE_RULES, flatten, from_rules
-from ..operators import bars as B
+from ..functions.compiler import apply_formulas
+from ..functions.libraries import candidate_library, core_library, event_library, flatten, per_column
 from ..operators import report as O
 from ..operators import selection as C
 from .core import EV, HOUR, K, OVER, WB, bars, bars_sql, events, query, rounded
 from .market import EDGE, WTS, minutes, two_traces
 
-# Windows of a twelfth: a month of events has too few bars for windows of 2,880.
-RULES = [r for r in CORE_RULES if r[0] in ("trend", "mean_revert", "volume")]
 FIGURES = ["train_sharpe", "test_sharpe", "wf_min", "robust_score"]
 
 
-def library() -> dict[str, str]:
-    return flatten(from_rules(RULES, 24))
-
-
-def small_features() -> dict[str, str]:
-    return {"ret_1": "ts_returns(close, 1)", "clv": "safe_div(close - low, high - low + 1e-12)", "boll_pos": "safe_div(close - boll_lb, boll_ub - boll_lb)", "vol_log": "log(volume + 1)", "vol_z_60": "ts_zscore(volume, 60)", "range_pct": "safe_div(high - low, close)"}
-
-
 def swept(spark, sf) -> DataFrame:
+    """All 126 signals in both directions on all bar sizes under all profiles, from all 29 features."""
     ev = events(spark, sf).withColumnRenamed("event_type", "symbol")
-    profiles = [C.Profile(720, 0.28, 6), C.Profile(720, 0.35, 8, "sign")]
-    return C.sweep(ev, library(), K, "value", "value", ["ts", "event_id"], EDGE, [60], profiles, features=small_features())
+    return C.sweep(ev, flatten(core_library()), K, "value", "value", ["ts", "event_id"], EDGE)
 
 
 @query()
 def cta_sweep(spark, sf):
-    """The best profile of each signal of a rule-built library, in both directions, over the whole table; pytest holds one row against pandas."""
+    """The best profile of each signal, direction and bar size of the whole core library; pytest holds figures against pandas.
+
+    Signals whose windows are longer than the table's bars of a size have no values there and no row.
+    """
     best = C.swept_best(swept(spark, sf), K)
     return rounded(best.select(*K, "signal", "bar_minutes", "profile", "train_obs", "test_obs", *FIGURES, "is_triggers", "os_triggers", "composite"), *FIGURES, "composite")
 
@@ -93,8 +86,104 @@ def float_columns(spark, sf):
     return O.as_float(bars(spark, sf).select(*K, "time_ms", "close", "volume"))
 
 
-def feature_frame(spark, sf) -> DataFrame:
-    """All 29 core features and the whole core library compile over hourly bars."""
-    from ..functions.libraries import core_library
+# Candidates and event signals -------------------------------------------------------
+
+RESEARCHED = ["sharpe", "wf_min", "robust_score"]
+
+
+@query()
+def research_top(spark, sf):
+    """The twenty best of 123 candidates in both directions, one of each family, by symbol over quarter-hour bars; pytest holds the choice against pandas."""
+    found = C.research(bars(spark, sf, HOUR // 4), flatten(candidate_library()), K, 15)
+    top = C.one_of_each_family(rounded(found, *RESEARCHED), K, ["robust_score", "sharpe"], 20)
+    return top.select(*K, "place", "family", "signal", "profile", "obs", "triggers", *RESEARCHED)
 
-    return C.feature_frame(B.resample_ohlcv(events(spark, sf).withColumnRenamed("event_type", "symbol"), HOUR, K, "value", "value", ["ts", "event_id"]), K, flatten(core_library()))
+
+EVENT_COLUMNS = ["signed", "absolute", "book_signed", "book_absolute", "n", "users", "opened", "closed"]
+EVENT_SIZES = [60, 120, 240]
+EVENT_PROFILES = [C.Profile(1440, 0.2, 4), C.Profile(1440, 0.35, 8), C.Profile(2880, 0.28, 6), C.Profile(2880, 0.35, 6, "sign")]
+
+
+def event_signals() -> dict[str, str]:
+    """29 signals by type and four more of each column."""
+    named = event_library({"flow": ("signed", "absolute"), "book": ("book_signed", "book_absolute")}, ["n", "users"], {"opened": "opened", "closed": "closed"})
+    return flatten(named) | per_column(EVENT_COLUMNS)
+
+
+def event_frame(spark, sf, minutes: int) -> DataFrame:
+    """Bars with sums of their events; sides, kinds and book values come from the events' keys by arithmetic."""
+    side, step = F.when(F.col("event_id") % 2 == 0, 1.0).otherwise(-1.0), minutes * 60_000
+    book = F.col("value") * (F.col("event_id") % 7 + 1)
+    edge = (F.ceil(F.col("time_ms") / step) * step).alias("time_ms")
+    made = events(spark, sf).withColumnRenamed("event_type", "symbol").where("value is not null").groupBy(*K, edge).agg(
+        F.sum(side * F.col("value")).alias("signed"), F.sum("value").alias("absolute"), F.sum(side * book).alias("book_signed"), F.sum(book).alias("book_absolute"),
+        F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.count_if(F.col("event_id") % 3 == 0).alias("opened"), F.count_if(F.col("event_id") % 3 == 1).alias("closed"),
+    )
+    return bars(spark, sf, step).join(made, [*K, "time_ms"], "left")
+
+
+@query()
+def event_sweep_candidates(spark, sf):
+    """The best profile of each event signal that was active enough on both sides, with its gap and in-sample score."""
+    signals = event_signals()
+    frames = {m: apply_formulas(event_frame(spark, sf, m), {"ret_1": "ts_returns(close, 1)"} | signals, K) for m in EVENT_SIZES}
+    report = C.sweep_frames(frames, [*signals], K, EDGE, EVENT_PROFILES, 60)
+    named = report.withColumn("signal", F.concat_ws(":", "symbol", "signal"))
+    best = C.sweep_candidates(named, 8, 4)
+    return rounded(best.select("signal", "bar_minutes", "profile", *FIGURES, "is_triggers", "os_triggers", "train_test_gap", "composite_is"), *FIGURES, "train_test_gap", "composite_is")
+
+
+def _over(n: int) -> str:
+    return f"({OVER} ROWS {n - 1} PRECEDING)"
+
+
+def _full(x: str, n: int, e: str) -> str:
+    return f"CASE WHEN count({x}) OVER {_over(n)} = {n} THEN {e} END"
+
+
+def _agg(f: str, x: str, n: int) -> str:
+    return f"{f}({x}) OVER {_over(n)}"
+
+
+def _z(x: str, n: int) -> str:
+    return _full(x, n, f"({x} - {_agg('avg', x, n)}) / nullif({_agg('stddev_samp', x, n)}, 0)")
+
+
+def _return(n: int) -> str:
+    return f"close / nullif(lag(close, {n}) OVER ({OVER}), 0) - 1"
+
+
+# One signal of each shape of the candidate and event libraries, with the SQL of the formula; inner windows first.
+SHAPES = {
+    "mean_gap": ("trend", "mean_gap_8_48", f"({_full('close', 8, _agg('avg', 'close', 8))} - {_full('close', 48, _agg('avg', 'close', 48))}) / nullif({_full('close', 48, _agg('stddev_samp', 'close', 48))}, 0)"),
+    "price_gap": ("trend", "price_gap_8_48", f"(close - {_full('close', 48, _agg('avg', 'close', 48))}) / nullif({_full('close', 48, _agg('stddev_samp', 'close', 48))}, 0)"),
+    "return_gap": ("momentum", "return_gap_5_20", f"{_return(5)} - ({_return(20)})"),
+    "return_sign": ("momentum", "return_sign_20", f"CASE WHEN {_return(20)} > 0 THEN 1 ELSE -1 END"),
+    "level_back": ("mean_revert", "level_back_48", f"-({_z('close', 48)})"),
+    "spread": ("volatility", "spread_24", _z("s24", 72)),
+    "tails": ("volatility", "tails_24", _full("ret_1", 24, "kurtosis(ret_1) OVER " + _over(24))),
+    "lean": ("volatility", "lean_24", f"-({_full('ret_1', 24, 'skewness(ret_1) OVER ' + _over(24))})"),
+    "quiet_mean": ("adaptive", "quiet_mean_48_240", f"CASE WHEN {_full('ret_1', 48, _agg('stddev_samp', 'ret_1', 48))} < {_full('ret_1', 240, _agg('stddev_samp', 'ret_1', 240))} THEN ({_full('close', 48, _agg('avg', 'close', 48))} - {_full('close', 240, _agg('avg', 'close', 240))}) / nullif({_full('close', 240, _agg('stddev_samp', 'close', 240))}, 0) ELSE 0 END"),
+    "flow_level": ("event_flow", "flow_level", _z("signed", 24)),
+    "flow_imbalance": ("event_flow", "flow_imbalance", _z("imbalance", 48)),
+    "flow_decay": ("event_flow", "flow_decay", _z("decayed", 24)),
+    "opened_share": ("event_mix", "opened_share", _z("share", 48)),
+    "n_surprise": ("event_attention", "n_surprise", _z("surprise", 48)),
+    "flow_along": ("event_momentum", "flow_along", f"({_z('signed', 24)}) * ({_z('ret_12', 48)})"),
+    "n_at_edge": ("event_revert", "n_at_edge", f"-({_z('n', 24)}) * (placed - 0.5)"),
+    "signed_varies": ("event_spread", "signed_varies", _z("sd12", 48)),
+    "busy_share": ("event_spread", "busy_share", _z("busy", 48)),
+}
+FRAME_SQL = f"""{WB}, made AS (SELECT event_type AS symbol, ((time_ms + {HOUR - 1}) // {HOUR}) * {HOUR} AS time_ms, sum(CASE WHEN event_id % 2 = 0 THEN value ELSE -value END) AS signed, sum(value) AS absolute, count(*) AS n, count(*) FILTER (event_id % 3 = 0) AS opened FROM ev WHERE value IS NOT NULL GROUP BY 1, 2),
+base AS (SELECT b.*, signed, absolute, n, opened, {_return(1)} AS ret_1, {_return(12)} AS ret_12, signed / (absolute + 1e-12) AS imbalance, opened / (n + 1) AS share FROM bars b LEFT JOIN made USING (symbol, time_ms)),
+frame AS (SELECT *, {_full('ret_1', 24, _agg('stddev_samp', 'ret_1', 24))} AS s24, {_full('signed', 12, _agg('stddev_samp', 'signed', 12))} AS sd12, n / {_full('n', 24, _agg('avg', 'n', 24))} - 1 AS surprise, {_full('n', 24, _agg('avg', '(n > 0)::INT', 24))} AS busy,
+  {_full('signed', 12, "list_sum(list_transform(list(signed) OVER " + _over(12) + ", lambda v, i: v * i)) / 78")} AS decayed, {_full('close', 24, "(len(list_filter(list(close) OVER " + _over(24) + ", lambda v: v < close)) + (len(list_filter(list(close) OVER " + _over(24) + ", lambda v: v = close)) + 1) / 2) / 24")} AS placed FROM base)"""
+
+
+@query(f"{FRAME_SQL} SELECT symbol, time_ms, " + ", ".join(f"round(({e})::DOUBLE, 5) AS {n}" for n, (_, _, e) in SHAPES.items()) + " FROM frame")
+def library_shapes(spark, sf):
+    """One signal of each shape of the candidate and event libraries over hourly bars."""
+    made = candidate_library() | event_library({"flow": ("signed", "absolute"), "book": ("book_signed", "book_absolute")}, ["n", "users"], {"opened": "opened", "closed": "closed"})
+    wanted = {n: made[group][name] for n, (group, name, _) in SHAPES.items()}
+    df = apply_formulas(event_frame(spark, sf, 60), {"ret_1": "ts_returns(close, 1)"} | wanted, K)
+    return rounded(df.select(*K, "time_ms", *(F.col(n).cast("double").alias(n) for n in wanted)), *wanted, digits=5)

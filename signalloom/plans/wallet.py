@@ -28,7 +28,7 @@ RAW = {
 LEAST = 50.0
 WP = f"""WITH {EV}, raw AS (SELECT event_id, {", ".join(f"{e} AS {n}" for n, e in RAW.items())} FROM ev),
 v AS (SELECT *, coalesce(position_value_usd, abs(position_size) * abs(mark_price)) AS val, (CASE WHEN position_action = 'Close' THEN -1 ELSE 1 END) * CASE WHEN position_size <> 0 THEN sign(position_size) ELSE 1 END AS side_sign FROM raw),
-pos AS (SELECT update_time AS event_time, "user", upper(symbol) AS symbol, leverage, unrealized_pnl, mark_price, abs(val) AS abs_position_usd, coalesce(abs(val), 0) * side_sign AS signed_position_usd,
+pos AS (SELECT update_time AS event_time, "user", upper(symbol) AS symbol, position_size, leverage, unrealized_pnl, mark_price, abs(val) AS abs_position_usd, coalesce(abs(val), 0) * side_sign AS signed_position_usd,
   abs((liq_price - mark_price) / nullif(mark_price, 0)) AS liq_distance_pct, unrealized_pnl / nullif(abs(val), 0) AS pnl_pct FROM v QUALIFY row_number() OVER (PARTITION BY "user", symbol, update_time ORDER BY event_id DESC) = 1),
 tr AS (SELECT *, (event_time // 60000) * 60000 AS minute, coalesce(abs(signed_position_usd - lag(signed_position_usd) OVER (PARTITION BY "user", symbol ORDER BY event_time)), 0) AS moved FROM pos),
 td AS (SELECT *, moved >= {LEAST} AS trade FROM tr)"""
@@ -106,3 +106,10 @@ f AS (SELECT user_id FROM p JOIN w USING (user_id) WHERE n >= 7) SELECT user_id
 def wallet_pool_minimum(spark, sf):
     w = events(spark, sf).groupBy("user_id").agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.max("value").alias("t"))
     return E.pool(w, "user_id", ["m", "t"], 125, "n", 7)
+
+
+@query(f"""{WP} SELECT (event_time // 60000) * 60000 AS minute, symbol, count(*) AS pos_rows, count(DISTINCT "user") AS active_wallets, round(sum(abs(position_size)), 6) AS size_abs, round(sum(position_size), 6) AS size_signed, round(sum(abs_position_usd), 6) AS notional_abs,
+  round(sum(sign(position_size) * abs_position_usd), 6) AS notional_signed, round(sum(unrealized_pnl), 6) AS pnl_sum, round(sum(coalesce(leverage, 0) * abs_position_usd) / nullif(sum(abs_position_usd), 0), 6) AS leverage_wavg FROM pos GROUP BY 1, 2""")
+def market_position_minutes(spark, sf):
+    out = W.market_minutes(positions(spark, sf), ("symbol",))
+    return rounded(out, "size_abs", "size_signed", "notional_abs", "notional_signed", "pnl_sum", "leverage_wavg")
