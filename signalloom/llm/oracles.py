@@ -164,7 +164,7 @@ def _op2() -> str:
 node{level} AS (SELECT {above}, count(*) AS m, sum(n) AS all_n, sum(bad) AS all_bad FROM branch{level} GROUP BY ALL),
 z{level} AS (
   SELECT {above}, s{level}, m, CASE WHEN m > {c.children} THEN coalesce(abs(bad / nullif(n, 0) - (all_bad - bad) / nullif(all_n - n, 0)) / nullif(sqrt(all_bad / nullif(all_n, 0) * (1 - all_bad / nullif(all_n, 0)) * (1 / nullif(n, 0) + 1 / nullif(all_n - n, 0))), 0), 0)
-    ELSE abs((bad + 0.5::DOUBLE) / (n + 1) - (all_bad - bad + 0.5::DOUBLE) / (all_n - n + 1))
+    ELSE abs((bad + (all_bad + 1.0::DOUBLE) / (all_n + 2)) / (n + 1) - (all_bad - bad + (all_bad + 1.0::DOUBLE) / (all_n + 2)) / (all_n - n + 1))
     / sqrt((all_bad + 1.0::DOUBLE) / (all_n + 2) * (1 - (all_bad + 1.0::DOUBLE) / (all_n + 2)) * (1.0::DOUBLE / (n + 1) + 1.0::DOUBLE / (all_n - n + 1))) END AS z
   FROM branch{level} JOIN node{level} USING ({above})
 ), grown{level} AS (

@@ -3,8 +3,9 @@
 For every host the masked path segments form a tree.  A segment with digits is masked at
 once; on each level a child whose labelled purity does not differ from its siblings'
 (two-proportion z score) is merged into the wildcard branch, at any number of children.
-The z score is smoothed up to ``children`` siblings and plain beyond, since among many
-the smoothed one takes a child with hardly a label for a different one.  Levels beyond
+The z score is smoothed towards the share of all siblings, so a child without labels is
+like them; beyond ``children`` siblings it is plain, since a child with a label or two
+among very many would stand out by chance.  Levels beyond
 ``depth`` are grown one by one below the nodes that have labels and more than one path;
 the rest of a lone path keeps its names, without labels it is one wildcard.  A template is rejected when its
 labelled purity, smoothed towards its host's and that towards the overall one, reaches
@@ -81,7 +82,7 @@ def grow(tree: DataFrame, level: int, c: TemplateConfig) -> DataFrame:
     both = branch.join(node, ["host", "t"])
     rest_n, rest_bad = F.col("all_n") - F.col("n"), F.col("all_bad") - F.col("bad")
     share = (F.col("all_bad") + 1) / (F.col("all_n") + 2)
-    gap = (F.col("bad") + 0.5) / (F.col("n") + 1) - (rest_bad + 0.5) / (rest_n + 1)
+    gap = (F.col("bad") + share) / (F.col("n") + 1) - (rest_bad + share) / (rest_n + 1)
     smoothed = F.abs(gap) / F.sqrt(share * (1 - share) * (1 / (F.col("n") + 1) + 1 / (rest_n + 1)))
     bare = F.try_divide(F.col("all_bad"), F.col("all_n"))
     apart = F.abs(F.try_divide(F.col("bad"), F.col("n")) - F.try_divide(rest_bad, rest_n))
