@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .carried import Carry, carried, lagged
-from .rolling import Rolling, overlapped, roll
+from .rolling import PAIRED, Rolling, overlapped, roll
 from .smoothing import Smoothing, smooth
 from .timeseries import FUNCTIONS, PLAIN, Series, safe_div
 from .whole import Whole, over_series
@@ -37,6 +37,10 @@ OPERATORS = {
 PASSES = ("ts_ema", "ts_quantile", "ts_rank", "rank", "scale", "winsorize")  # computed by passes of their own, not by a window function
 
 
+WIDE = 64  # frames of so many rows and more are followed row by row, since a window function reads each anew
+ROLLED = ("mean", "std", "sum", "min", "max", "zscore", "skew", "kurt", *PAIRED)
+
+
 class FormulaError(ValueError):
     """A formula uses something that is not part of the language."""
 
@@ -122,6 +126,10 @@ class _Plan:
                 self.rolls[level].append(Rolling(own, out, name.removeprefix("ts_"), *ready[1:]))
             else:
                 self.wholes[level].append(Whole(own, out, name, tuple(ready[1:])))
+        elif name.removeprefix("ts_") in ROLLED and name.startswith("ts_") and isinstance(ready[-1], int) and ready[-1] >= WIDE:
+            own = [self.hidden() for _ in ready[:-1]]
+            self.inputs[level] |= dict(zip(own, ready[:-1]))
+            self.rolls[level].append(Rolling(own[0], out, name.removeprefix("ts_"), ready[-1], other=own[1] if len(own) > 1 else None))
         elif self.sliced and name in ("ts_ffill", "last"):
             own = self.hidden()
             self.inputs[level][own] = ready[0]

@@ -1,8 +1,9 @@
-"""Rolling medians, quantiles and ranks in time that grows with the logarithm of the frame.
+"""Rolling figures in time that hardly grows with the frame.
 
-A window function sorts every frame anew.  Here the rows of a series come to Arrow batches
-in order (as in ``smoothing``) and an indexed skip list follows the frame: a row costs one
-insertion, one removal and one look-up.  A batch is preceded by the last rows of the batch
+A window function reads every frame anew, and sorts it for a median.  Here the rows of a series come to Arrow batches
+in order (as in ``smoothing``) and an indexed skip list follows the frame for medians,
+quantiles and ranks (a row costs one insertion, one removal and one look-up), running sums
+for moments.  A batch is preceded by the last rows of the batch
 before it, as many as its frames reach back, so memory is a batch and a frame.  All figures
 asked for together share the pass.
 
@@ -31,7 +32,9 @@ class Rolling:
 
     ``kind``: ``quantile`` (linear between neighbours, at ``q``), ``rank`` (of the newest
     value, average on ties, over ``n``), or ``robust_z``: the distance to the median over
-    1.4826 times the median distance, each row measured from the median of its own frame.
+    1.4826 times the median distance, each row measured from the median of its own frame;
+    ``mean, std, sum, min, max, zscore, skew, kurt`` as the window functions of those names,
+    and with a second column ``corr, cov, beta``.
     """
 
     source: str
@@ -39,14 +42,34 @@ class Rolling:
     kind: str
     n: int
     q: float = 0.5
+    other: str | None = None
 
     @property
     def reach(self) -> int:
         """Rows before the current one that matter."""
         return (self.n - 1) * (2 if self.kind == "robust_z" else 1)
 
-    def of(self, x: np.ndarray, series: np.ndarray) -> np.ndarray:
+    def of(self, x: np.ndarray, series: np.ndarray, y: np.ndarray | None = None) -> np.ndarray:
         """The figure of each row of ``x``; ``series`` numbers the series, which lie one after the other."""
+        if self.kind in MOMENTS:
+            return _rolled(x, series, self.n, MOMENTS[self.kind])
+        if self.kind == "zscore":
+            sd = _rolled(x, series, self.n, MOMENTS["std"])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                return np.where(sd != 0, (x - _rolled(x, series, self.n, MOMENTS["mean"])) / sd, np.nan)
+        if self.kind == "kurt":
+            flat = _rolled(x, series, self.n, MOMENTS["min"]) == _rolled(x, series, self.n, MOMENTS["max"])
+            return np.where(flat, 0.0, _rolled(x, series, self.n, lambda r: r.kurt()))
+        if y is not None:
+            x, y = np.where(np.isnan(y), np.nan, x), np.where(np.isnan(x), np.nan, y)
+            spread = [_rolled(v, series, self.n, MOMENTS["std"]) for v in (x, y)]
+            cov = _paired(x, y, series, self.n)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                if self.kind == "cov":
+                    return cov
+                if self.kind == "beta":
+                    return np.where(spread[1] != 0, cov / spread[1] ** 2, np.nan)
+                return np.where((spread[0] != 0) & (spread[1] != 0), np.clip(cov / (spread[0] * spread[1]), -1, 1), np.nan)
         if self.kind == "robust_z":
             median = _rolled(x, series, self.n, lambda r: r.median())
             far = np.abs(x - median)
@@ -58,6 +81,20 @@ class Rolling:
         return _rolled(x, series, self.n, lambda r: r.quantile(self.q, interpolation="linear"))
 
 
+MOMENTS = {k: (lambda r, k=k: getattr(r, k)()) for k in ("mean", "std", "sum", "min", "max", "skew")}
+PAIRED = ("corr", "cov", "beta")
+
+
+def _paired(x: np.ndarray, y: np.ndarray, series: np.ndarray, n: int) -> np.ndarray:
+    """Rolling covariance (ddof 1) around each series' own mean, which keeps the digits."""
+    edge = [0, *(np.flatnonzero(np.diff(series)) + 1).tolist(), len(x)]
+    parts = []
+    for a, b in zip(edge, edge[1:]):
+        u, v = (pd.Series(w[a:b] - (np.nanmean(w[a:b]) if (~np.isnan(w[a:b])).any() else 0.0)) for w in (x, y))
+        parts.append(u.rolling(n, min_periods=n).cov(v).to_numpy())
+    return np.concatenate(parts) if len(x) else x
+
+
 def _rolled(x: np.ndarray, series: np.ndarray, n: int, figure) -> np.ndarray:
     edge = [0, *(np.flatnonzero(np.diff(series)) + 1).tolist(), len(x)]
     return np.concatenate([figure(pd.Series(x[a:b]).rolling(n, min_periods=n)).to_numpy() for a, b in zip(edge, edge[1:])]) if len(x) else x
@@ -89,7 +126,7 @@ def roll(df: DataFrame, specs: list[Rolling], keys: list[str], time: str, chunk:
     made = [s.out for s in specs]
     kept = [c for c in df.columns if c not in made]
     reach = max(s.reach for s in specs)
-    sources = list(dict.fromkeys(s.source for s in specs))
+    sources = list(dict.fromkeys(c for s in specs for c in (s.source, s.other) if c))
     df = df.select(*kept, *(F.col(c).cast("double").alias(f"__x{k}") for k, c in enumerate(sources)))
     by, out = list(keys), kept
     if chunk:
@@ -106,7 +143,7 @@ def roll(df: DataFrame, specs: list[Rolling], keys: list[str], time: str, chunk:
             series = np.cumsum(np.array(b.column("__row")) == 1)
             number = np.concatenate([behind, series])
             x = [np.concatenate([p, b.column(f"__x{k}").to_numpy(zero_copy_only=False).astype(float)]) for k, p in enumerate(before)]
-            new = [s.of(x[sources.index(s.source)], number)[len(behind) :] for s in specs]
+            new = [s.of(x[sources.index(s.source)], number, x[sources.index(s.other)] if s.other else None)[len(behind) :] for s in specs]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in out), *(pa.array(v, pa.float64(), from_pandas=True) for v in new)], [*out, *made])
             keep = max(len(number) - reach, int(np.searchsorted(number, number[-1])))
             before, behind = [v[keep:] for v in x], np.zeros(len(number) - keep, np.int64)  # the next batch goes on as series 0, unless it starts anew

@@ -109,8 +109,8 @@ def ts_zscore(s: Series, x: Column, n: int) -> Column:
 @_windowed
 def ts_corr(s: Series, x: Column, y: Column, n: int) -> Column:
     both = F.count(F.when(x.isNotNull() & y.isNotNull(), 1)).over(s.last(n)) == n
-    flat = (F.stddev_samp(x).over(s.last(n)) == 0) | (F.stddev_samp(y).over(s.last(n)) == 0)
-    return F.when(both & ~flat, F.corr(x, y).over(s.last(n)))
+    spread = F.stddev_samp(x).over(s.last(n)) * F.stddev_samp(y).over(s.last(n))
+    return F.when(both & (spread != 0), F.covar_samp(x, y).over(s.last(n)) / spread)  # corr itself raises on a constant frame
 
 
 @_windowed

@@ -9,6 +9,7 @@ part and say nothing about unseen data.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -157,21 +158,23 @@ def feature_frame(bars: DataFrame, keys: list[str], signals: dict[str, str], fea
 def sweep(df: DataFrame, signals: dict[str, str], keys: list[str], price: str, volume: str, order: list[str], edge_ms: int, minutes: list[int] = SWEEP_MINUTES, profiles: list[Profile] = SWEEP_PROFILES, least: int = 120, features: dict[str, str] | None = None, config: S.BacktestConfig = S.BacktestConfig()) -> DataFrame:
     """One row a series, signal, direction, bar size and profile, with train and test figures.
 
-    Compiled in stages: the frame of a bar size is written once, all formulas in it share
-    their common parts; profiles with one z window share its scores; all profiles and both
+    Compiled in stages: the frame of all bar sizes is written once, with the size as one more
+    key, and all formulas in it share their common parts; profiles with one z window share its scores; all profiles and both
     directions of a signal run side by side as columns of one ordered pass, since a symmetric
     band makes the inverse of a position its negative.  Robustness is that of the train part;
     rows with fewer than ``least`` bars on either side are left out.
     """
-    frames = {size: feature_frame(B.resample_ohlcv(df, size * 60_000, keys, price, volume, order), keys, signals, features) for size in minutes}
-    return sweep_frames(frames, [*signals], keys, edge_ms, profiles, least, config)
+    sizes = [B.resample_ohlcv(df, size * 60_000, keys, price, volume, order).withColumn("bar_minutes", F.lit(size)) for size in minutes]
+    frame = feature_frame(reduce(DataFrame.unionByName, sizes), [*keys, "bar_minutes"], signals, features)
+    return sweep_frame(frame, [*signals], keys, edge_ms, minutes, profiles, least, config)
 
 
-def sweep_frames(frames: dict[int, DataFrame], signals: list[str], keys: list[str], edge_ms: int, profiles: list[Profile], least: int = 120, config: S.BacktestConfig = S.BacktestConfig()) -> DataFrame:
-    """The sweep over frames that hold ``ret_1`` and a column a signal, by their bar size in minutes."""
-    ws, out = Workspace(next(iter(frames.values())).sparkSession, "sweep"), None
-    for size, bars in frames.items():
-        frame = ws.save(bars.select(*keys, "time_ms", "ret_1", *signals))
+def sweep_frame(bars: DataFrame, signals: list[str], keys: list[str], edge_ms: int, minutes: list[int], profiles: list[Profile], least: int = 120, config: S.BacktestConfig = S.BacktestConfig()) -> DataFrame:
+    """The sweep over a frame that holds ``bar_minutes``, ``ret_1`` and a column a signal."""
+    ws, out = Workspace(bars.sparkSession, "sweep"), None
+    whole = ws.save(bars.select(*keys, "bar_minutes", "time_ms", "ret_1", *signals))
+    for size in minutes:
+        frame = whole.where(F.col("bar_minutes") == size).drop("bar_minutes")
         windows = {p.z_window: S.scaled_window(p.z_window, size) for p in profiles}
         train, test = _judged(ws, frame, signals, keys, F.col("time_ms") < edge_ms, profiles, windows, replace(config, bars_per_year=525_600 / size))
         train = train.select(*(F.col(a).alias(b) for a, b in zip(train.columns, [*keys, "signal", "profile", "train_obs", "train_sharpe", "is_triggers", "wf_min", "robust_score"])))

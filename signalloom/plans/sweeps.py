@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -126,8 +128,9 @@ def event_frame(spark, sf, minutes: int) -> DataFrame:
 def event_sweep_candidates(spark, sf):
     """The best profile of each event signal that was active enough on both sides, with its gap and in-sample score."""
     signals = event_signals()
-    frames = {m: apply_formulas(event_frame(spark, sf, m), {"ret_1": "ts_returns(close, 1)"} | signals, K) for m in EVENT_SIZES}
-    report = C.sweep_frames(frames, [*signals], K, EDGE, EVENT_PROFILES, 60)
+    sizes = reduce(DataFrame.unionByName, (event_frame(spark, sf, m).withColumn("bar_minutes", F.lit(m)) for m in EVENT_SIZES))
+    frame = apply_formulas(sizes, {"ret_1": "ts_returns(close, 1)"} | signals, [*K, "bar_minutes"])
+    report = C.sweep_frame(frame, [*signals], K, EDGE, EVENT_SIZES, EVENT_PROFILES, 60)
     named = report.withColumn("signal", F.concat_ws(":", "symbol", "signal"))
     best = C.sweep_candidates(named, 8, 4)
     return rounded(best.select("signal", "bar_minutes", "profile", *FIGURES, "is_triggers", "os_triggers", "train_test_gap", "composite_is"), *FIGURES, "train_test_gap", "composite_is")

@@ -134,6 +134,22 @@ def test_rolling_figures_equal_pandas(spark, chunk):
                 assert (v is None) == (pd.isna(w[n])) and (v is None or abs(v - w[n]) < 1e-9), (k, t, name)
 
 
+def test_wide_frames_equal_window_functions(spark, monkeypatch):
+    """The same formulas by window functions and by the rolling pass, constant frames and missing values among them."""
+    from signalloom.functions import compiler
+
+    df = frame(spark, series(8, missing=0.02)).withColumn("y", F.when(F.col("time_ms") % 400 < 200, F.lit(3.0)).otherwise(F.cos("time_ms") + F.col("x")))
+    names = {f"{k}_{v}": f"ts_{k}({v}, 9)" for k in ("mean", "std", "sum", "min", "max", "zscore", "skew", "kurt") for v in "xy"} | {k: f"ts_{k}(x, y, 9)" for k in ("corr", "cov", "beta")}
+    plain = {(r["s"], r["time_ms"]): r for r in apply_formulas(df, names, KEYS).collect()}
+    monkeypatch.setattr(compiler, "WIDE", 9)
+    wide = {(r["s"], r["time_ms"]): r for r in apply_formulas(df, names, KEYS).collect()}
+    assert plain.keys() == wide.keys()
+    for k, a in plain.items():
+        for n in names:
+            p, q = a[n], wide[k][n]
+            assert (p is None) == (q is None) and (p is None or abs(p - q) < 1e-6 * max(1, abs(p))), (k, n, p, q)
+
+
 def test_rolling_frames_reach_over_arrow_batches(spark):
     was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
