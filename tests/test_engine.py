@@ -10,7 +10,7 @@ from signalloom.functions.compiler import FormulaError, apply_formulas
 from signalloom.functions.smoothing import Smoothing, ewm, smooth
 from signalloom import catalog
 from signalloom.operators import bars, portfolio, quality, signals, wallets
-from signalloom.plans import core
+from signalloom.plans import core, wallet
 from signalloom.sources import payloads
 from signalloom.streaming import minutes
 
@@ -215,3 +215,17 @@ def test_query_equals_sql(spark, name):
     assert len(a) == len(b)
     for x, y in zip(a, b):
         assert all(p == q or (isinstance(p, float) and isinstance(q, float) and abs(p - q) <= 2e-4) for p, q in zip(x, y)), (x, y)
+
+
+def test_wallet_minutes_without_exposure_equal_sql(spark, tmp_path):
+    """A position of value 0 alone in its minute: the query follows its SQL, the operator has no ratio."""
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT * REPLACE (CASE WHEN event_id % 9 = 1 THEN 0 ELSE value END AS value) FROM '{SF}/events.parquet') TO '{tmp_path}/events.parquet'")
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    df = catalog.QUERIES["wallet_minute_state"](spark, str(tmp_path))
+    rel = con.sql(catalog.ORACLE_SQL["wallet_minute_state"])
+    assert df.columns == rel.columns and df.where("abs_exposure = 0").count() > 50
+    a, b = (sorted([tuple(map(plain, r)) for r in rows], key=repr) for rows in (df.collect(), rel.fetchall()))
+    assert a == b
+    states = wallets.wallet_minutes(wallet.traded(spark, str(tmp_path)))
+    assert states.where("(net_exposure_ratio is null) <> (abs_exposure = 0)").count() == 0
