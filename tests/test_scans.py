@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from signalloom.functions.carried import Carry, carried, lagged, numbered, run_lengths, slice_width
@@ -90,6 +91,23 @@ def test_slices_of_one_long_series_are_many_groups(spark):
     assert slice_width(df.limit(0), KEYS, "time_ms") == slice_width(df.limit(1), KEYS, "time_ms") == 2**62
 
 
+def test_carried_steps_do_not_repeat_what_came_before(spark):
+    """Seven steps over slices, one after the other: the plan stays that of one step, and a series that a window has gathered is dealt anew."""
+    df = frame(spark, series(2)).withColumns({"position": F.lag("x").over(Window.partitionBy(*KEYS).orderBy("time_ms")), "ret_1": F.col("x") / 100})
+    trace = signals.drawdown(signals.backtest(smooth(df, [Smoothing("x", "e", 0.3)], KEYS, "time_ms", 30), KEYS, signals.BacktestConfig(), width=30), KEYS, width=30)
+    out = run_lengths(trace, F.col("drawdown") < 0, "run", KEYS, "time_ms", 30)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") <= 2 and plan.count("Sort ") <= 6, plan
+    assert [r["run"] for r in out.where("s = 'a'").collect()].count(None) == 0 and out.count() == df.count()
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        one = numbered(df.where("s = 'a'"), "at", KEYS, "time_ms", 30)
+        assert len({r["p"] for r in one.select("position", "at", F.spark_partition_id().alias("p")).collect()}) > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+
+
 FORMULAS = {"r": "ts_returns(x, 2)", "l": "last(x)", "e": "ts_ema(ts_mean(x, 3), 4)", "q": "ts_quantile(x, 5, 0.3)", "k": "ts_rank(x, 4)", "z": "ts_zscore(ts_delta(x, 1), 6)", "n": "rank(x) + scale(x, 2) + winsorize(x, 0.1, 0.8)"}
 
 
